@@ -82,9 +82,9 @@ def polygon_centroid(wkt: Column) -> Column:
     Coordinates are shifted to the first vertex before the products, so small polygons far
     from the origin lose no digits.
     """
-    # Rings of one polygon are split by "),(", polygons by ")),((": mark the shells first.
+    # A ring that opens right after its polygon is the shell; the others are holes.
     flat = F.regexp_replace(F.upper(wkt), r"^\s*(?:SRID=\d+;)?\s*(?:MULTI)?POLYGON\s*", "")
-    marked = F.regexp_replace(flat, r"\(\s*\(", "(S")
+    marked = F.regexp_replace(flat, r"\(\s*\(\s*(?=[-+.0-9])", "(S")
     ring_texts = F.filter(F.split(marked, r"[()]"), lambda t: t.rlike(r"[0-9]"))
     rings = F.transform(
         ring_texts, lambda t: F.struct(t.startswith("S").alias("shell"), _ring(t).alias("pts"))
