@@ -17,7 +17,8 @@ _SPLIT = 134217729.0
 
 def round_array(c: Column, digits: int) -> Column:
     scale = F.lit(float(10**digits))
-    return F.rint(c * scale) / scale
+    # Adding zero turns -0.0 into 0.0.
+    return F.rint(c * scale) / scale + 0.0
 
 
 def round_scalar(c: Column, digits: int) -> Column:
