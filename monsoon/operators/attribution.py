@@ -11,6 +11,7 @@ import json
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -86,22 +87,46 @@ def _passes(x: np.ndarray, tests: Sequence[tuple]) -> np.ndarray:
     return ok
 
 
+@lru_cache(maxsize=64)
+def _quadrature(n: int) -> tuple[np.ndarray, np.ndarray]:
+    nodes, weights = np.polynomial.legendre.leggauss(n)
+    return (nodes + 1) / 2, weights / 2
+
+
+def _distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and each row's position among them; by counting while the codes are few."""
+    if bits > 14:
+        return np.unique(code, return_inverse=True)
+    patterns = np.flatnonzero(np.bincount(code, minlength=1 << bits))
+    slot = np.empty(1 << bits, dtype="int64")
+    slot[patterns] = np.arange(len(patterns))
+    return patterns, slot[code]
+
+
 def shapley(x: np.ndarray, leaves: Sequence[Leaf], outputs: int) -> np.ndarray:
-    """Attributions (rows, features, outputs) of a feature matrix."""
-    phi = np.zeros((len(x), x.shape[1], outputs))
+    """Attributions (rows, features, outputs) of a feature matrix.
+
+    At one leaf a row matters only by which path features it hits, so each hit pattern that
+    occurs is worked out once and handed to all its rows.
+    """
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros((x.shape[1], outputs, len(x)))
     for leaf in leaves:
         m = len(leaf.features)
         if m == 0:
             continue
-        nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-        t, w = (nodes + 1) / 2, weights / 2
-        hit = np.stack([_passes(x[:, f], tests) for f, tests in zip(leaf.features, leaf.tests, strict=True)])
+        code = np.zeros(len(x), dtype="int64")
+        for j, (f, tests) in enumerate(zip(leaf.features, leaf.tests, strict=True)):
+            code |= _passes(columns[f], tests).astype("int64") << j
+        patterns, back = _distinct(code, m)
+        hit = (patterns[None, :] >> np.arange(m)[:, None]) & 1
+        t, w = _quadrature((m + 1) // 2)
         factors = leaf.shares[:, None, None] * (1 - t)[None, :, None] + hit[:, None, :] * t[None, :, None]
         rest = (w[None, :, None] * factors.prod(axis=0)[None] / factors).sum(axis=1)
         part = (hit - leaf.shares[:, None]) * rest
         for row, f in zip(part, leaf.features, strict=True):
-            phi[:, f, :] += row[:, None] * leaf.value[None, :]
-    return phi
+            phi[f] += leaf.value[:, None] * row[back][None, :]
+    return phi.transpose(2, 0, 1)
 
 
 def attribution_column(leaves: Sequence[Leaf], outputs: int, features: str = "features") -> Column:
@@ -117,27 +142,31 @@ def attribution_column(leaves: Sequence[Leaf], outputs: int, features: str = "fe
     return attribute(vector_to_array(features))
 
 
-def top_groups(raw: Column, groups: Sequence[str], top: int = 5) -> Column:
-    """Array of (f, w, raw): slots added up per display group, largest first, share of the total."""
+def add_top_groups(df: DataFrame, raw: str, groups: Sequence[str], top: int = 5, name: str = "shap") -> DataFrame:
+    """Add an array of (f, w, raw): slots added up per display group, largest first, share of the total.
+
+    Done in separate projections: each array is built once per row and then only read.
+    """
     names = list(dict.fromkeys(groups))
     sums = []
-    for i, name in enumerate(names):
+    for i, group_name in enumerate(names):
         total = F.lit(0.0)
         for slot, group in enumerate(groups):
-            if group == name:
+            if group == group_name:
                 total = total + F.coalesce(F.get(raw, F.lit(slot)), F.lit(0.0))
-        sums.append(F.struct((-total).alias("minus"), F.lit(i).alias("at"), F.lit(name).alias("f")))
-    entries = F.array_sort(F.array(*sums))
-    whole = F.aggregate(entries, F.lit(0.0), lambda a, e: a - e["minus"])
-    whole = F.when(whole == 0, F.lit(1.0)).otherwise(whole)
-    return F.transform(
-        F.slice(entries, 1, top),
+        sums.append(F.struct((-total).alias("minus"), F.lit(i).alias("at"), F.lit(group_name).alias("f")))
+    ranked = df.withColumn("__entries", F.array_sort(F.array(*sums)))
+    whole = F.nullif(F.aggregate("__entries", F.lit(0.0), lambda a, e: a - e["minus"]), F.lit(0.0))
+    ranked = ranked.withColumn("__whole", F.coalesce(whole, F.lit(1.0)))
+    entry = F.transform(
+        F.slice("__entries", 1, top),
         lambda e: F.struct(
             e["f"].alias("f"),
-            round_scalar(-e["minus"] / whole, 4).alias("w"),
+            round_scalar(-e["minus"] / F.col("__whole"), 4).alias("w"),
             round_scalar(-e["minus"], 6).alias("raw"),
         ),
     )
+    return ranked.withColumn(name, entry).drop("__entries", "__whole")
 
 
 def with_attributions(
@@ -145,5 +174,5 @@ def with_attributions(
 ) -> DataFrame:
     """Add ``shap`` to rows that already carry the model's feature vector."""
     leaves, expected = read_leaves(transformed.sparkSession, model_path, weights)
-    raw = attribution_column(leaves, len(expected))
-    return transformed.withColumn("__raw", raw).withColumn("shap", top_groups(F.col("__raw"), groups, top)).drop("__raw")
+    out = transformed.withColumn("__raw", attribution_column(leaves, len(expected)))
+    return add_top_groups(out, "__raw", groups, top).drop("__raw")

@@ -41,7 +41,7 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 def _grow(features: Sequence[str], sample: int, seed: int):
     """Grower of one tree from its drawn rows."""
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = pdf.nsmallest(sample, "rank")[list(features)].to_numpy(dtype="float64")
         rng = np.random.default_rng([seed, tree])

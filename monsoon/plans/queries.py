@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,12 @@ from monsoon.functions import labels, spatial, temporal
 from monsoon.functions.rounding import round_scalar
 from monsoon.operators import climatology, contract, folds, metrics, order_stats, risk, weather
 from monsoon.operators.nearest import nearest_join, nearest_record
+from monsoon.plans import score, train
+from monsoon.session import ensure_checkpoint_dir
 from monsoon.sources import adapters, sinks
+from monsoon.sources.config import model_config
 from monsoon.sources.tables import Catalog
+from monsoon.streaming import rowwise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,3 +479,128 @@ def dedupe_append(spark, sf_dir):
     stored = rows.filter(F.col("predicted") == "Cerah")
     fresh = sinks.rows_to_append(rows.filter(F.col("predicted") != "Cerah"), stored, sinks.PREDICTION_KEY, ["id"])
     return fresh.select("ref_month", "geom", "predicted", "id")
+
+
+# ---------------------------------------------------------------- models
+# Trained on whole views with fewer trees than the default settings, so that a check stays short.
+
+
+def _flagged_weather(spark, sf_dir):
+    """Weather rows with the QC flag the contract gives them."""
+    return rowwise.flagged(adapters.weather(spark, sf_dir))
+
+
+def _model_dir(spark) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/models"
+
+
+@lru_cache(maxsize=8)
+def _weather_model(spark, sf_dir):
+    cfg = model_config("UC1")
+    cfg["hyperparameters"] = {**cfg["hyperparameters"], "n_estimators": 20, "max_depth": 8}
+    return train.train_weather(_flagged_weather(spark, sf_dir), cfg, _model_dir(spark))
+
+
+@lru_cache(maxsize=8)
+def _climate_model(spark, sf_dir):
+    cfg = model_config("UC2")
+    cfg["hyperparameters"] = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}
+    return train.train_climate(
+        adapters.obs(spark, sf_dir), cfg, adapters.cover(spark, sf_dir), _model_dir(spark), fold_mode="hashed"
+    )
+
+
+def _gate_row(spark, trained) -> DataFrame:
+    about = trained.metadata
+    flat = {f"model_{k}": float(v) for k, v in about["metrics"].items()}
+    flat |= {f"baseline_{k}": float(v) for k, v in about["baseline_metrics"].items()}
+    flat |= {"data_rows": about["data_rows"], "passed": about["quality_gate_passed"]}
+    return spark.createDataFrame([tuple(flat.values())], list(flat))
+
+
+@query
+def weather_model_gate(spark, sf_dir):
+    return _gate_row(spark, _weather_model(spark, sf_dir))
+
+
+@query
+def weather_prediction(spark, sf_dir):
+    trained = _weather_model(spark, sf_dir)
+    out = score.predict_weather(adapters.weather(spark, sf_dir), trained.model, trained.metadata)
+    return out.select("id", "predicted", "proba", F.to_json("probabilities").alias("probabilities"))
+
+
+@query
+def weather_prediction_rows(spark, sf_dir):
+    """Predictions in the shape of the result table."""
+    trained = _weather_model(spark, sf_dir)
+    scored = score.predict_weather_rows(_flagged_weather(spark, sf_dir), trained.model, trained.metadata)
+    return sinks.prediction_rows(scored).drop("predicted_at")
+
+
+@query
+def weather_attribution(spark, sf_dir):
+    trained = _weather_model(spark, sf_dir)
+    out = score.predict_weather(
+        adapters.weather(spark, sf_dir), trained.model, trained.metadata, f"{trained.artifact}/model"
+    )
+    return out.select("id", "predicted", F.inline_outer("shap"))
+
+
+@query
+def climate_model_gate(spark, sf_dir):
+    return _gate_row(spark, _climate_model(spark, sf_dir))
+
+
+@query
+def climate_prediction(spark, sf_dir):
+    trained = _climate_model(spark, sf_dir)
+    asked = adapters.obs(spark, sf_dir).select("id", "lat", "lon", "month", "rh2m", "ws2m", "allsky_sfc_sw_dwn")
+    out = score.predict_climate(asked, trained.model, trained.metadata, adapters.cover(spark, sf_dir))
+    return out.select("id", "landcover_class", "predicted", "unit", "ci_low", "ci_high")
+
+
+@query
+def climate_attribution(spark, sf_dir):
+    trained = _climate_model(spark, sf_dir)
+    asked = adapters.obs(spark, sf_dir).select("id", "lat", "lon", "month", "rh2m", "ws2m", "allsky_sfc_sw_dwn")
+    out = score.predict_climate(
+        asked, trained.model, trained.metadata, adapters.cover(spark, sf_dir), f"{trained.artifact}/model"
+    )
+    return out.select("id", "predicted", F.inline_outer("shap"))
+
+
+@query
+def province_prediction(spark, sf_dir):
+    trained = _climate_model(spark, sf_dir)
+    obs = adapters.obs(spark, sf_dir)
+    return score.predict_province(obs, trained.model, trained.metadata, PROVINCE, 7, cover=adapters.cover(spark, sf_dir))
+
+
+@query
+def grid_prediction(spark, sf_dir):
+    """Temperature at the rain-grid points from the land-grid model."""
+    cfg = model_config("UC4")
+    cfg["hyperparameters"] = {"n_estimators": 10, "max_depth": 8, "min_samples_leaf": 3}
+    grid = Catalog(spark).era5_land(adapters.land_grid(spark, sf_dir))
+    trained = train.train_grid(grid, cfg)
+    points = Catalog(spark).chirps(adapters.rain(spark, sf_dir)).select("id", "lat", "lon", "month")
+    return score.predict_grid(points, trained.model, trained.metadata).drop("broken")
+
+
+@query
+def disaster_prediction(spark, sf_dir):
+    disasters, obs = adapters.disaster(spark, sf_dir), adapters.obs(spark, sf_dir)
+    disasters = Catalog(spark).bnpb_disaster(disasters)
+    cfg = {"hyperparameters": {"n_estimators": 10, "learning_rate": 0.3}}
+    trained = train.train_disaster(disasters, obs, cfg)
+    return score.score_disasters(risk.disaster_training_set(disasters, obs), trained.model, trained.metadata)
+
+
+@query
+def anomaly_check(spark, sf_dir):
+    """Forest fitted on the clean rows, verdicts for all rows."""
+    trained = train.train_anomaly(_flagged_weather(spark, sf_dir))
+    out = score.check_anomalies(adapters.weather(spark, sf_dir), trained.model)
+    return out.select("id", "is_anomaly", "anomaly_score", "reason", "method")
