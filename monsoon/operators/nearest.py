@@ -155,32 +155,18 @@ def _reach(at: Column, low: Column, high: Column) -> Column:
     return F.greatest(at - low, high - at)
 
 
-def _tree_levels(cells: DataFrame) -> list[DataFrame]:
-    """Node tables from the root down to the first level where every node is a leaf."""
-    finest = cells.groupBy("cx", "cy").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("plat").alias("lat0"),
-        F.max("plat").alias("lat1"),
-        F.min("plon").alias("lon0"),
-        F.max("plon").alias("lon1"),
+def _nodes(finest: DataFrame, depth: int) -> DataFrame:
+    """The tree's nodes at a depth, with their parents (px, py), rolled up from the finest cells."""
+    shift = _LEVEL_BITS * (_DEEPEST - depth)
+    rolled = finest.groupBy(F.shiftright("cx", shift).alias("cx"), F.shiftright("cy", shift).alias("cy")).agg(
+        F.sum("n").alias("n"),
+        F.min("lat0").alias("lat0"),
+        F.max("lat1").alias("lat1"),
+        F.min("lon0").alias("lon0"),
+        F.max("lon1").alias("lon1"),
     )
-    levels = [cut_lineage(finest)]
-    for _ in range(_DEEPEST):
-        parent = (
-            levels[0]
-            .groupBy(
-                F.shiftright("cx", _LEVEL_BITS).alias("cx"), F.shiftright("cy", _LEVEL_BITS).alias("cy")
-            )
-            .agg(
-                F.sum("n").alias("n"),
-                F.min("lat0").alias("lat0"),
-                F.max("lat1").alias("lat1"),
-                F.min("lon0").alias("lon0"),
-                F.max("lon1").alias("lon1"),
-            )
-        )
-        levels.insert(0, cut_lineage(parent))
-    return levels
+    parent = [F.shiftright(c, _LEVEL_BITS).alias(p) for c, p in (("cx", "px"), ("cy", "py"))]
+    return cut_lineage(rolled.select(*parent, "*"))
 
 
 def _match_large(left, points, payload, left_xy, distance_col) -> DataFrame:
@@ -193,7 +179,15 @@ def _match_large(left, points, payload, left_xy, distance_col) -> DataFrame:
     cells = points.withColumns(
         {"cx": _cell(F.col("plat"), ext["lat0"], size), "cy": _cell(F.col("plon"), ext["lon0"], size)}
     )
-    levels = _tree_levels(cells)
+    finest = cut_lineage(
+        cells.groupBy("cx", "cy").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("plat").alias("lat0"),
+            F.max("plat").alias("lat1"),
+            F.min("plon").alias("lon0"),
+            F.max("plon").alias("lon1"),
+        )
+    )
 
     qlat, qlon = (F.col(c).cast("double") + 0.0 for c in left_xy)
     spots = (
@@ -206,11 +200,8 @@ def _match_large(left, points, payload, left_xy, distance_col) -> DataFrame:
     front = spots.withColumns({"cx": zero, "cy": zero, "n": F.lit(_LEAF_POINTS + 1).cast("long")})
     best: DataFrame | None = None
     for depth in range(1, _DEEPEST + 1):
-        node_rows = levels[depth].count()
-        children = levels[depth].select(
-            F.shiftright("cx", _LEVEL_BITS).alias("px"), F.shiftright("cy", _LEVEL_BITS).alias("py"), "*"
-        )
-        front = _descend(front, children, node_rows)
+        children = _nodes(finest, depth)
+        front = _descend(front, children, children.count())
         leaves = front.filter((F.col("n") <= _LEAF_POINTS) | F.lit(depth == _DEEPEST))
         found = _scan_leaves(leaves, cells, depth)
         best = found if best is None else best.unionByName(found)
