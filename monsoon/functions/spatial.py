@@ -76,6 +76,11 @@ def _ring_moments(ring: Column, x0: Column, y0: Column) -> Column:
     return F.aggregate(edges, zero, step, oriented)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, which may read it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def polygon_centroid(wkt: Column) -> Column:
     """Struct (lat, lon): area centroid of a POLYGON or MULTIPOLYGON, holes taken away.
 
@@ -89,20 +94,31 @@ def polygon_centroid(wkt: Column) -> Column:
     rings = F.transform(
         ring_texts, lambda t: F.struct(t.startswith("S").alias("shell"), _ring(t).alias("pts"))
     )
-    first = F.element_at(F.element_at(rings, 1)["pts"], 1)
-
-    def add(acc: Column, r: Column) -> Column:
-        m = _ring_moments(r["pts"], first["x"], first["y"])
-        sign = F.when(r["shell"], 1.0).otherwise(-1.0)
-        return F.struct(
-            (acc["a"] + sign * m["a"]).alias("a"),
-            (acc["mx"] + sign * m["mx"]).alias("mx"),
-            (acc["my"] + sign * m["my"]).alias("my"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    total = F.aggregate(rings, zero, add)
-    area = F.nullif(total["a"], F.lit(0.0))
-    return F.struct(
-        (first["y"] + total["my"] / area).alias("lat"), (first["x"] + total["mx"] / area).alias("lon")
-    )
+    return _bind(rings, _rings_centroid)
+
+
+def _rings_centroid(rings: Column) -> Column:
+    def around(first: Column) -> Column:
+        def add(acc: Column, r: Column) -> Column:
+            sign = F.when(r["shell"], 1.0).otherwise(-1.0)
+            moments = _bind(r["pts"], lambda pts: _ring_moments(pts, first["x"], first["y"]))
+            return _bind(
+                moments,
+                lambda m: F.struct(
+                    (acc["a"] + sign * m["a"]).alias("a"),
+                    (acc["mx"] + sign * m["mx"]).alias("mx"),
+                    (acc["my"] + sign * m["my"]).alias("my"),
+                ),
+            )
+
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+
+        def finish(total: Column) -> Column:
+            area = F.nullif(total["a"], F.lit(0.0))
+            return F.struct(
+                (first["y"] + total["my"] / area).alias("lat"), (first["x"] + total["mx"] / area).alias("lon")
+            )
+
+        return F.aggregate(rings, zero, add, finish)
+
+    return _bind(F.element_at(F.element_at(rings, 1)["pts"], 1), around)

@@ -42,23 +42,37 @@ def of_province(df: DataFrame, province: str) -> DataFrame:
 
 
 def daily_to_monthly(daily: DataFrame) -> DataFrame:
-    """Station days to station months; days without a mean temperature do not count."""
-    keys = [
-        F.col("station_id").alias("location_label"),
-        F.col("station_name"),
-        date_year(F.col("date")).alias("year"),
-        date_month(F.col("date")).alias("month"),
-        F.col("lat"),
-        F.col("lon"),
-    ]
-    return (
+    """Station days to station months; days without a mean temperature do not count.
+
+    The smallest flag is a text minimum, which Spark can only do by sorting. Grouping by the flag
+    first keeps the pass over the days a hash aggregate; only station months meet the text minimum.
+    """
+    keys = {
+        "location_label": F.col("station_id"),
+        "station_name": F.col("station_name"),
+        "year": date_year(F.col("date")),
+        "month": date_month(F.col("date")),
+        "lat": F.col("lat"),
+        "lon": F.col("lon"),
+    }
+    per_flag = (
         daily.filter(F.col("tavg_c").isNotNull())
-        .groupBy(*keys)
+        .groupBy(*[c.alias(n) for n, c in keys.items()], "qc_flag")
         .agg(
-            F.avg("tavg_c").alias("t2m"),
+            F.sum("tavg_c").alias("t_sum"),
+            F.count("tavg_c").alias("t_days"),
             F.max("tmax_c").alias("t2m_max"),
             F.min("tmin_c").alias("t2m_min"),
             F.sum("prcp_mm").alias("prectotcorr"),
+        )
+    )
+    return (
+        per_flag.groupBy(*keys)
+        .agg(
+            (F.sum("t_sum") / F.sum("t_days")).alias("t2m"),
+            F.max("t2m_max").alias("t2m_max"),
+            F.min("t2m_min").alias("t2m_min"),
+            F.sum("prectotcorr").alias("prectotcorr"),
             F.min("qc_flag").alias("qc_flag"),
         )
         .orderBy("location_label", "year", "month")
@@ -177,16 +191,16 @@ def flat_series(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stations(daily: DataFrame) -> DataFrame:
-    """Distinct stations, each described by its first row."""
-    return (
-        daily.filter(F.col("station_id").isNotNull())
-        .groupBy("station_id")
-        .agg(
-            F.min_by("station_name", "id").alias("station_name"),
-            F.min_by("lat", "id").alias("lat"),
-            F.min_by("lon", "id").alias("lon"),
-        )
+    """Distinct stations, each described by its first row.
+
+    Descriptions are distinct values first (a hash aggregate over the days); the first row is then
+    chosen among the few descriptions of a station.
+    """
+    described = ["station_id", "station_name", "lat", "lon"]
+    seen = (
+        daily.filter(F.col("station_id").isNotNull()).groupBy(*described).agg(F.min("id").alias("first_id"))
     )
+    return seen.groupBy("station_id").agg(*[F.min_by(c, "first_id").alias(c) for c in described[1:]])
 
 
 def nearest_stations(obs: DataFrame, daily: DataFrame, location_label: str | None = None) -> DataFrame:
@@ -289,27 +303,37 @@ def grid_status(df: DataFrame) -> DataFrame:
     )
 
 
-def sample_climate(df: DataFrame, location_label: str | None = None, month: int | None = None) -> DataFrame:
-    """Mean climate inputs of a location and month; a filter without matches is ignored."""
-    sub = df
-    if location_label:
-        sub = _filter_if_any(sub, same_text(F.col("location_label"), location_label))
-    if month:
-        sub = _filter_if_any(sub, F.col("month") == month)
-    shown_month = F.lit(month).cast("int") if month else F.min_by("month", "id").cast("int")
-    return sub.agg(
-        F.min_by("location_label", "id").alias("location_label"),
-        round_scalar(F.avg("lat"), 4).alias("lat"),
-        round_scalar(F.avg("lon"), 4).alias("lon"),
-        shown_month.alias("month"),
-        round_scalar(F.avg("rh2m"), 1).alias("rh2m"),
-        round_scalar(F.avg("ws2m"), 2).alias("ws2m"),
-        round_scalar(F.avg("allsky_sfc_sw_dwn"), 2).alias("allsky_sfc_sw_dwn"),
-    )
+_SAMPLED = {"lat": 4, "lon": 4, "rh2m": 1, "ws2m": 2, "allsky_sfc_sw_dwn": 2}
 
 
-def _filter_if_any(df: DataFrame, condition: Column) -> DataFrame:
-    """Apply a filter only if some row passes it; decided inside the plan by a scalar subquery."""
-    hit = F.coalesce(condition, F.lit(False))
-    any_hit = df.agg(F.coalesce(F.max(hit), F.lit(False)).alias("hit")).scalar()
-    return df.filter(hit | ~any_hit)
+def sample_climate(df: DataFrame, location_label: str | None = None, month: int | None = None) -> DataFrame:
+    """Mean climate inputs of a location and month; a filter without matches is ignored.
+
+    One scan: rows are rolled up per location and month, then the widest set of filters that
+    still has rows is picked from the four possible ones.
+    """
+    rolled = df.groupBy("location_label", "month").agg(
+        F.min("id").alias("id"),
+        *[f(c).alias(f"{c}_{n}") for c in _SAMPLED for n, f in (("sum", F.sum), ("n", F.count))],
+    )
+    always = F.lit(True)
+    is_label = same_text(F.col("location_label"), location_label) if location_label else always
+    is_month = (F.col("month") == month) if month else always
+    tried = [is_label & is_month, is_label, is_month, always]
+
+    def picture(keep: Column) -> Column:
+        first = F.min_by(F.struct("location_label", "month"), F.when(keep, F.col("id")))
+        means = [
+            (F.sum(F.when(keep, F.col(f"{c}_sum"))) / F.nullif(F.sum(F.when(keep, F.col(f"{c}_n"))), F.lit(0))).alias(c)
+            for c in _SAMPLED
+        ]
+        # Null when no row passes, so the next filter set is taken.
+        return F.when(F.max(keep), F.struct(first.alias("first"), *means))
+
+    best = rolled.agg(F.coalesce(*[picture(F.coalesce(k, F.lit(False))) for k in tried]).alias("s"))
+    shown_month = F.lit(month) if month else F.col("s.first.month")
+    return best.select(
+        F.col("s.first.location_label").alias("location_label"),
+        *[round_scalar(F.col(f"s.{c}"), d).alias(c) for c, d in _SAMPLED.items()],
+        shown_month.cast("int").alias("month"),
+    )

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import json
 import math
+from collections import deque
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.05, 42
 ANOMALY_FEATURES = ["suhu_c", "kelembaban_pct", "curah_hujan_mm", "kecepatan_angin_kmh"]
 FOREST_REASON = "isolation_forest"
 _POOL = 200 * SAMPLE
-_NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
+_NODE_SCHEMA = "tree int, node int, feature int, threshold double, child int, length double"
 _EULER = 0.5772156649015329
 
 
@@ -46,25 +46,23 @@ def _grow(features: Sequence[str], sample: int, seed: int):
         x = pdf.nsmallest(sample, "rank")[list(features)].to_numpy(dtype="float64")
         rng = np.random.default_rng([seed, tree])
         deepest = math.ceil(math.log2(max(len(x), 2)))
-        nodes: list[list] = []
-
-        def split(rows: np.ndarray, depth: int) -> int:
-            at = len(nodes)
-            nodes.append([tree, at, -1, 0.0, -1, -1, depth + float(average_path(len(rows)))])
+        # Breadth first: the right child of a node directly follows its left child.
+        nodes, waiting = [[tree, 0, -1, 0.0, -1, 0.0]], deque([(0, np.arange(len(x)), 0)])
+        while waiting:
+            at, rows, depth = waiting.popleft()
             low, high = x[rows].min(axis=0), x[rows].max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth >= deepest or len(rows) <= 1 or len(usable) == 0:
-                return at
+                nodes[at][5] = depth + float(average_path(len(rows)))
+                continue
             f = int(rng.choice(usable))
             threshold = float(rng.uniform(low[f], high[f]))
             left = x[rows, f] <= threshold
-            nodes[at][2:4] = [f, threshold]
-            nodes[at][4] = split(rows[left], depth + 1)
-            nodes[at][5] = split(rows[~left], depth + 1)
-            return at
-
-        split(np.arange(len(x)), 0)
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
+            child = len(nodes)
+            nodes[at][2:5] = [f, threshold, child]
+            nodes += [[tree, child, -1, 0.0, -1, 0.0], [tree, child + 1, -1, 0.0, -1, 0.0]]
+            waiting += [(child, rows[left], depth + 1), (child + 1, rows[~left], depth + 1)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "child", "length"])
 
     return grow
 
@@ -95,24 +93,22 @@ class IsolationForest:
         shift = np.repeat(start, size)
         feature = nodes["feature"].to_numpy()
         leaf = feature < 0
-        here = np.arange(len(nodes))
-        # A leaf points at itself, so all walks may take the same number of steps.
-        left = np.where(leaf, here, nodes["left"].to_numpy() + shift)
-        right = np.where(leaf, here, nodes["right"].to_numpy() + shift)
-        feature, threshold = np.maximum(feature, 0), nodes["threshold"].to_numpy()
-        length = nodes["length"].to_numpy()
+        # A leaf leads back to itself, so all walks may take the same number of steps.
+        child = np.where(leaf, np.arange(len(nodes)), nodes["child"].to_numpy() + np.repeat(start, size))
+        threshold = np.where(leaf, np.inf, nodes["threshold"].to_numpy())
+        feature, length = np.maximum(feature, 0), nodes["length"].to_numpy()
         steps = math.ceil(math.log2(max(self.sample_size, 2)))
         norm = float(average_path(self.sample_size))
 
         @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            rows = np.arange(len(x))
+            flat, row = x.ravel(), np.arange(len(x)) * x.shape[1]
             total = np.zeros(len(x))
             for root in start:
                 at = np.full(len(x), root)
                 for _ in range(steps):
-                    at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
+                    at = child[at] + (flat[row + feature[at]] > threshold[at])
                 total += length[at]
             mean = total / len(start)
             return pd.Series(-np.exp2(-mean / norm) if norm else np.full(len(x), -0.5))
@@ -166,12 +162,8 @@ def fit_forest(
     )
     # Each group holds about twice the sample; the exact number is cut inside the tree.
     forest.nodes = tagged.groupBy("tree").applyInPandas(_grow(features, sample, seed), _NODE_SCHEMA).toPandas()
-    # The threshold takes a few passes over one number per row: score once.
-    scored = df.select(forest.score().alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        forest.offset = quantiles(scored, "score", [contamination])[0]
-    finally:
-        scored.unpersist()
+    scored = df.select(forest.score().alias("score"))
+    forest.offset = quantiles(scored, "score", [contamination], computed=True)[0]
     return forest
 
 

@@ -62,7 +62,8 @@ def baseline_mean(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:
     """(fold, prediction): the target mean over the other folds, from one pass."""
     per = df.groupBy(fold).agg(F.sum(target).alias("s"), F.count(target).alias("n"))
     total = per.agg(F.struct(F.sum("s").alias("s"), F.sum("n").alias("n"))).scalar()
-    return per.select(fold, ((total["s"] - F.col("s")) / (total["n"] - F.col("n"))).alias("prediction"))
+    rest = (F.col("__all.s") - F.col("s")) / (F.col("__all.n") - F.col("n"))
+    return per.withColumn("__all", total).select(fold, rest.alias("prediction"))
 
 
 def baseline_mode(df: DataFrame, target: str, fold: str = "fold") -> DataFrame:

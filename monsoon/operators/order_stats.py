@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,9 +152,21 @@ def _narrow(base: DataFrame, intervals: list[_Interval], grouped: bool) -> list[
     return out
 
 
-def quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbouring ranks."""
-    return column_quantiles(df, [value], probabilities)[value]
+def quantiles(
+    df: DataFrame, value: str, probabilities: Sequence[float], computed: bool = False
+) -> list[float | None]:
+    """Exact quantiles with linear interpolation between neighbouring ranks.
+
+    ``computed`` marks a column that is costly to derive: its numbers are kept between the
+    passes (in memory, spilling to disk). A stored column is simply scanned again.
+    """
+    if not computed:
+        return column_quantiles(df, [value], probabilities)[value]
+    kept = df.select(value).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return column_quantiles(kept, [value], probabilities)[value]
+    finally:
+        kept.unpersist()
 
 
 def column_quantiles(

@@ -15,18 +15,20 @@ DISASTER_TARGET = "avg_kejadian_per_tahun"
 _ZONE_DIGITS = {"avg_tmax": 1, "avg_precip": 2, "avg_humidity": 0}
 
 
-def min_max(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """Each column scaled to 0..1 over the whole frame; a constant column gives 0.
+def min_max(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
+    """Add each column scaled to 0..1 over the whole frame; a constant column gives 0.
 
-    The extremes come from one scalar subquery, so no row leaves its partition.
+    The extremes come from one scalar subquery held in a column of its own, so it is planned once
+    and no row leaves its partition.
     """
     ends = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]
-    stats = df.agg(F.struct(*ends).alias("s")).scalar()
-    out = {}
-    for c in columns:
-        span = stats[c]["hi"] - stats[c]["lo"]
-        out[c] = F.when(span == 0, F.lit(0.0)).otherwise((F.col(c) - stats[c]["lo"]) / span)
-    return out
+    held = df.withColumn("__ends", df.agg(F.struct(*ends).alias("s")).scalar())
+
+    def scaled(c: str) -> Column:
+        low, high = F.col(f"__ends.{c}.lo"), F.col(f"__ends.{c}.hi")
+        return F.when(high == low, F.lit(0.0)).otherwise((F.col(c) - low) / (high - low))
+
+    return held.withColumns({c + suffix: scaled(c) for c in columns}).drop("__ends")
 
 
 def zone_climate(zones: DataFrame, obs: DataFrame, province: str) -> DataFrame:
@@ -54,13 +56,13 @@ def zone_risk(zones: DataFrame, obs: DataFrame, province: str = "DI Yogyakarta")
     Values are rounded before they are scaled: differences below the shown digits do not count.
     """
     climate = zone_climate(zones, obs, province)
-    scaled = min_max(climate, list(ZONE_RISK_WEIGHTS))
     total = None
     for c, weight in ZONE_RISK_WEIGHTS.items():
-        term = F.lit(weight) * scaled[c]
+        term = F.lit(weight) * F.col(f"{c}_scaled")
         total = term if total is None else total + term
     return (
-        climate.withColumn("risk_score", round_array(total, 3))
+        min_max(climate, list(ZONE_RISK_WEIGHTS))
+        .withColumn("risk_score", round_array(total, 3))
         .withColumn("risk_level", zone_risk_level(F.col("risk_score")))
         .select(
             "nama_zona",

@@ -17,6 +17,7 @@ from monsoon.plans import models
 from monsoon.plans.features import grid_frame, weather_frame
 
 _PARALLEL_FOLDS = 5
+_ROWS_PER_TASK = 4000
 
 # How many folds a table of n rows (or a smallest class) gets.
 
@@ -53,6 +54,18 @@ def assign_folds(df: DataFrame, k: int, order: str = "id", mode: str = "contiguo
     return folds.contiguous_folds(df, k, order)
 
 
+def kept_for_training(df: DataFrame, rows: int) -> DataFrame:
+    """Cache a frame that is read many times, spread over the cores when it sits in few partitions.
+
+    A large table keeps its partitions: the extra shuffle is only for tables that would leave
+    most cores idle, one task per ``_ROWS_PER_TASK`` rows at most.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, max(1, rows // _ROWS_PER_TASK))
+    if df.rdd.getNumPartitions() < wanted:
+        df = df.repartition(wanted)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def out_of_fold(
     folded: DataFrame, k: int, fit: Callable[[DataFrame, int], PipelineModel], keep: list[str]
 ) -> DataFrame:
@@ -93,12 +106,13 @@ def evaluate_regression(
     pipeline,
     target: str,
     k: int,
+    rows: int,
     order: str = "id",
     fold_mode: str = "contiguous",
     interval_share: float | None = None,
 ) -> dict:
     """Model and mean baseline over the same folds; optionally the quantile of |residual|."""
-    folded = assign_folds(df, k, order, fold_mode).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = kept_for_training(assign_folds(df, k, order, fold_mode), rows)
     oof = out_of_fold(folded, k, lambda rows, _: pipeline.fit(rows), [target, "predicted"])
     oof.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -142,7 +156,7 @@ def evaluate_weather(
     classes = sorted(counts)
     k = splits_for_classes(min(counts.values()), n_splits)
     prepared = with_label(weather_frame(df.filter(F.col(target).isNotNull())), target, classes)
-    folded = folds.stratified_folds(prepared, k, target, order).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = kept_for_training(folds.stratified_folds(prepared, k, target, order), sum(counts.values()))
     cells = folded.groupBy("fold", target).count().collect()
 
     def fit(rows: DataFrame, i: int) -> PipelineModel:
@@ -175,15 +189,17 @@ def evaluate_climate(
     interval_share: float | None = None,
     **how,
 ) -> dict:
-    k = splits_for_climate(df.count(), n_splits)
+    rows = df.count()
     pipeline = models.climate_pipeline(target, use_landcover, model_name, **(hyperparameters or {}))
-    return evaluate_regression(df, pipeline, target, k, interval_share=interval_share, **how)
+    return evaluate_regression(
+        df, pipeline, target, splits_for_climate(rows, n_splits), rows, interval_share=interval_share, **how
+    )
 
 
 def evaluate_grid(
     df: DataFrame, target: str = "t2m_celsius", n_splits: int = 5, hyperparameters: dict | None = None, **how
 ) -> dict:
     prepared = grid_frame(df, target, how.get("order", "id"))
-    k = splits_for_grid(df.count(), n_splits)
+    rows = df.count()
     pipeline = models.grid_pipeline(target, "soil_temp_c" in prepared.columns, **(hyperparameters or {}))
-    return evaluate_regression(prepared, pipeline, target, k, **how)
+    return evaluate_regression(prepared, pipeline, target, splits_for_grid(rows, n_splits), rows, **how)

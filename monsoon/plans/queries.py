@@ -440,7 +440,7 @@ def conformal_interval(spark, sf_dir):
     base = metrics.baseline_mean(o, "t2m")
     # One row per fold: the lookup is tiny by construction.
     resid = o.join(F.broadcast(base), "fold").select(F.abs(F.col("t2m") - F.col("prediction")).alias("r"))
-    q90 = round(order_stats.quantiles(resid, "r", [0.9])[0], 4)
+    q90 = round(order_stats.quantiles(resid, "r", [0.9], computed=True)[0], 4)
     low, high = labels.interval(F.col("prediction"), q90)
     return base.select("fold", F.lit(q90).alias("ci_q90"), low.alias("ci_low"), high.alias("ci_high"))
 
@@ -448,8 +448,8 @@ def conformal_interval(spark, sf_dir):
 @query
 def min_max_scale(spark, sf_dir):
     w = adapters.weather(spark, sf_dir).withColumn("flat", F.lit(3.0))
-    scaled = risk.min_max(w, ["suhu_c", "curah_hujan_mm", "flat"])
-    return w.select("id", *[F.round(c, 6).alias(n) for n, c in scaled.items()])
+    names = ["suhu_c", "curah_hujan_mm", "flat"]
+    return risk.min_max(w, names).select("id", *[F.round(f"{c}_scaled", 6).alias(c) for c in names])
 
 
 @query

@@ -176,8 +176,8 @@ def score_disasters(training_set: DataFrame, model: PipelineModel, metadata: Map
     if "q33" in metadata and "q66" in metadata:
         q33, q66 = F.lit(metadata["q33"]), F.lit(metadata["q66"])
     else:
-        mean = out.agg(F.avg("predicted").alias("m")).scalar()
-        q33, q66 = mean, mean * 1.5
+        out = out.withColumn("__mean", out.agg(F.avg("predicted").alias("m")).scalar())
+        q33, q66 = F.col("__mean"), F.col("__mean") * 1.5
     return out.select(
         "kode_wilayah",
         "nama_wilayah",

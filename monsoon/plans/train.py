@@ -128,13 +128,17 @@ def train_climate(
     k_interval = evaluate.splits_for_interval(rows)
     # The same folds serve the gate and the interval whenever their numbers agree.
     share = INTERVAL_SHARE if k == k_interval else None
-    result = evaluate.evaluate_regression(clean, pipeline, target, k, interval_share=share, **how)
-    half_width = result.get("half_width")
-    if half_width is None:
-        half_width = evaluate.evaluate_regression(
-            clean, pipeline, target, k_interval, interval_share=INTERVAL_SHARE, **how
-        )["half_width"]
-    model = pipeline.fit(clean)
+    kept = evaluate.kept_for_training(clean, rows)
+    try:
+        result = evaluate.evaluate_regression(kept, pipeline, target, k, rows, interval_share=share, **how)
+        half_width = result.get("half_width")
+        if half_width is None:
+            half_width = evaluate.evaluate_regression(
+                kept, pipeline, target, k_interval, rows, interval_share=INTERVAL_SHARE, **how
+            )["half_width"]
+        model = pipeline.fit(kept)
+    finally:
+        kept.unpersist()
     about = {**_about("UC2", name, target, rows, result), "ci_q90": half_width, "use_landcover": use_landcover}
     return _finish(df, model, _gate(about, cfg), model_dir)
 
@@ -191,7 +195,7 @@ def train_disaster(
     n = rows.count()
     pipeline = models.disaster_pipeline(target, **hp)
     result = evaluate.evaluate_regression(
-        rows, pipeline, target, evaluate.splits_for_disaster(n), order="kode_wilayah"
+        rows, pipeline, target, evaluate.splits_for_disaster(n), n, order="kode_wilayah"
     )
     q33, q66 = quantiles(rows, target, [0.33, 0.66])
     about = {

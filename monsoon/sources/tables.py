@@ -96,7 +96,9 @@ def conform(df: DataFrame, table: Table, sentinel: float | None = None) -> DataF
     geom = next((c for c in ("geom", "geom_wkt") if c in df.columns), None)
     if geom and lat_name not in df.columns:
         if table.geometry == "polygon":
-            derived = {lat_name: polygon_centroid(F.col(geom))["lat"], lon_name: polygon_centroid(F.col(geom))["lon"]}
+            # Its own projection: the outline is read once for both coordinates.
+            df = df.withColumn("__centre", polygon_centroid(F.col(geom)))
+            derived = {lat_name: F.col("__centre.lat"), lon_name: F.col("__centre.lon")}
         else:
             derived = {lat_name: point_lat(F.col(geom)), lon_name: point_lon(F.col(geom))}
 
@@ -141,8 +143,8 @@ def read_json(
         return conform(raw, table, sentinel)
     geom = F.coalesce("geom", "geom_wkt")
     if table.geometry == "polygon":
-        centre = polygon_centroid(geom)
-        lat, lon = centre["lat"], centre["lon"]
+        raw = raw.withColumn("__centre", polygon_centroid(geom))
+        lat, lon = F.col("__centre.lat"), F.col("__centre.lon")
     else:
         lat, lon = point_lat(geom), point_lon(geom)
     filled = raw.withColumns({lat_name: F.coalesce(lat_name, lat), lon_name: F.coalesce(lon_name, lon)})
