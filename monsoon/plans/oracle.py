@@ -452,6 +452,25 @@ FROM (SELECT kode_wilayah, avg(jumlah_kejadian) AS m FROM disaster GROUP BY 1),
  FROM range(5) a(fold) JOIN folded w ON w.fold <> a.fold GROUP BY 1, 2) WHERE rn = 1""",
         dealt,
     )
+    sql["weather_baseline_metrics"] = _with(
+        "weather",
+        """SELECT round(avg(f1), 6) AS macro_f1, round(sum(f1 * s) / sum(s), 6) AS weighted_f1 FROM (
+ SELECT x, count(*) FILTER (WHERE cuaca = x) AS s, 2e0 * count(*) FILTER (WHERE cuaca = x AND prediction = x)
+  / (count(*) FILTER (WHERE cuaca = x) + count(*) FILTER (WHERE prediction = x)) AS f1 FROM l, based GROUP BY 1)""",
+        dealt
+        + """, base AS (SELECT fold, cuaca AS prediction FROM (SELECT a.fold, w.cuaca,
+ row_number() OVER (PARTITION BY a.fold ORDER BY count(*) DESC, w.cuaca) AS rn
+ FROM range(5) a(fold) JOIN folded w ON w.fold <> a.fold GROUP BY 1, 2) WHERE rn = 1),
+ based AS (SELECT cuaca, prediction FROM folded JOIN base USING (fold)),
+ l AS (SELECT cuaca AS x FROM based UNION SELECT prediction FROM based)""",
+    )
+    sql["climate_baseline_metrics"] = _with(
+        "obs",
+        """SELECT round(avg(abs(t2m - prediction)), 6) AS mae, round(sqrt(avg((t2m - prediction) * (t2m - prediction))), 6) AS rmse,
+ round(1e0 - avg((t2m - prediction) * (t2m - prediction)) / var_pop(t2m), 6) AS r2 FROM f JOIN base USING (fold)""",
+        f"""f AS (SELECT * FROM {contiguous.format(view='obs')}),
+ base AS (SELECT a.fold, avg(o.t2m) AS prediction FROM range(5) a(fold) JOIN f o ON o.fold <> a.fold GROUP BY 1)""",
+    )
     sql["classification_metrics"] = """
 WITH l AS (SELECT quality AS x FROM labels UNION SELECT toxic FROM labels),
 f AS (SELECT x, count(*) FILTER (WHERE quality = x) AS s,

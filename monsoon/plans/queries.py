@@ -604,3 +604,24 @@ def anomaly_check(spark, sf_dir):
     trained = train.train_anomaly(_flagged_weather(spark, sf_dir))
     out = score.check_anomalies(adapters.weather(spark, sf_dir), trained.model)
     return out.select("id", "is_anomaly", "anomaly_score", "reason", "method")
+
+
+# ---------------------------------------------------------------- baselines of the gates
+
+
+@query
+def weather_baseline_metrics(spark, sf_dir):
+    """Macro and weighted F1 of always naming the most frequent class of the other folds."""
+    w = folds.stratified_folds(adapters.weather(spark, sf_dir), 5, "cuaca", "id")
+    based = w.select("fold", "cuaca").join(F.broadcast(metrics.baseline_mode(w, "cuaca")), "fold")
+    out = metrics.classification_metrics(based, "cuaca", "prediction")
+    return out.select(_r6("macro_f1"), _r6("weighted_f1"))
+
+
+@query
+def climate_baseline_metrics(spark, sf_dir):
+    """mae, rmse and r2 of the mean of the other folds."""
+    o = folds.contiguous_folds(adapters.obs(spark, sf_dir), 5, "id")
+    based = o.select("fold", "t2m").join(F.broadcast(metrics.baseline_mean(o, "t2m")), "fold")
+    out = metrics.regression_metrics(based, "t2m", "prediction")
+    return out.select(_r6("mae"), _r6("rmse"), _r6("r2"))
