@@ -82,7 +82,7 @@ def _bind(value: Column, body) -> Column:
 
 
 def polygon_centroid(wkt: Column) -> Column:
-    """Struct (lat, lon): area centroid of a POLYGON or MULTIPOLYGON, holes taken away.
+    """Struct (lat, lon): area centroid of a POLYGON or MULTIPOLYGON, holes taken away; null for null.
 
     Coordinates are shifted to the first vertex before the products, so small polygons far
     from the origin lose no digits.

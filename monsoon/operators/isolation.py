@@ -9,6 +9,7 @@ and each Arrow batch walks all trees at once.
 from __future__ import annotations
 
 import json
+import logging
 import math
 from collections import deque
 from collections.abc import Mapping, Sequence
@@ -23,6 +24,8 @@ from monsoon.functions.rounding import round_scalar
 from monsoon.operators.contract import rule_flags
 from monsoon.operators.order_stats import column_quantiles, quantiles
 
+log = logging.getLogger("monsoon")
+
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.05, 42
 ANOMALY_FEATURES = ["suhu_c", "kelembaban_pct", "curah_hujan_mm", "kecepatan_angin_kmh"]
 FOREST_REASON = "isolation_forest"
@@ -183,6 +186,7 @@ def detect_anomalies(
     reports OK for rows only the forest found.
     """
     if forest is None:
+        log.warning("no fitted forest given: fitting one on the input itself")
         forest = fit_forest(df, features, key, contamination)
     scored = rule_flags(df, contract).withColumn("__score", forest.score())
     flagged = scored.withColumn("forest_flag", F.col("__score") < F.lit(forest.offset))

@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 from monsoon.operators import folds, metrics
 from monsoon.operators.order_stats import quantiles
 from monsoon.plans import models
-from monsoon.plans.features import grid_frame, weather_frame
+from monsoon.plans.features import WEATHER_PERIODS, grid_frame, weather_frame
 
 _PARALLEL_FOLDS = 5
 _ROWS_PER_TASK = 4000
+_MAX_CLASSES = 500
 
 # How many folds a table of n rows (or a smallest class) gets.
 
@@ -127,8 +128,10 @@ def evaluate_regression(
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
-    """Rows per class, null left out; class labels are few by the model's own limits."""
-    rows = df.filter(F.col(target).isNotNull()).groupBy(target).count().collect()
+    """Rows per class, null left out."""
+    rows = df.filter(F.col(target).isNotNull()).groupBy(target).count().limit(_MAX_CLASSES + 1).collect()
+    if len(rows) > _MAX_CLASSES:
+        raise ValueError(f"'{target}' has more than {_MAX_CLASSES} classes")
     return {r[target]: r["count"] for r in rows}
 
 
@@ -149,6 +152,7 @@ def evaluate_weather(
     model_name: str = "random_forest",
     hyperparameters: dict | None = None,
     order: str = "id",
+    periods: dict | None = None,
 ) -> dict:
     """Macro-F1 of the classifier against always naming the most frequent class."""
     hp = hyperparameters or {}
@@ -165,7 +169,7 @@ def evaluate_weather(
             if c["fold"] != i:
                 seen[c[target]] = seen.get(c[target], 0) + c["count"]
         weighted = models.with_balanced_weight(rows, seen, target)
-        return models.weather_pipeline(classes, model_name, **hp).fit(weighted)
+        return models.weather_pipeline(classes, model_name, periods or WEATHER_PERIODS, **hp).fit(weighted)
 
     oof = out_of_fold(folded, k, fit, [target, "predicted"])
     try:

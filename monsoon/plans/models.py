@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from monsoon.operators.risk import DISASTER_FEATURES
-from monsoon.plans.features import climate_stages, disaster_stages, grid_stages, weather_stages
+from monsoon.plans.features import (
+    WEATHER_PERIODS,
+    climate_stages,
+    disaster_stages,
+    grid_stages,
+    weather_stages,
+)
 
 SEED = 42
 MOST_FREQUENT, MEAN = "most_frequent", "mean"
@@ -81,7 +87,12 @@ def with_balanced_weight(df: DataFrame, counts: Mapping[object, int], target: st
     return df.withColumn(_WEIGHT, weight)
 
 
-def weather_pipeline(classes: Sequence[str], name: str = "random_forest", **params) -> Pipeline:
+def weather_pipeline(
+    classes: Sequence[str],
+    name: str = "random_forest",
+    periods: Mapping[str, float] = WEATHER_PERIODS,
+    **params,
+) -> Pipeline:
     """Weather classes; training rows carry ``label`` numbers. ``class_weight='balanced'`` reads the
     weight column."""
     estimator = make_estimator(name, **params)
@@ -89,7 +100,7 @@ def weather_pipeline(classes: Sequence[str], name: str = "random_forest", **para
     if params.get("class_weight") == "balanced":
         estimator.setWeightCol(_WEIGHT)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=[str(c) for c in classes])
-    return Pipeline(stages=[*weather_stages(), estimator, back])
+    return Pipeline(stages=[*weather_stages(periods), estimator, back])
 
 
 def _regression(stages: list[Transformer | Estimator], target: str, estimator) -> Pipeline:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monsoon.functions import labels, spatial, temporal
-from monsoon.functions.rounding import round_scalar
 from monsoon.operators import climatology, contract, folds, metrics, order_stats, risk, weather
 from monsoon.operators.nearest import nearest_join, nearest_record
 from monsoon.plans import score, train

@@ -13,7 +13,7 @@ from monsoon.operators import contract, isolation, risk
 from monsoon.operators.isolation import IsolationForest
 from monsoon.operators.order_stats import quantiles
 from monsoon.plans import evaluate, models
-from monsoon.plans.features import SOIL, grid_frame, weather_frame
+from monsoon.plans.features import SOIL, WEATHER_PERIODS, grid_frame, weather_frame
 from monsoon.sources.artifacts import save_artifact
 from monsoon.sources.config import model_config
 
@@ -77,7 +77,11 @@ def _gate(about: dict, cfg: dict) -> dict:
 def train_weather(
     df: DataFrame, cfg: dict | None = None, model_dir: str | None = None, rules: dict | None = None, order: str = "id"
 ) -> Trained:
-    """UC-1: clean rows, enough of them, inside their ranges; classify the weather."""
+    """UC-1: clean rows, enough of them, inside their ranges; classify the weather.
+
+    ``gate_hyperparameters`` in the settings lets the gate judge another parameter set than the
+    final fit (an empty one: the library defaults); ``periods`` changes the cyclical periods.
+    """
     cfg = cfg or model_config("UC1")
     clean = contract.qc_clean(df)
     contract.require_min_rows(clean, rules)
@@ -89,14 +93,15 @@ def train_weather(
         cfg.get("cv", {}).get("n_splits", 5),
         cfg.get("quality_gate", {}).get("margin_over_baseline", 0.10),
         name,
-        hp,
+        cfg.get("gate_hyperparameters", hp),
         order,
+        cfg.get("periods"),
     )
     counts = evaluate.class_counts(clean, target)
     classes = sorted(counts)
     rows = weather_frame(clean.filter(F.col(target).isNotNull()))
     labelled = models.with_balanced_weight(evaluate.with_label(rows, target, classes), counts, target)
-    model = models.weather_pipeline(classes, name, **hp).fit(labelled)
+    model = models.weather_pipeline(classes, name, cfg.get("periods") or WEATHER_PERIODS, **hp).fit(labelled)
     about = {**_about("UC1", name, target, sum(counts.values()), result), "classes": [str(c) for c in classes]}
     return _finish(df, model, about, model_dir)
 

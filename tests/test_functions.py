@@ -53,13 +53,14 @@ def test_points_and_polygons(spark):
         None,
     ]
     df = spark.createDataFrame(list(enumerate(shapes)), "i int, g string")
-    got = {r["i"]: r["c"] for r in rows(df.select("i", spatial.polygon_centroid(F.col("g")).alias("c")))}
+    centre = df.withColumn("c", spatial.polygon_centroid(F.col("g")))
+    got = {r["i"]: r for r in rows(centre.select("i", "c.lat", "c.lon"))}
     assert got[0]["lat"] == pytest.approx(-7.823, abs=1e-12) and got[0]["lon"] == pytest.approx(110.36, abs=1e-12)
     # areas 16 - 1 + 4, moments from the three squares
     assert got[1]["lon"] == pytest.approx((16 * 2 - 1.5 + 4 * 11) / 19)
     assert got[1]["lat"] == pytest.approx((16 * 2 - 1.5 + 4 * 1) / 19)
     assert (got[2]["lat"], got[2]["lon"]) == (2.0, 2.0)
-    assert got[3]["lat"] is None
+    assert got[3]["lat"] is None and got[3]["lon"] is None
     point = spark.createDataFrame([("POINT(107.6 -6.9)",), ("LINESTRING(0 0, 1 1)",)], "g string")
     got = rows(point.select(spatial.point_lat(F.col("g")).alias("lat"), spatial.point_lon(F.col("g")).alias("lon")))
     assert got == [{"lat": -6.9, "lon": 107.6}, {"lat": None, "lon": None}]
