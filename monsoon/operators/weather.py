@@ -56,7 +56,8 @@ def sample_weather(
         return mean_record(require_rows(sub, f"no data for {chosen}", LookupError))
     if lat is not None and lon is not None:
         return mean_record(nearest_record(df, lat, lon, ["id"]).drop("d2"))
-    return mean_record(df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1))
+    mixed = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed))))
+    return mean_record(df.orderBy(mixed, "id").limit(1))
 
 
 def location_tree(df: DataFrame) -> DataFrame:

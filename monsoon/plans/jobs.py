@@ -38,7 +38,7 @@ def train_use_case(
     if use_case == "UC4":
         return train.train_grid(catalog.era5(), cfg, model_dir)
     if use_case == "UC5":
-        return train.train_disaster(catalog.bnpb_disaster(), catalog.nasa_power(), cfg, model_dir)
+        return train.train_disaster(catalog.bnpb_disaster(ordered=False), catalog.nasa_power(), cfg, model_dir)
     raise ValueError(f"unknown use case '{use_case}'")
 
 

@@ -372,6 +372,7 @@ FROM obs WHERE provinsi = 'ASIA' AND month = 7 GROUP BY 1""",
     sql["sample_weather_point"] = _sample_weather(
         "", f"ORDER BY {_d2('-3e0', '110e0', 'lat', 'lon')}, id LIMIT 1"
     )
+    sql["sample_weather_random"] = _sample_weather("", "ORDER BY md5(id || '-42'), id LIMIT 1")
     sql["location_hierarchy"] = _with(
         "weather",
         """SELECT provinsi, kotkab, kecamatan, desa FROM t WHERE desa IS NOT NULL
@@ -515,5 +516,26 @@ GROUP BY 1, 2""",
         """k AS (SELECT id, cuaca AS predicted, CASE WHEN id % 3 <> 0 THEN CAST(substr(datetime_local, 6, 2) AS INTEGER) END AS ref_month,
   'POINT (' || CAST(lon AS VARCHAR) || ' ' || CAST(lat AS VARCHAR) || ')' AS geom FROM weather),
  s AS (SELECT * FROM k WHERE predicted = 'Cerah'), n AS (SELECT * FROM k WHERE predicted <> 'Cerah')""",
+    )
+    # ------------------------------------------------------------ result shaping
+    picked = ", ".join(f"{exact_round(f'(id % {m} + 1) / t', 4)} AS p{m}" for m in (7, 5, 3))
+    sql["best_class"] = _with(
+        "weather",
+        f"""SELECT id, CASE greatest(p7, p5, p3) WHEN p7 THEN 'Berawan' WHEN p5 THEN 'Cerah' ELSE 'Hujan' END AS predicted,
+ greatest(p7, p5, p3) AS proba FROM (SELECT id, {picked} FROM (
+ SELECT CAST(id AS DOUBLE) AS id, CAST(id % 7 + 1 AS DOUBLE) + (id % 5 + 1) + (id % 3 + 1) AS t FROM weather))""",
+    )
+    share = exact_round("raw / whole", 4)
+    sql["attribution_groups"] = _with(
+        "weather",
+        f"""SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY raw DESC, slot) - 1 AS INTEGER) AS rank, f,
+ {share} AS w, {exact_round('raw', 6)} AS raw
+FROM (SELECT id, slot, f, raw, CASE WHEN whole = 0 THEN 1e0 ELSE whole END AS whole FROM (
+ SELECT *, sum(raw) OVER (PARTITION BY id) AS whole FROM (
+  SELECT id, 0 AS slot, 'kelembaban (RH)' AS f, coalesce(kelembaban_pct, 0e0) AS raw FROM weather
+  UNION ALL SELECT id, 1, 'kecepatan angin', kecepatan_angin_kmh FROM weather
+  UNION ALL SELECT id, 2, 'radiasi surya', tutupan_awan_pct FROM weather
+  UNION ALL SELECT id, 3, 'koordinat', abs(lat) + abs(lon) FROM weather
+  UNION ALL SELECT id, 4, 'bulan', arah_angin_deg + curah_hujan_mm FROM weather)))""",
     )
     return sql

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monsoon.functions import labels, spatial, temporal
-from monsoon.operators import climatology, contract, folds, metrics, order_stats, risk, weather
+from monsoon.operators import attribution, climatology, contract, folds, metrics, order_stats, risk, weather
 from monsoon.operators.nearest import nearest_join, nearest_record
 from monsoon.plans import score, train
+from monsoon.plans.features import CLIMATE_GROUPS
 from monsoon.session import ensure_checkpoint_dir
 from monsoon.sources import adapters, sinks
 from monsoon.sources.config import model_config
@@ -326,7 +327,7 @@ def zone_risk(spark, sf_dir):
 
 @query
 def disaster_training_set(spark, sf_dir):
-    disasters = Catalog(spark).bnpb_disaster(adapters.disaster(spark, sf_dir))
+    disasters = Catalog(spark).bnpb_disaster(adapters.disaster(spark, sf_dir), ordered=False)
     out = risk.disaster_training_set(disasters, adapters.obs(spark, sf_dir))
     return out.select(
         "kode_wilayah",
@@ -591,7 +592,7 @@ def grid_prediction(spark, sf_dir):
 @query
 def disaster_prediction(spark, sf_dir):
     disasters, obs = adapters.disaster(spark, sf_dir), adapters.obs(spark, sf_dir)
-    disasters = Catalog(spark).bnpb_disaster(disasters)
+    disasters = Catalog(spark).bnpb_disaster(disasters, ordered=False)
     cfg = {"hyperparameters": {"n_estimators": 10, "learning_rate": 0.3}}
     trained = train.train_disaster(disasters, obs, cfg)
     return score.score_disasters(risk.disaster_training_set(disasters, obs), trained.model, trained.metadata)
@@ -624,3 +625,27 @@ def climate_baseline_metrics(spark, sf_dir):
     based = o.select("fold", "t2m").join(F.broadcast(metrics.baseline_mean(o, "t2m")), "fold")
     out = metrics.regression_metrics(based, "t2m", "prediction")
     return out.select(_r6("mae"), _r6("rmse"), _r6("r2"))
+
+
+# ---------------------------------------------------------------- result shaping
+
+
+@query
+def best_class(spark, sf_dir):
+    """Class choice by rounded probabilities, ties to the first class."""
+    w = adapters.weather(spark, sf_dir)
+    parts = [(F.col("id") % m + 1).cast("double") for m in (7, 5, 3)]
+    total = parts[0] + parts[1] + parts[2]
+    shares = w.select("id", F.array(*[p / total for p in parts]).alias("p"))
+    out = score.with_best_class(shares, F.col("p"), ["Berawan", "Cerah", "Hujan"])
+    return out.select("id", "predicted", "proba")
+
+
+@query
+def attribution_groups(spark, sf_dir):
+    """Top five display groups with their share, from one number per feature slot."""
+    w = adapters.weather(spark, sf_dir)
+    slots = ["kelembaban_pct", "kecepatan_angin_kmh", "tutupan_awan_pct", "lat", "lon", "arah_angin_deg", "curah_hujan_mm"]
+    raw = F.array(*[F.abs(F.col(c)) for c in slots])
+    out = attribution.add_top_groups(w.select("id", raw.alias("raw_slots")), "raw_slots", CLIMATE_GROUPS)
+    return out.select("id", F.posexplode("shap").alias("rank", "s")).select("id", "rank", "s.f", "s.w", "s.raw")

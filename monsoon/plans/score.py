@@ -38,13 +38,21 @@ def predict_weather_rows(df: DataFrame, model: PipelineModel, metadata: Mapping)
     )
 
 
-def _class_columns(classes: list[str]) -> dict[str, Column]:
-    """Probabilities rounded to four digits; the first of the largest rounded ones wins."""
-    rounded = F.transform(vector_to_array("probability"), lambda p: round_scalar(p, 4))
+def with_best_class(df: DataFrame, probability: Column, classes: list[str]) -> DataFrame:
+    """Add predicted, proba and probabilities from an array of class probabilities.
+
+    Probabilities are rounded to four digits first; the first of the largest rounded ones wins.
+    """
+    held = df.withColumn("__p", F.transform(probability, lambda p: round_scalar(p, 4)))
     names = F.array(*[F.lit(c) for c in classes])
     best = F.array_position("__p", F.array_max("__p")).cast("int")
-    return {"__p": rounded, "predicted": F.element_at(names, best), "proba": F.array_max("__p"),
-            "probabilities": F.map_from_arrays(names, F.col("__p"))}
+    return held.withColumns(
+        {
+            "predicted": F.element_at(names, best),
+            "proba": F.array_max("__p"),
+            "probabilities": F.map_from_arrays(names, F.col("__p")),
+        }
+    ).drop("__p")
 
 
 def predict_weather(
@@ -60,16 +68,12 @@ def predict_weather(
         at = len(model.stages) - 2
         forest = model.stages[at]
         out = with_attributions(out, stage_path(model_path, model, at), forest.treeWeights, WEATHER_GROUPS)
-    columns = _class_columns(list(metadata["classes"]))
-    out = out.withColumn("__p", columns.pop("__p"))
+    # The pipeline's own prediction goes by the unrounded probabilities.
+    out = with_best_class(out.drop("predicted"), vector_to_array("probability"), list(metadata["classes"]))
     valid = F.size("broken") == 0
-    # The pipeline's own prediction takes the unrounded probabilities.
-    out = out.drop("predicted").withColumns({n: F.when(valid, c) for n, c in columns.items()})
-    if model_path:
-        out = out.withColumn("shap", F.when(valid, F.col("shap")))
-    extra = ["shap"] if model_path else []
-    return out.select(*df.columns, "broken", "predicted", "proba", "probabilities", *extra).withColumn(
-        "model_version", _version(metadata)
+    results = ["predicted", "proba", "probabilities", *(["shap"] if model_path else [])]
+    return out.select(
+        *df.columns, "broken", *[F.when(valid, F.col(c)).alias(c) for c in results], _version(metadata).alias("model_version")
     )
 
 

@@ -222,8 +222,9 @@ class Catalog:
     def noaa_ghcn(self, df: DataFrame | None = None) -> DataFrame:
         return with_year(self.read(GHCN, df))
 
-    def bnpb_disaster(self, df: DataFrame | None = None) -> DataFrame:
-        return clean_disasters(self.read(DISASTER, df))
+    def bnpb_disaster(self, df: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+        """Clean disaster rows by region and year; training needs no order and skips the sort."""
+        return clean_disasters(self.read(DISASTER, df), ordered)
 
     def worldcover(self, df: DataFrame | None = None) -> DataFrame:
         return self.read(WORLDCOVER, df)
@@ -255,5 +256,6 @@ def with_year(daily: DataFrame) -> DataFrame:
     return daily.withColumn("year", date_year(F.col("date")))
 
 
-def clean_disasters(df: DataFrame) -> DataFrame:
-    return qc_clean(df).orderBy("kode_wilayah", "year")
+def clean_disasters(df: DataFrame, ordered: bool = True) -> DataFrame:
+    clean = qc_clean(df)
+    return clean.orderBy("kode_wilayah", "year") if ordered else clean
