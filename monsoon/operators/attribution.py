@@ -155,7 +155,7 @@ def add_top_groups(df: DataFrame, raw: str, groups: Sequence[str], top: int = 5,
             if group == group_name:
                 total = total + F.coalesce(F.get(raw, F.lit(slot)), F.lit(0.0))
         sums.append(F.struct((-total).alias("minus"), F.lit(i).alias("at"), F.lit(group_name).alias("f")))
-    ranked = df.withColumn("__entries", F.array_sort(F.array(*sums)))
+    ranked = df.withColumn("__entries", F.sort_array(F.array(*sums)))
     whole = F.nullif(F.aggregate("__entries", F.lit(0.0), lambda a, e: a - e["minus"]), F.lit(0.0))
     ranked = ranked.withColumn("__whole", F.coalesce(whole, F.lit(1.0)))
     entry = F.transform(

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from monsoon.operators import folds, metrics
 from monsoon.operators.order_stats import quantiles
 from monsoon.plans import models
-from monsoon.plans.features import WEATHER_PERIODS, grid_frame, weather_frame
+from monsoon.plans.features import WEATHER_PERIODS, grid_frame, weather_frame, weather_inputs
 
 _PARALLEL_FOLDS = 5
 _ROWS_PER_TASK = 4000
@@ -112,8 +112,13 @@ def evaluate_regression(
     fold_mode: str = "contiguous",
     interval_share: float | None = None,
 ) -> dict:
-    """Model and mean baseline over the same folds; optionally the quantile of |residual|."""
-    folded = kept_for_training(assign_folds(df, k, order, fold_mode), rows)
+    """Model and mean baseline over the same folds; optionally the quantile of |residual|.
+
+    A frame the caller has cached is not cached again: the fold number is cheap to work out.
+    """
+    folded = assign_folds(df, k, order, fold_mode)
+    if not df.is_cached:
+        folded = kept_for_training(folded, rows)
     oof = out_of_fold(folded, k, lambda rows, _: pipeline.fit(rows), [target, "predicted"])
     oof.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -123,7 +128,8 @@ def evaluate_regression(
             result["half_width"] = round(quantiles(residual, "r", [interval_share])[0], 4)
     finally:
         oof.unpersist()
-        folded.unpersist()
+        if not df.is_cached:
+            folded.unpersist()
     return result
 
 
@@ -153,14 +159,16 @@ def evaluate_weather(
     hyperparameters: dict | None = None,
     order: str = "id",
     periods: dict | None = None,
+    counts: dict | None = None,
 ) -> dict:
     """Macro-F1 of the classifier against always naming the most frequent class."""
     hp = hyperparameters or {}
-    counts = class_counts(df, target)
+    counts = class_counts(df, target) if counts is None else counts
     classes = sorted(counts)
     k = splits_for_classes(min(counts.values()), n_splits)
-    prepared = with_label(weather_frame(df.filter(F.col(target).isNotNull())), target, classes)
-    folded = kept_for_training(folds.stratified_folds(prepared, k, target, order), sum(counts.values()))
+    folded = folds.stratified_folds(df.filter(F.col(target).isNotNull()), k, target, order)
+    folded = folded.select("fold", *weather_inputs(df, target, order))
+    folded = kept_for_training(with_label(weather_frame(folded), target, classes), sum(counts.values()))
     cells = folded.groupBy("fold", target).count().collect()
 
     def fit(rows: DataFrame, i: int) -> PipelineModel:

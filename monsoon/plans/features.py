@@ -116,6 +116,17 @@ def weather_frame(df: DataFrame) -> DataFrame:
     return add_spatial_features(add_temporal_features(df))
 
 
+def weather_inputs(df: DataFrame, target: str, order: str = "id") -> list[str]:
+    """The columns training reads: a cached frame should hold no others."""
+    wanted = [order, target, *WEATHER_NUMERIC, "arah_angin_deg", "datetime_local"]
+    return [c for c in dict.fromkeys(wanted) if c in df.columns]
+
+
+def climate_inputs(df: DataFrame, target: str, order: str = "id") -> list[str]:
+    wanted = [order, target, *CLIMATE_NUMERIC, "month", "landcover_class"]
+    return [c for c in dict.fromkeys(wanted) if c in df.columns]
+
+
 def weather_stages(periods: Mapping[str, float] = WEATHER_PERIODS) -> list[Transformer | Estimator]:
     """14 slots: 6 scaled measures, 3 sines, 3 cosines, season.
 

@@ -648,4 +648,4 @@ def attribution_groups(spark, sf_dir):
     slots = ["kelembaban_pct", "kecepatan_angin_kmh", "tutupan_awan_pct", "lat", "lon", "arah_angin_deg", "curah_hujan_mm"]
     raw = F.array(*[F.abs(F.col(c)) for c in slots])
     out = attribution.add_top_groups(w.select("id", raw.alias("raw_slots")), "raw_slots", CLIMATE_GROUPS)
-    return out.select("id", F.posexplode("shap").alias("rank", "s")).select("id", "rank", "s.f", "s.w", "s.raw")
+    return out.select("id", F.posexplode_outer("shap").alias("rank", "s")).select("id", "rank", "s.f", "s.w", "s.raw")

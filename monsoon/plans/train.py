@@ -13,7 +13,14 @@ from monsoon.operators import contract, isolation, risk
 from monsoon.operators.isolation import IsolationForest
 from monsoon.operators.order_stats import quantiles
 from monsoon.plans import evaluate, models
-from monsoon.plans.features import SOIL, WEATHER_PERIODS, grid_frame, weather_frame
+from monsoon.plans.features import (
+    SOIL,
+    WEATHER_PERIODS,
+    climate_inputs,
+    grid_frame,
+    weather_frame,
+    weather_inputs,
+)
 from monsoon.sources.artifacts import save_artifact
 from monsoon.sources.config import model_config
 
@@ -87,6 +94,7 @@ def train_weather(
     contract.require_min_rows(clean, rules)
     contract.require_ranges(clean, rules)
     target, name, hp = cfg["target"], cfg.get("model_name", "random_forest"), cfg.get("hyperparameters", {})
+    counts = evaluate.class_counts(clean, target)
     result = evaluate.evaluate_weather(
         clean,
         target,
@@ -96,12 +104,14 @@ def train_weather(
         cfg.get("gate_hyperparameters", hp),
         order,
         cfg.get("periods"),
+        counts,
     )
-    counts = evaluate.class_counts(clean, target)
     classes = sorted(counts)
-    rows = weather_frame(clean.filter(F.col(target).isNotNull()))
+    rows = weather_frame(clean.filter(F.col(target).isNotNull()).select(*weather_inputs(clean, target, order)))
     labelled = models.with_balanced_weight(evaluate.with_label(rows, target, classes), counts, target)
+    labelled = evaluate.kept_for_training(labelled, sum(counts.values()))
     model = models.weather_pipeline(classes, name, cfg.get("periods") or WEATHER_PERIODS, **hp).fit(labelled)
+    labelled.unpersist()
     about = {**_about("UC1", name, target, sum(counts.values()), result), "classes": [str(c) for c in classes]}
     return _finish(df, model, about, model_dir)
 
@@ -133,7 +143,7 @@ def train_climate(
     k_interval = evaluate.splits_for_interval(rows)
     # The same folds serve the gate and the interval whenever their numbers agree.
     share = INTERVAL_SHARE if k == k_interval else None
-    kept = evaluate.kept_for_training(clean, rows)
+    kept = evaluate.kept_for_training(clean.select(*climate_inputs(clean, target, how.get("order", "id"))), rows)
     try:
         result = evaluate.evaluate_regression(kept, pipeline, target, k, rows, interval_share=share, **how)
         half_width = result.get("half_width")
