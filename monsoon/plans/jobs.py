@@ -1,7 +1,7 @@
 """Command line: train, predict and the train-then-predict chain, run with spark-submit.
 
-    spark-submit -m monsoon.plans.jobs train --use-case UC1 --root /data/climate --model-dir /models
-    spark-submit -m monsoon.plans.jobs predict --model /models/UC1_weather_clf_latest --root ... --out ...
+    spark-submit monsoon/plans/jobs.py train --use-case UC1 --root /data/climate --model-dir /models
+    spark-submit monsoon/plans/jobs.py predict --model /models/UC1_weather_clf_latest --root ... --out ...
 """
 
 from __future__ import annotations

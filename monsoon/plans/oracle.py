@@ -443,12 +443,12 @@ FROM (SELECT kode_wilayah, avg(jumlah_kejadian) AS m FROM disaster GROUP BY 1),
     sql["stratified_folds"] = _with("weather", "SELECT id, cuaca, fold FROM folded", dealt)
     sql["baseline_mean"] = _with(
         "obs",
-        "SELECT a.fold, round(avg(o.t2m), 6) AS prediction FROM range(5) a(fold) JOIN f o ON o.fold <> a.fold GROUP BY 1",
+        "SELECT CAST(a.fold AS INTEGER) AS fold, round(avg(o.t2m), 6) AS prediction FROM range(5) a(fold) JOIN f o ON o.fold <> a.fold GROUP BY 1",
         f"f AS (SELECT * FROM {contiguous.format(view='obs')})",
     )
     sql["baseline_mode"] = _with(
         "weather",
-        """SELECT fold, cuaca AS prediction FROM (SELECT a.fold, w.cuaca,
+        """SELECT CAST(fold AS INTEGER) AS fold, cuaca AS prediction FROM (SELECT a.fold, w.cuaca,
  row_number() OVER (PARTITION BY a.fold ORDER BY count(*) DESC, w.cuaca) AS rn
  FROM range(5) a(fold) JOIN folded w ON w.fold <> a.fold GROUP BY 1, 2) WHERE rn = 1""",
         dealt,
@@ -491,7 +491,7 @@ SELECT round(avg(f1), 6) AS macro_f1, round(sum(f1 * s) / sum(s), 6) AS weighted
     )
     sql["conformal_interval"] = _with(
         "obs",
-        f"""SELECT fold, ci_q90, {exact_round('prediction - ci_q90', 2)} AS ci_low,
+        f"""SELECT CAST(fold AS INTEGER) AS fold, ci_q90, {exact_round('prediction - ci_q90', 2)} AS ci_low,
  {exact_round('prediction + ci_q90', 2)} AS ci_high FROM base, q""",
         f"""f AS (SELECT * FROM {contiguous.format(view='obs')}),
  base AS (SELECT a.fold, avg(o.t2m) AS prediction FROM range(5) a(fold) JOIN f o ON o.fold <> a.fold GROUP BY 1),
@@ -518,12 +518,12 @@ GROUP BY 1, 2""",
  s AS (SELECT * FROM k WHERE predicted = 'Cerah'), n AS (SELECT * FROM k WHERE predicted <> 'Cerah')""",
     )
     # ------------------------------------------------------------ result shaping
-    picked = ", ".join(f"{exact_round(f'(id % {m} + 1) / t', 4)} AS p{m}" for m in (7, 5, 3))
+    picked = ", ".join(f"{exact_round(f'CAST(id % {m} + 1 AS DOUBLE) / t', 4)} AS p{m}" for m in (7, 5, 3))
     sql["best_class"] = _with(
         "weather",
         f"""SELECT id, CASE greatest(p7, p5, p3) WHEN p7 THEN 'Berawan' WHEN p5 THEN 'Cerah' ELSE 'Hujan' END AS predicted,
  greatest(p7, p5, p3) AS proba FROM (SELECT id, {picked} FROM (
- SELECT CAST(id AS DOUBLE) AS id, CAST(id % 7 + 1 AS DOUBLE) + (id % 5 + 1) + (id % 3 + 1) AS t FROM weather))""",
+ SELECT id, CAST(id % 7 + 1 AS DOUBLE) + (id % 5 + 1) + (id % 3 + 1) AS t FROM weather))""",
     )
     share = exact_round("raw / whole", 4)
     sql["attribution_groups"] = _with(
