@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monsoon.llm import chat, decontamination, license_scan, mixing, near_duplicates, quality_cascade, toxicity
+from monsoon.llm import chat, decontamination, license_scan, line_dedup, mixing, near_duplicates, quality_cascade, toxicity
 from monsoon.llm.common import table
 from monsoon.llm.oracle import ORACLE_SQL  # noqa: F401 - part of what this module offers
 
@@ -28,6 +28,11 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.assess(table(spark, sf_dir, "documents"))
