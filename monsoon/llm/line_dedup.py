@@ -133,16 +133,30 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Line numbers of ``a`` in blocks that ``b`` has too; lines are (number, hash, words)."""
+    """Places in ``a`` of blocks that ``b`` has too; lines are (number, hash, words).
+
+    Lines that the alignment leaves out, since their block was moved or comes again, are matched one after the other to
+    lines of ``b``, each to the line after the one before where that is equal.
+    """
+    ha, hb = [x[1] for x in a], [x[1] for x in b]
+    aligned = patience(ha, hb)
+    taken = {i for i, _ in aligned}
+    where = {v: j for j, v in reversed(list(enumerate(hb)))}
+    moved: list[tuple[int, int]] = []
+    for i, v in enumerate(ha):
+        if i not in taken and v in where:
+            follows = moved and moved[-1][0] == i - 1 and moved[-1][1] + 1 < len(hb) and hb[moved[-1][1] + 1] == v
+            moved.append((i, moved[-1][1] + 1 if follows else where[v]))
     blocks: list[list[int]] = []
-    before = None
-    for i, j in patience([x[1] for x in a], [x[1] for x in b]):
-        here = (a[i][0], b[j][0])
-        if before and here == (before[0] + 1, before[1] + 1):
-            blocks[-1].append(i)
-        else:
-            blocks.append([i])
-        before = here
+    for pairs in (aligned, moved):
+        before = None
+        for i, j in pairs:
+            here = (a[i][0], b[j][0])
+            if before and here == (before[0] + 1, before[1] + 1):
+                blocks[-1].append(i)
+            else:
+                blocks.append([i])
+            before = here
     return blocks
 
 
