@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monsoon.llm import chat, decontamination, license_scan, line_dedup, mixing, near_duplicates, quality_cascade, toxicity
+from monsoon.llm import (
+    chat,
+    decontamination,
+    license_scan,
+    line_dedup,
+    mixing,
+    near_duplicates,
+    quality_cascade,
+    secret_scan,
+    token_files,
+    toxicity,
+)
 from monsoon.llm.common import table
 from monsoon.llm.oracle import ORACLE_SQL  # noqa: F401 - part of what this module offers
 
@@ -17,6 +28,19 @@ def query(fn):
     return fn
 
 
+@query
+def op1_separator_scan(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers as public
+
+    path = vocabulary or public.path("byte_bpe_50k.tiktoken")
+    return token_files.token_counts(table(spark, sf_dir, "documents"), path, public.PATTERN).select("doc_id", "n_tokens")
+
+
+@query
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
