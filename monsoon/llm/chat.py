@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Bits of a sequence number for the pieces of one turn.
+PIECE_BITS = 24
 KINDS = ("start", "regenerate", "edit", "delta", "delete")
 MESSAGES = "conv_id bigint, message bigint, position bigint, role string, text string"
 DIGESTS = (
@@ -157,6 +159,8 @@ def as_events(conversations: DataFrame, chunk: int = 256) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / chunk) - 1, F.lit(0)).cast("int")),
         lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)),
     )
-    streamed = numbered.select("conv_id", "turn", "role", "message", F.posexplode(pieces).alias("seq", "text"))
-    kind = F.when(F.col("seq") == 0, "start").otherwise("delta")
-    return streamed.withColumn("kind", kind)
+    streamed = numbered.select("conv_id", "turn", "role", "message", F.posexplode(pieces).alias("piece", "text"))
+    # One sequence for a conversation: the turns, in each of them its pieces; rows without a turn come first.
+    begin = F.coalesce(F.shiftleft("turn", PIECE_BITS), F.lit(-(2**62)))
+    kind = F.when(F.col("piece") == 0, "start").otherwise("delta")
+    return streamed.select("conv_id", "message", (begin + F.col("piece")).alias("seq"), kind.alias("kind"), "role", "text")
