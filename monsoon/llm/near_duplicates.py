@@ -360,7 +360,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     """doc_id, class_id (the smallest doc_id of its class) and class_size of every row of ``docs``."""
     found = cut_lineage(classes(docs, least))
     sizes = found.filter(F.col("root").isNotNull()).groupBy("root")
-    sizes = sizes.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # Written, so that both sides of the join below are plain exchanges, of which Spark splits the hot ones.
+    sizes = cut_lineage(sizes.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     alone = found.filter(F.col("root").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.join(sizes, "root").select("doc_id", "class_id", "class_size").unionByName(alone)
 

@@ -87,15 +87,19 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def _coverage(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Per candidate value the share of its characters inside words of the dictionary."""
-    values = found.select("value").distinct()
-    starts = F.sequence(F.lit(1), F.length("value") - (SHORTEST - 1))
-    parts = values.select("value", F.explode(starts).alias("s"))
-    parts = parts.select("value", "s", F.explode(F.sequence(F.lit(SHORTEST), F.lit(LONGEST))).alias("n"))
-    parts = parts.filter("s + n - 1 <= length(value)").withColumn("word", F.lower(F.expr("substring(value, s, n)")))
+    """Per hash of a candidate's value the share of its characters inside words of the dictionary."""
+    values = found.select(F.xxhash64("value").alias("id"), F.lower("value").alias("value")).distinct()
+    # Parts are cut out of an array of characters, so a very long value costs no more per character than a short one.
+    values = values.select("id", F.split("value", "").alias("c"))
+    part = lambda s: F.transform(
+        F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.size("c") - s + 1)),
+        lambda n: F.struct(s.alias("s"), n.alias("n"), F.array_join(F.slice("c", s, n), "").alias("word")),
+    )
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.size("c") - (SHORTEST - 1)), part))
+    parts = values.select("id", F.size("c").alias("size"), F.explode_outer(cut).alias("p")).select("id", "size", "p.*")
     met = parts.filter(F.col("word").rlike("^[a-z]+$")).join(known, "word")
-    longest = met.groupBy("value", "s").agg(F.max("n").alias("n"))
-    spans = longest.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("spans"))
+    longest = met.groupBy("id", "size", "s").agg(F.max("n").alias("n"))
+    spans = longest.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("spans"))
     zero = F.struct(F.lit(1).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(
         "spans", zero,
@@ -105,7 +109,7 @@ def _coverage(found: DataFrame, known: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    return spans.select("value", (covered / F.length("value")).alias("dictionary"))
+    return spans.select("id", (covered / F.col("size")).alias("dictionary"))
 
 
 def labelled(found: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def _features(found: DataFrame, docs: DataFrame) -> DataFrame:
     shapes = {f"t_{a}{b}": F.regexp_count(value, F.lit(f"[{x}](?=[{y}])")) / size for a, x in CLASSES.items() for b, y in CLASSES.items()}
     shapes["t_other"] = F.regexp_count(value, F.lit("[^A-Za-z0-9]")) / size
     shapes["different"] = F.size(F.array_distinct(F.split(value, ""))) / size
-    covered = found.join(_coverage(found, dictionary(docs)), "value", "left")
+    covered = found.withColumn("id", F.xxhash64("value")).join(_coverage(found, dictionary(docs)), "id", "left")
     return covered.withColumns({"length": size.cast("double"), "dictionary": F.coalesce("dictionary", F.lit(0.0)), **shapes})
 
 
