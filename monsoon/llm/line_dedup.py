@@ -208,10 +208,15 @@ def duplicate_lines(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame,
     return made, lines
 
 
+def _held(lines: DataFrame) -> int:
+    """Numbers in a table of line lists: what bounds its size."""
+    return lines.agg(F.sum(F.size("lines") + 3)).first()[0] or 0
+
+
 def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, n_lines, n_deleted, deleted_words, and ``deleted``, the line numbers from 0."""
     made, lines = duplicate_lines(docs, least)
-    few = broadcast_if_small(lines.withColumnRenamed("lines", "gone"), lines.count(), SMALL)
+    few = broadcast_if_small(lines.withColumnRenamed("lines", "gone"), _held(lines), SMALL)
     own = made.join(few, ["id", "key"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     # The joined list is short; positions are looked up in the row.
     words = F.aggregate("gone", F.lit(0).cast("long"), lambda acc, i: acc + F.get(F.col("lines"), i)["n"])
@@ -233,7 +238,7 @@ def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     gone = cut_lineage(gone)
     text, doc_id = F.col("d.text"), F.col("d.doc_id").cast("long")
     match = (F.coalesce(doc_id, F.lit(LAST)) == F.col("_gone_id")) & (row_key(doc_id, text) == F.col("_gone_key"))
-    joined = docs.alias("d").join(broadcast_if_small(gone, gone.count(), SMALL // 10), match, "left")
+    joined = docs.alias("d").join(broadcast_if_small(gone, _held(lines), SMALL), match, "left")
     joined = joined.filter(~F.coalesce("_empty", F.lit(False)))
     own = [F.col(f"d.`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     at = docs.columns.index("text")

@@ -214,11 +214,12 @@ def items(spark):
 
 def test_templates_and_slots(leaks, items):
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(leaks, items).collect()}
-    assert set(got) == {(1, 10), (2, 10), (4, 10), (7, 10), (8, 11), (9, 10)}
+    # In capitals no word looks like a name, but the windows without names are the same.
+    assert set(got) == {(1, 10), (2, 10), (4, 10), (6, 10), (7, 10), (8, 11), (9, 10)}
     assert got[1, 10]["coverage"] == 1.0 and got[1, 10]["exchanged"] == 0
     assert got[2, 10]["coverage"] == 1.0 and got[2, 10]["exchanged"] >= 3
     kept = decontamination.drop_contaminated(leaks, items)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6] and kept.columns == leaks.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5] and kept.columns == leaks.columns
 
 
 def test_leaks_equal_brute_force(small):
