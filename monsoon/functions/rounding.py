@@ -15,18 +15,24 @@ from pyspark.sql import functions as F
 _SPLIT = 134217729.0
 
 
+def _has_digits(c: Column, scale: Column) -> Column:
+    """False from where a double is whole at this scale: rounding can't change it there."""
+    return F.abs(c) < F.lit(2.0**52) / scale
+
+
 def round_array(c: Column, digits: int) -> Column:
     scale = F.lit(float(10**digits))
     # Adding zero turns -0.0 into 0.0.
-    return F.rint(c * scale) / scale + 0.0
+    return F.when(_has_digits(c, scale), F.rint(c * scale) / scale + 0.0).otherwise(c)
 
 
 def round_scalar(c: Column, digits: int) -> Column:
-    """Exact for magnitudes up to about 1e8 and up to six digits."""
+    """Exact for up to six digits wherever a double has digits to round, else the value itself."""
     scale = F.lit(float(10**digits))
     head = c * _SPLIT - (c * _SPLIT - c)
+    # floor gives a whole number of 64 bits, which is wide enough below 2^52.
     low = F.floor(c * scale).cast("double")
     # Signed distance of the exact product from the midpoint between low and low + 1.
     above_mid = (head * scale - (low + 0.5)) + (c - head) * scale
     up = (above_mid > 0) | ((above_mid == 0) & (low % 2 != 0))
-    return (low + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(_has_digits(c, scale), (low + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(c)

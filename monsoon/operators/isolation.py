@@ -29,7 +29,6 @@ log = logging.getLogger("monsoon")
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.05, 42
 ANOMALY_FEATURES = ["suhu_c", "kelembaban_pct", "curah_hujan_mm", "kecepatan_angin_kmh"]
 FOREST_REASON = "isolation_forest"
-_POOL = 200 * SAMPLE
 _NODE_SCHEMA = "tree int, node int, feature int, threshold double, child int, length double"
 _EULER = 0.5772156649015329
 
@@ -150,19 +149,18 @@ def fit_forest(
     total = df.count()
     forest.sample_size = min(sample, total)
 
-    def hashed(*salt: Column) -> Column:
-        # A number in [0, 1) that depends on the row alone, so a rerun draws the same rows.
-        return F.pmod(F.xxhash64(key, *features, F.lit(seed), *salt), F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-    share = min(1.0, _POOL / max(total, 1))
-    pool = rows if share == 1.0 else rows.filter(hashed() < share)
-    # Twice the wanted rows on average: a tree short of rows is out of the question.
-    draw = min(1.0, 2.0 * sample / (share * max(total, 1)))
-    tagged = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("rank", hashed(F.col("tree")))
-        .filter(F.col("rank") < draw)
-    )
+    # Numbers in [0, 1) that depend on the row alone, so a rerun draws the same rows.
+    rows = rows.withColumn("__row", F.xxhash64(key, *features, F.lit(seed)))
+
+    def rank(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("__row"), tree), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+    # Twice the wanted rows on average: a tree short of rows is out of the question. A row is copied only for the
+    # trees that draw it.
+    draw = min(1.0, 2.0 * sample / max(total, 1))
+    own_trees = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: rank(t) < draw)
+    tagged = rows.withColumn("tree", F.explode_outer(own_trees)).filter(F.col("tree").isNotNull())
+    tagged = tagged.withColumn("rank", rank(F.col("tree"))).drop("__row")
     # Each group holds about twice the sample; the exact number is cut inside the tree.
     forest.nodes = tagged.groupBy("tree").applyInPandas(_grow(features, sample, seed), _NODE_SCHEMA).toPandas()
     scored = df.select(forest.score().alias("score"))

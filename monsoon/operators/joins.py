@@ -19,10 +19,9 @@ def lookup_join(
     Up to ``max_rows`` rows the lookup is broadcast and the large table is not shuffled. Beyond
     that the large side is salted, so a key holding a large share of it is spread over tasks.
     """
-    rows = few.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        table = many.sparkSession.createDataFrame(rows, few.schema)
-        return many.join(F.broadcast(table), list(keys), how)
-    salted = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(_SALTS)).cast("int"))
+    if few.limit(max_rows + 1).count() <= max_rows:
+        return many.join(F.broadcast(few), list(keys), how)
+    # Any salt gives the same rows, so it needs no column: equal rows and map columns are spread as well.
+    salted = many.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
     copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

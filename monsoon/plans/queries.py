@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from monsoon.functions import labels, spatial, temporal
 from monsoon.operators import attribution, climatology, contract, folds, metrics, order_stats, risk, weather
 from monsoon.operators.nearest import nearest_join, nearest_record
-from monsoon.plans import score, train
+from monsoon.plans import evaluate, score, train
 from monsoon.plans.features import CLIMATE_GROUPS
 from monsoon.session import ensure_checkpoint_dir
 from monsoon.sources import adapters, sinks
@@ -454,9 +454,8 @@ def min_max_scale(spark, sf_dir):
 
 @query
 def smallest_class(spark, sf_dir):
-    w = adapters.weather(spark, sf_dir)
-    per = w.groupBy("cuaca").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("classes"))
+    counts = evaluate.class_counts(adapters.weather(spark, sf_dir), "cuaca")
+    return spark.createDataFrame([(min(counts.values()), len(counts))], "smallest bigint, classes bigint")
 
 
 # ---------------------------------------------------------------- sinks

@@ -24,7 +24,11 @@ def _version(metadata: Mapping) -> Column:
 
 def predict_weather_rows(df: DataFrame, model: PipelineModel, metadata: Mapping) -> DataFrame:
     """Scored rows in the shape of the prediction table: class and its probability."""
-    out = model.transform(weather_frame(df))
+    at = F.col("datetime_local").cast("string") if "datetime_local" in df.columns else F.lit(None).cast("string")
+    out = model.transform(weather_frame(df).withColumns(
+        {"ref_year": F.try_to_number(F.substring(at, 1, 4), F.lit("9999")).cast("int"),
+         "ref_month": F.try_to_number(F.substring(at, 6, 2), F.lit("99")).cast("int")}
+    ))
     return out.select(
         F.lit("UC1").alias("use_case"),
         F.lit(metadata.get("model_name", "unknown")).alias("model_name"),
@@ -32,6 +36,8 @@ def predict_weather_rows(df: DataFrame, model: PipelineModel, metadata: Mapping)
         F.lit(metadata.get("target", "cuaca")).alias("target"),
         "predicted",
         F.array_max(vector_to_array("probability")).alias("proba"),
+        "ref_year",
+        "ref_month",
         "lat",
         "lon",
         *(["id"] if "id" in df.columns else []),

@@ -6,13 +6,13 @@ import functools
 import operator
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from monsoon.functions.spatial import point_wkt
 
-# Columns, types and unique key of the result tables.
+# Columns and types of the result tables, and the unique key of a prediction. The number of the source
+# row is part of the key: two rows of one place and month are two predictions.
 PREDICTION_COLUMNS = {
     "use_case": "string",
     "model_name": "string",
@@ -23,9 +23,11 @@ PREDICTION_COLUMNS = {
     "ref_year": "int",
     "ref_month": "int",
     "geom": "string",
+    "source_id": "long",
     "predicted_at": "timestamp",
 }
-PREDICTION_KEY = ["use_case", "model_version", "target", "ref_year", "ref_month", "geom"]
+PREDICTION_KEY = ["use_case", "model_version", "target", "ref_year", "ref_month", "geom", "source_id"]
+PARTITIONS = ["use_case", "model_version"]
 ANOMALY_COLUMNS = {
     "source_table": "string",
     "source_id": "long",
@@ -50,6 +52,8 @@ def _shaped(df: DataFrame, columns: dict[str, str], stamp: str, keep: Sequence[s
 
 def prediction_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Scored rows in the shape of the prediction table (numbers become text)."""
+    if "source_id" not in df.columns and "id" in df.columns:
+        df = df.withColumn("source_id", F.col("id"))
     return _shaped(df, PREDICTION_COLUMNS, "predicted_at", keep)
 
 
@@ -66,15 +70,14 @@ def _append(df: DataFrame, path: str, partitions: Sequence[str]) -> int:
 
 
 def rows_to_append(
-    new: DataFrame, stored: DataFrame | None, key: Sequence[str], order: Sequence[str] = ()
+    new: DataFrame, stored: DataFrame | None, key: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """First new row per key whose key is not stored yet; nulls in a key equal each other."""
-    if order:
-        rest = [c for c in new.columns if c not in key]
-        first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
-        unique = new.groupBy(*key).agg(first).select(*key, "__row.*")
-    else:
-        unique = new.dropDuplicates(list(key))
+    """First new row per key, by ``order``, whose key is not stored yet; nulls in a key equal each other."""
+    if not order:
+        raise ValueError("order decides which row of a key counts; name a column")
+    rest = [c for c in new.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
+    unique = new.groupBy(*key).agg(first).select(*key, "__row.*")
     if stored is None:
         return unique
     known = stored.select(*[F.col(c).alias(f"__{c}") for c in key])
@@ -82,24 +85,37 @@ def rows_to_append(
     return unique.join(known, same, "left_anti")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+def stored_predictions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as it was written, or None if there is none yet.
+
+    The schema is given: types inferred from folder names would take version 1.10 for 1.1. A table that is there but
+    can't be read raises.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
+    return spark.read.schema(", ".join(f"{c} {t}" for c, t in PREDICTION_COLUMNS.items())).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, idempotent: bool = False, order: Sequence[str] = ()) -> int:
     """Append predictions and return how many rows were written.
 
-    ``idempotent`` keeps one row per key and skips keys the table already holds, so a repeated
-    run adds nothing. ``order`` names columns of ``df`` that decide which row of a key counts.
+    ``idempotent`` keeps one row per key and skips keys the table already holds, so a repeated run adds nothing;
+    ``order`` then has to name the columns of ``df`` that decide which row of a key counts. Rows that neither a source
+    row nor a month tells apart aren't taken for repeats of each other: they are all written.
     """
     rows = prediction_rows(df, order if idempotent else ())
     if idempotent:
-        rows = rows_to_append(rows, _stored(df.sparkSession, path), PREDICTION_KEY, order)
-        rows = rows.select(*PREDICTION_COLUMNS)
-    return _append(rows, path, ["use_case", "model_version"])
+        stored = stored_predictions(df.sparkSession, path)
+        if stored is not None:
+            # Only the folders that this run writes to can hold its keys: few pairs, one per model.
+            own = rows.select(*PARTITIONS).distinct().collect()
+            same = [(F.col("use_case").eqNullSafe(r[0])) & (F.col("model_version").eqNullSafe(r[1])) for r in own]
+            stored = stored.filter(functools.reduce(operator.or_, same, F.lit(False)))
+        known = F.col("source_id").isNotNull() | (F.col("ref_year").isNotNull() & F.col("ref_month").isNotNull())
+        fresh = rows_to_append(rows.filter(known), stored, PREDICTION_KEY, order).select(*PREDICTION_COLUMNS)
+        rows = fresh.unionByName(rows.filter(~known).select(*PREDICTION_COLUMNS))
+    return _append(rows, path, PARTITIONS)
 
 
 def write_anomalies(df: DataFrame, path: str, source_table: str, id_col: str = "id") -> int:

@@ -186,6 +186,9 @@ class Catalog:
     root: str = ""
     jdbc: Mapping[str, str] = field(default_factory=dict)
     sentinel: float | None = None
+    json_lines: bool = False  # one object per line: files can then be split
+    id_bounds: tuple[int, int] | None = None  # smallest and largest id, to read a database table in parallel
+    partitions: int = 32
 
     def read(self, table: Table, df: DataFrame | None = None) -> DataFrame:
         """The table, or an injected frame brought to the table's shape."""
@@ -194,9 +197,9 @@ class Catalog:
         if self.kind == "parquet":
             return read_parquet(self.spark, self.root, table, self.sentinel)
         if self.kind == "json":
-            return read_json(self.spark, self.root, table, self.sentinel)
+            return read_json(self.spark, self.root, table, self.sentinel, self.json_lines)
         if self.kind == "jdbc":
-            return read_jdbc(self.spark, self.jdbc, table, self.sentinel)
+            return read_jdbc(self.spark, self.jdbc, table, self.sentinel, self.id_bounds, self.partitions)
         raise ValueError(f"unknown source kind '{self.kind}' (parquet, json, jdbc)")
 
     def bmkg(self, df: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from monsoon.operators import attribution, isolation, risk
 from monsoon.plans import evaluate, models, score, train
 from monsoon.plans.features import climate_stages, weather_frame, weather_stages
 from monsoon.sources.artifacts import load_artifact, load_metadata, stage_path
-from tests.conftest import rows
+from tests.conftest import N_WEATHER, rows
 
 UC1 = {
     "target": "cuaca",
@@ -76,7 +76,7 @@ def test_unseen_category_is_all_zeros(nasa):
 def test_uc1_beats_baseline_and_is_stored(spark, uc1):
     assert uc1.metadata["quality_gate_passed"]
     assert uc1.metadata["metrics"]["macro_f1"] > uc1.metadata["baseline_metrics"]["macro_f1"] + 0.10
-    assert load_metadata(spark, uc1.artifact)["classes"] == ["Berawan", "Cerah", "Cerah Berawan", "Hujan Ringan"]
+    assert load_metadata(spark, uc1.artifact)["classes"] == ["Angin", "Kabut", "Mendung", "Terang"]
     assert load_metadata(spark, uc1.artifact + "-absent") == {}
 
 
@@ -91,14 +91,14 @@ def test_stored_model_equals_model_in_memory(spark, bmkg, uc1):
     stored = rows(score.predict_weather_rows(bmkg, model, about))
     direct = rows(score.predict_weather_rows(bmkg, uc1.model, uc1.metadata))
     assert stored == direct
-    assert len(stored) == 240
+    assert len(stored) == N_WEATHER
     assert all(0 <= r["proba"] <= 1 and r["use_case"] == "UC1" for r in stored)
 
 
 def test_weather_probabilities_and_rejected_rows(spark, bmkg, uc1):
     broken = bmkg.withColumn("suhu_c", F.when(F.col("id") == 3, 99.0).otherwise(F.col("suhu_c")))
     out = rows(score.predict_weather(broken, uc1.model, uc1.metadata, f"{uc1.artifact}/model"))
-    assert len(out) == 240
+    assert len(out) == N_WEATHER
     bad = [r for r in out if r["broken"]]
     assert [r["id"] for r in bad] == [3] and bad[0]["predicted"] is None and bad[0]["shap"] is None
     for r in out:
@@ -132,7 +132,7 @@ def test_uc2_with_land_cover(spark, nasa):
     trained = train.train_climate(nasa, {**UC2, "hyperparameters": {"n_estimators": 2}}, cover)
     assert trained.metadata["use_landcover"]
     out = rows(score.predict_province(nasa, trained.model, trained.metadata, "sulsel", 7, cover=cover))
-    assert [r["label"] for r in out] == ["Bone", "Makassar", "Toraja"]
+    assert [r["label"] for r in out] == ["Malino", "Palopo", "Parepare", "Rantepao"]
     assert out[0]["prov"] == "Sulawesi Selatan" and out[0]["ci_low"] < out[0]["predicted"] < out[0]["ci_high"]
 
 
@@ -226,7 +226,7 @@ def test_attribution_equals_subset_definition(spark, nasa, uc2):
 
 def test_climate_attributions(nasa, uc2):
     out = rows(score.predict_climate(nasa, uc2.model, uc2.metadata, model_path=f"{uc2.artifact}/model"))
-    assert len(out) == 48
+    assert len(out) == 60
     assert all(len(r["shap"]) == 5 and abs(r["shap"][0]["w"]) <= 1 for r in out)
 
 
@@ -262,7 +262,7 @@ def test_average_path_values():
 def test_uc3_training_and_methods(spark, bmkg, tmp_path):
     trained = train.train_anomaly(bmkg, model_dir=str(tmp_path))
     forest, about = load_artifact(spark, trained.artifact)
-    assert about["feature_cols"] == isolation.ANOMALY_FEATURES and about["data_rows"] == 240
+    assert about["feature_cols"] == isolation.ANOMALY_FEATURES and about["data_rows"] == N_WEATHER
     asked = spark.createDataFrame(
         [(1, 28.0, 80.0), (2, 200.0, 80.0), (3, 200.0, -50.0)], "id long, suhu_c double, kelembaban_pct double"
     )
@@ -277,5 +277,5 @@ def test_uc3_training_and_methods(spark, bmkg, tmp_path):
 
 def test_model_info(spark, uc1):
     info = rows(score.model_info(spark, uc1.metadata))[0]
-    assert info["model_loaded"] and info["data_rows"] == 240 and info["metrics"]["macro_f1"] > 0.5
+    assert info["model_loaded"] and info["data_rows"] == N_WEATHER and info["metrics"]["macro_f1"] > 0.5
     assert not rows(score.model_info(spark, {}))[0]["model_loaded"]

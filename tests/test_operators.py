@@ -13,7 +13,7 @@ from monsoon.operators.joins import lookup_join
 from monsoon.operators.nearest import nearest_join, nearest_record
 from tests.conftest import rows
 
-RULES = {"suhu_c": {"min": -50, "max": 60}, "kelembaban_pct": {"min": 0, "max": 100}, "min_rows_for_training": 50}
+RULES = {"depth_m": {"min": 0, "max": 11000}, "salt": {"min": 2.5, "max": 41}, "min_rows_for_training": 12}
 
 few = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -22,40 +22,40 @@ few = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthC
 
 
 def test_qc_clean(spark):
-    df = spark.createDataFrame([(28.0, "OK"), (99.0, "RANGE:suhu_c=99"), (30.0, None)], "suhu_c double, qc_flag string")
-    assert [r["suhu_c"] for r in rows(contract.qc_clean(df))] == [28.0, 30.0]
-    assert contract.qc_clean(df.drop("qc_flag")).count() == 3
+    flags = ["OK", None, "RANGE:salt=50", "ok", "RANGE:depth_m=-3|RANGE:salt=0", "OK"]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(flags)], "id int, qc_flag string")
+    assert [r["id"] for r in rows(contract.qc_clean(df))] == [0, 1, 5]
+    assert contract.qc_clean(df.drop("qc_flag")).count() == len(flags)
 
 
 def test_ranges(spark):
-    bad = spark.createDataFrame([(28.0, 80.0), (999.0, 50.0), (-100.0, 60.0), (None, None)], "suhu_c double, kelembaban_pct double")
-    got = {r["column"]: r for r in rows(contract.range_violations(bad, RULES))}
-    assert got["suhu_c"]["n_bad"] == 2 and not got["suhu_c"]["ok"]
-    assert got["kelembaban_pct"]["n_bad"] == 0 and got["kelembaban_pct"]["ok"]
-    with pytest.raises(contract.ContractError, match="suhu_c: 2 values"):
-        contract.require_ranges(bad, RULES)
-    contract.require_ranges(bad.filter("suhu_c = 28"), RULES)
-    assert contract.range_violations(bad.select(F.lit(1).alias("x")), RULES).count() == 0
-    over = spark.createDataFrame([(28, 150)], "suhu_c int, kelembaban_pct int")
-    with pytest.raises(ValueError, match="kelembaban_pct"):
-        contract.require_ranges(over, RULES)
+    water = spark.createDataFrame([(10.0, 35.0), (0.0, 2.5), (11000.5, 41.0), (-0.5, None), (12.0, 2.4)], "depth_m double, salt double")
+    got = {r["column"]: (r["n_bad"], r["ok"]) for r in rows(contract.range_violations(water, RULES))}
+    assert got == {"depth_m": (2, False), "salt": (1, False)}
+    with pytest.raises(contract.ContractError, match="depth_m: 2 values"):
+        contract.require_ranges(water, RULES)
+    contract.require_ranges(water.filter("salt >= 2.5 and depth_m <= 11000"), RULES)  # the limits themselves are fine
+    assert contract.range_violations(water.select(F.lit("x").alias("other")), RULES).isEmpty()
+    whole = spark.createDataFrame([(7, 99)], "depth_m int, salt int")
+    with pytest.raises(ValueError, match="salt"):
+        contract.require_ranges(whole, RULES)
 
 
 def test_min_rows(spark):
-    with pytest.raises(contract.ContractError, match="50"):
-        contract.require_min_rows(spark.range(10), RULES)
-    contract.require_min_rows(spark.range(50), RULES)
+    contract.require_min_rows(spark.range(12), RULES)
+    with pytest.raises(contract.ContractError, match="12"):
+        contract.require_min_rows(spark.range(11), RULES)
 
 
-def test_rule_flags_and_recall(spark, bmkg):
-    df = spark.createDataFrame([(28.0, 80.0), (999.0, 150.0), (None, -1.5)], "suhu_c double, kelembaban_pct double")
-    got = [(r["rule_flag"], r["rule_reason"]) for r in rows(contract.rule_flags(df, RULES))]
-    assert got == [(False, "OK"), (True, "RANGE:suhu_c=999|RANGE:kelembaban_pct=150"), (True, "RANGE:kelembaban_pct=-1.5")]
-    planted = bmkg.withColumn("suhu_c", F.when(F.col("id") == 0, 200.0).otherwise(F.col("suhu_c"))).withColumn(
-        "kelembaban_pct", F.when(F.col("id") == 1, -10.0).otherwise(F.col("kelembaban_pct"))
-    )
-    assert {r["id"] for r in rows(contract.rule_flags(planted, RULES).filter("rule_flag"))} == {0, 1}
-    assert not contract.rule_flags(df.select(F.lit(1).alias("x")), RULES).first()["rule_flag"]
+def test_rule_flags_name_every_broken_rule(spark):
+    water = [(1, 10.0, 35.0), (2, -2.5, 35.0), (3, 20000.0, 0.0), (4, None, 41.5), (5, None, None)]
+    df = spark.createDataFrame(water, "id int, depth_m double, salt double")
+    got = {r["id"]: (r["rule_flag"], r["rule_reason"]) for r in rows(contract.rule_flags(df, RULES))}
+    assert got == {
+        1: (False, "OK"), 2: (True, "RANGE:depth_m=-2.5"), 3: (True, "RANGE:depth_m=20000|RANGE:salt=0"),
+        4: (True, "RANGE:salt=41.5"), 5: (False, "OK"),
+    }
+    assert not contract.rule_flags(df.select("id"), RULES).filter("rule_flag").count()
 
 
 def test_split_valid_and_defaults(spark):
@@ -122,6 +122,22 @@ def test_contiguous_folds(spark):
         folds.contiguous_folds(df, 12, "id")
 
 
+def test_contiguous_folds_with_ties(spark):
+    df = spark.createDataFrame([(i // 4, i) for i in range(20)], "id long, v int").repartition(3)
+    out = folds.contiguous_folds(df, 3, "id")
+    assert out.columns == ["id", "v", "fold"]
+    assert [sorted(r["v"] for r in rows(out) if r["fold"] == f) for f in range(3)] == [[*range(7)], [*range(7, 14)], [*range(14, 20)]]
+
+
+def test_stratified_folds_of_many_classes(spark):
+    """More classes than borders are made into conditions for: the same dealing."""
+    names = [f"c{i * 7 % 10_001}" for i in range(10_001)] + ["c5"] * 60 + [None] * 12
+    df = spark.createDataFrame(list(enumerate(names)), "id long, c string").repartition(5)
+    got = {r["id"]: r["fold"] for r in rows(folds.stratified_folds(df, 3, "c", "id"))}
+    want = _dealt(names, 3)
+    assert [got[i] for i in range(len(names))] == list(want)
+
+
 def test_contiguous_folds_along_text(spark):
     df = spark.createDataFrame([(i, f"k{i:03d}") for i in range(20)], "id long, name string").repartition(4)
     ordered = folds.with_order_column(df, ["name"])
@@ -161,11 +177,11 @@ def test_hashed_folds_do_not_move(spark):
 # ---------------------------------------------------------------- metrics
 
 
-def test_perfect_predictions(spark):
-    df = spark.createDataFrame([("a", "a"), ("b", "b"), ("a", "a"), ("c", "c")], "t string, p string")
-    assert rows(metrics.classification_metrics(df, "t", "p")) == [{"macro_f1": 1.0, "weighted_f1": 1.0}]
-    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], "t double, p double")
-    assert rows(metrics.regression_metrics(df, "t", "p")) == [{"mae": 0.0, "rmse": 0.0, "r2": 1.0}]
+def test_exact_predictions_have_the_best_scores(spark):
+    named = spark.range(30).selectExpr("concat('k', id % 7) as t", "concat('k', id % 7) as p")
+    assert rows(metrics.classification_metrics(named, "t", "p")) == [{"macro_f1": 1.0, "weighted_f1": 1.0}]
+    numbers = spark.range(5, 25).selectExpr("id * 0.5 as t", "id * 0.5 as p")
+    assert rows(metrics.regression_metrics(numbers, "t", "p")) == [{"mae": 0.0, "rmse": 0.0, "r2": 1.0}]
 
 
 def test_f1_counts_labels_that_are_only_predicted(spark):
@@ -242,6 +258,13 @@ def test_nearest_record_breaks_ties_by_id(spark):
     assert nearest_record(df, 0.0, 0.0, ["id"]).first()["id"] == 1
 
 
+def test_lookup_join_with_maps_and_equal_rows(spark):
+    many = spark.range(200).selectExpr("id % 3 as k", "map('a', 1) as m")
+    few_rows = spark.createDataFrame([(0, "x"), (1, "y")], "k long, v string")
+    for limit in (1, 100):
+        assert lookup_join(many, few_rows, ["k"], max_rows=limit).groupBy("v").count().orderBy("v").collect() == [("x", 67), ("y", 67)]
+
+
 def test_lookup_join_plans_agree(spark):
     many = spark.range(1000).select("id", F.when(F.col("id") < 400, 7).otherwise(F.col("id") % 20).alias("k"))
     few_rows = spark.range(15).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))

@@ -13,7 +13,7 @@ from monsoon.sources import sinks, tables
 from monsoon.sources.config import load_config, load_contract, model_config
 from monsoon.sources.tables import Catalog
 from monsoon.streaming import rowwise
-from tests.conftest import rows
+from tests.conftest import N_WEATHER, rows
 
 # ---------------------------------------------------------------- loads
 
@@ -205,32 +205,31 @@ def test_sample_weather(spark, bmkg):
 # ---------------------------------------------------------------- risk
 
 
-def _yogya(spark):
-    data = [(lat, lon, m) for lat in (-7.76, -7.79, -7.82) for lon in (110.35, 110.38, 110.41) for m in range(1, 13)]
-    return spark.createDataFrame(
-        [("DI Yogyakarta", lat, lon, m, 30.0 + lat, 5.0, 75.0) for lat, lon, m in data],
-        "provinsi string, lat double, lon double, month int, t2m_max double, prectotcorr double, rh2m double",
-    )
+def _coast(spark, slope):
+    """Four points on a line from north to south, warmer by ``slope`` a point, in two months."""
+    data = [("Maluku Utara", 1.0 - p, 127.5, m, 31.0 + slope * p, 4.0, 80.0) for p in range(4) for m in (3, 9)]
+    return spark.createDataFrame(data, "provinsi string, lat double, lon double, month int, t2m_max double, prectotcorr double, rh2m double")
 
 
-def _zones(spark):
+def _three_zones(spark):
     return spark.createDataFrame(
-        [("Z1", "A", "Permukiman", 100.0, -7.76, 110.35), ("Z2", "B", "RTH", 50.0, -7.82, 110.41)],
+        [("North", "K1", "Permukiman", 12.0, 0.9, 127.4), ("Middle", "K2", "RTH", 80.0, -0.9, 127.6), ("South", "K3", "RTH", 7.0, -1.8, 127.5)],
         "nama_zona string, kecamatan string, kategori_zona string, luas_ha double, centroid_lat double, centroid_lon double",
     )
 
 
-def test_rounding_comes_before_scaling(spark):
-    got = rows(risk.zone_risk(_zones(spark), _yogya(spark)))
-    assert [(r["avg_tmax"], r["risk_score"], r["risk_level"]) for r in got] == [(22.2, 0.0, "Rendah")] * 2
+def test_equal_climate_has_no_risk(spark):
+    # All three zones see 31.04 degrees after rounding to a digit, so nothing is left to scale.
+    got = rows(risk.zone_risk(_three_zones(spark), _coast(spark, 0.01), "Maluku Utara"))
+    assert [(r["avg_tmax"], r["risk_score"], r["risk_level"]) for r in got] == [(31.0, 0.0, "Rendah")] * 3
 
 
-def test_zone_risk_orders_and_scales(spark):
-    warm = _yogya(spark).withColumn("t2m_max", F.lit(30.0) + F.col("lat") * 10)
-    got = rows(risk.zone_risk(_zones(spark), warm))
-    assert [(r["nama_zona"], r["risk_score"], r["risk_level"]) for r in got] == [("Z1", 0.5, "Sedang"), ("Z2", 0.0, "Rendah")]
-    with pytest.raises(ValueError, match="DI Yogyakarta"):
-        risk.zone_risk(_zones(spark), warm.withColumn("provinsi", F.lit("Sulawesi Selatan")))
+def test_zone_risk_by_hand(spark):
+    """Zones take the points at 1, -1 and -2 degrees: 31, 33 and 34 degrees scale to 0, 2/3 and 1; heat weighs a half."""
+    got = rows(risk.zone_risk(_three_zones(spark), _coast(spark, 1.0), "Maluku Utara"))
+    assert [(r["nama_zona"], r["avg_tmax"], r["risk_score"]) for r in got] == [("South", 34.0, 0.5), ("Middle", 33.0, 0.333), ("North", 31.0, 0.0)]
+    with pytest.raises(ValueError, match="Bali"):
+        risk.zone_risk(_three_zones(spark), _coast(spark, 1.0), "Bali")
 
 
 def test_land_cover_is_optional(spark, nasa):
@@ -253,13 +252,32 @@ def test_prediction_sink(spark, tmp_path):
     path = str(tmp_path / "p")
     assert sinks.write_predictions(_scored(spark, [1, 2, 2]), path) == 3
     assert sinks.write_predictions(_scored(spark, [2, 3, 3]), path, idempotent=True, order=["id"]) == 1
-    assert sinks.write_predictions(_scored(spark, [2, 3, 3]), path, idempotent=True) == 0
+    assert sinks.write_predictions(_scored(spark, [2, 3, 3]), path, idempotent=True, order=["id"]) == 0
+    with pytest.raises(ValueError, match="order"):
+        sinks.write_predictions(_scored(spark, [9]), path, idempotent=True)
     stored = spark.read.parquet(path)
     assert stored.count() == 4 and set(sinks.PREDICTION_COLUMNS) == set(stored.columns)
     assert stored.filter("geom = 'POINT (110.0 -8.0)'").count() == 1
     assert (tmp_path / "p" / "use_case=UC1" / "model_version=dev").exists()
 
 
+def test_versions_are_text_and_rows_stay_apart(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for version in ("1.1", "1.10", "2"):
+        scored = _scored(spark, range(40)).withColumn("model_version", F.lit(version)).withColumn("lat", F.lit(-5.0))
+        assert sinks.write_predictions(scored, path, idempotent=True, order=["id"]) == 40
+        assert sinks.write_predictions(scored, path, idempotent=True, order=["id"]) == 0
+    stored = sinks.stored_predictions(spark, path)
+    assert {r[0] for r in stored.select("model_version").distinct().collect()} == {"1.1", "1.10", "2"}
+    # Rows that nothing tells apart aren't repeats of each other.
+    nameless = _scored(spark, range(30)).withColumn("lat", F.lit(-5.0)).withColumnRenamed("id", "n")
+    assert sinks.write_predictions(nameless, path, idempotent=True, order=["n"]) == 30
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|malformed"):
+        sinks.write_predictions(_scored(spark, [1]), str(tmp_path / "broken"), idempotent=True, order=["id"])
+
+
 def test_first_row_of_a_key_counts(spark):
     new = spark.createDataFrame([(None, "b", 2), (None, "a", 1), (1, "c", 3)], "k int, v string, id int")
     got = rows(sinks.rows_to_append(new, new.filter("k = 1"), ["k"], ["id"]))
@@ -271,13 +289,13 @@ def test_chain_from_files_to_predictions(spark, bmkg, tmp_path):
     (tmp_path / "cfg.json").write_text(json.dumps({"hyperparameters": {"n_estimators": 3, "max_depth": 4}, "cv": {"n_splits": 2}}))
     common = ["--root", str(tmp_path), "--model-dir", str(tmp_path / "m"), "--out", str(tmp_path / "out")]
     assert jobs.main(["chain", "--config", str(tmp_path / "cfg.json"), *common], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 240
+    assert spark.read.parquet(str(tmp_path / "out")).count() == N_WEATHER
     assert jobs.main(["predict", "--idempotent", *common], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 240
+    assert spark.read.parquet(str(tmp_path / "out")).count() == N_WEATHER
     assert jobs.main(["train", "--use-case", "uc3", *common], spark) == 0
     assert jobs.main(["predict", "--use-case", "UC3", *common[:4], "--out", str(tmp_path / "anomalies")], spark) == 0
     found = spark.read.parquet(str(tmp_path / "anomalies"))
-    assert found.count() == 240 and found.filter("is_anomaly").count() >= 12
+    assert found.count() == N_WEATHER and found.filter("is_anomaly").count() >= 12
     with pytest.raises(SystemExit):
         jobs.main(["train", "--use-case", "UC9", *common], spark)
 
@@ -289,7 +307,7 @@ def test_stream_gives_the_batch_verdicts(spark, bmkg, tmp_path):
     flagged = rowwise.flagged(stream)
     rowwise.append(flagged, str(tmp_path / "flags"), str(tmp_path / "c1"), available_now=True).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "flags"))
-    assert out.count() == 240 and rows(out.filter("qc_flag != 'OK'").select("id", "qc_flag")) == [{"id": 7, "qc_flag": "RANGE:suhu_c=99"}]
+    assert out.count() == N_WEATHER and rows(out.filter("qc_flag != 'OK'").select("id", "qc_flag")) == [{"id": 7, "qc_flag": "RANGE:suhu_c=99"}]
     forest = isolation.fit_forest(planted, isolation.ANOMALY_FEATURES, trees=10)
     verdicts = rowwise.anomalies(stream, forest, "bmkg_forecast")
     rowwise.append(verdicts, str(tmp_path / "anomalies"), str(tmp_path / "c2"), available_now=True).awaitTermination(120)
