@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from monsoon.plans import score, train
@@ -29,7 +30,9 @@ def train_use_case(
     if use_case == "UC2":
         try:
             cover = catalog.worldcover()
-        except Exception:  # noqa: BLE001 - land cover is an optional extra
+        except AnalysisException as missing:  # land cover is an optional extra; any other failure is one
+            if missing.getCondition() not in {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"}:
+                raise
             train.log.warning("no land-cover table, training without it")
             cover = None
         return train.train_climate(catalog.nasa_power(), cfg, cover, model_dir)
@@ -68,7 +71,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--contract", help="settings file with a contract section")
     parser.add_argument("--source", default="parquet", choices=["parquet", "json", "jdbc"])
     parser.add_argument("--root", default="", help="folder of the tables")
+    parser.add_argument("--json-lines", action="store_true", help="one JSON object per line, read in parallel")
     parser.add_argument("--jdbc-url", default="")
+    parser.add_argument("--id-bounds", nargs=2, type=int, metavar=("LOW", "HIGH"), help="ids to read a database in parallel by")
+    parser.add_argument("--partitions", type=int, default=32, help="parallel reads of a database table")
     parser.add_argument("--model-dir", default="./models")
     parser.add_argument("--model", help="stored model for predict")
     parser.add_argument("--out", help="result table")
@@ -76,7 +82,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser.parse_args(argv)
 
     spark = spark or SparkSession.builder.appName("monsoon").getOrCreate()
-    catalog = Catalog(spark, args.source, args.root, {"url": args.jdbc_url} if args.jdbc_url else {})
+    jdbc = {"url": args.jdbc_url} if args.jdbc_url else {}
+    bounds = tuple(args.id_bounds) if args.id_bounds else None
+    catalog = Catalog(
+        spark, args.source, args.root, jdbc, json_lines=args.json_lines, id_bounds=bounds, partitions=args.partitions
+    )
     use_case = args.use_case.upper()
     if use_case not in train.ARTIFACTS:
         raise SystemExit(f"unknown use case '{args.use_case}'")

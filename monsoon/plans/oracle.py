@@ -432,6 +432,12 @@ FROM (SELECT kode_wilayah, avg(jumlah_kejadian) AS m FROM disaster GROUP BY 1),
         "(SELECT *, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM {view}))"
     )
     sql["contiguous_folds"] = _with("weather", f"SELECT id, fold FROM {contiguous.format(view='weather')}")
+    sql["contiguous_folds_daily"] = _with(
+        "daily",
+        """SELECT id, prcp_mm, CAST(CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1)
+ ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
+FROM (SELECT id, prcp_mm, row_number() OVER (ORDER BY id, prcp_mm) - 1 AS r, count(*) OVER () AS n FROM daily)""",
+    )
     dealt = """c AS (SELECT cuaca, count(*) AS n, min(id) AS first FROM weather GROUP BY 1),
  c2 AS (SELECT cuaca, n, sum(n) OVER (ORDER BY first) - n AS s FROM c),
  a AS (SELECT cuaca, f, count(*) FILTER (WHERE p % 5 = f) AS k FROM
@@ -517,6 +523,14 @@ GROUP BY 1, 2""",
   'POINT (' || CAST(lon AS VARCHAR) || ' ' || CAST(lat AS VARCHAR) || ')' AS geom FROM weather),
  s AS (SELECT * FROM k WHERE predicted = 'Cerah'), n AS (SELECT * FROM k WHERE predicted <> 'Cerah')""",
     )
+    stored = """SELECT id AS source_id, v AS model_version, cuaca AS predicted,
+ CAST(substr(datetime_local, 6, 2) AS INTEGER) AS ref_month,
+ 'POINT (' || CAST(lon AS VARCHAR) || ' ' || CAST(lat AS VARCHAR) || ')' AS geom FROM weather, (VALUES {versions}) AS t(v)"""
+    sql["append_predictions"] = _with("weather", stored.format(versions="('1.10'), ('1.10')"))
+    sql["idempotent_append"] = _with("weather", stored.format(versions="('1.1'), ('1.10')"))
+    sql["append_anomalies"] = f"""SELECT 'bmkg_forecast' AS source_table, id AS source_id, rule_flag AS is_anomaly,
+ rule_reason AS reason FROM ({sql["rule_flags"]})"""
+    sql["catalog_parquet"] = sql["catalog_json"] = sql["load_bmkg"]
     # ------------------------------------------------------------ result shaping
     picked = ", ".join(f"{exact_round(f'CAST(id % {m} + 1 AS DOUBLE) / t', 4)} AS p{m}" for m in (7, 5, 3))
     sql["best_class"] = _with(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -377,6 +378,12 @@ def contiguous_folds(spark, sf_dir):
     return folds.contiguous_folds(adapters.weather(spark, sf_dir).select("id"), 5, "id")
 
 
+@query
+def contiguous_folds_daily(spark, sf_dir):
+    """Folds along an order column with ties: rows of one id are told apart by their rain."""
+    return folds.contiguous_folds(adapters.daily(spark, sf_dir).select("id", "prcp_mm"), 5, "id")
+
+
 @query
 def stratified_folds(spark, sf_dir):
     w = adapters.weather(spark, sf_dir).select("id", "cuaca")
@@ -476,10 +483,82 @@ def dedupe_append(spark, sf_dir):
         "id",
     )
     stored = rows.filter(F.col("predicted") == "Cerah")
-    fresh = sinks.rows_to_append(rows.filter(F.col("predicted") != "Cerah"), stored, sinks.PREDICTION_KEY, ["id"])
+    # One row for each place and month: the key of a prediction without its source row.
+    key = [c for c in sinks.PREDICTION_KEY if c != "source_id"]
+    fresh = sinks.rows_to_append(rows.filter(F.col("predicted") != "Cerah"), stored, key, ["id"])
     return fresh.select("ref_month", "geom", "predicted", "id")
 
 
+def _fresh_folder(spark, name):
+    """A folder of this run beside the checkpoints, in the store that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}/{uuid.uuid4().hex}"
+
+
+def _classified(spark, sf_dir, version):
+    w = adapters.weather(spark, sf_dir)
+    return w.select(
+        F.lit("UC1").alias("use_case"), F.lit("rule").alias("model_name"), F.lit(version).alias("model_version"),
+        F.lit("cuaca").alias("target"), F.col("cuaca").alias("predicted"),
+        F.substring("datetime_local", 6, 2).cast("int").alias("ref_month"), "lat", "lon", "id",
+    )
+
+
+def _read_back(spark, path):
+    stored = sinks.stored_predictions(spark, path)
+    return stored.select("source_id", "model_version", "predicted", "ref_month", "geom")
+
+
+@query
+def append_predictions(spark, sf_dir):
+    """Two plain appends of one model: every row is stored twice."""
+    path = _fresh_folder(spark, "predictions")
+    for _ in range(2):
+        sinks.write_predictions(_classified(spark, sf_dir, "1.10"), path)
+    return _read_back(spark, path)
+
+
+@query
+def idempotent_append(spark, sf_dir):
+    """A part of version 1.1, then all of 1.1 and 1.10, and 1.1 again: one row per version and source row."""
+    path = _fresh_folder(spark, "predictions")
+    first = _classified(spark, sf_dir, "1.1")
+    for scored in (first.filter("predicted = 'Cerah'"), first, _classified(spark, sf_dir, "1.10"), first):
+        sinks.write_predictions(scored, path, idempotent=True, order=["id"])
+    return _read_back(spark, path)
+
+
+@query
+def append_anomalies(spark, sf_dir):
+    path = _fresh_folder(spark, "anomalies")
+    flagged = contract.rule_flags(adapters.weather(spark, sf_dir))
+    flagged = flagged.withColumnsRenamed({"rule_flag": "is_anomaly", "rule_reason": "reason"})
+    sinks.write_anomalies(flagged, path, "bmkg_forecast")
+    return spark.read.parquet(path).select("source_table", "source_id", "is_anomaly", "reason")
+
+
+def _stored_bmkg(spark, sf_dir):
+    raw = adapters.weather(spark, sf_dir)
+    return raw.withColumn("geom", spatial.point_wkt(F.col("lat"), F.col("lon"))).drop("lat", "lon", "source")
+
+
+@query
+def catalog_parquet(spark, sf_dir):
+    """The weather table written and read through the catalog's Parquet source."""
+    root = _fresh_folder(spark, "catalog")
+    _stored_bmkg(spark, sf_dir).write.parquet(f"{root}/bmkg_forecast")
+    return Catalog(spark, "parquet", root).bmkg().drop("kode_adm4", "datetime_utc", "cuaca_en", "qc_flag")
+
+
+@query
+def catalog_json(spark, sf_dir):
+    """The weather table written and read through the catalog's JSON source, one object per line."""
+    root = _fresh_folder(spark, "catalog")
+    _stored_bmkg(spark, sf_dir).write.json(f"{root}/bmkg_forecast.json")
+    out = Catalog(spark, "json", root, json_lines=True).bmkg()
+    return out.drop("kode_adm4", "datetime_utc", "cuaca_en", "qc_flag")
+
+
 # ---------------------------------------------------------------- models
 # Trained on whole views with fewer trees than the default settings, so that a check stays short.
 

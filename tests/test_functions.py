@@ -26,6 +26,15 @@ def test_roundings_equal_python_and_numpy(spark):
     assert spark.range(1).select(rounding.round_scalar(F.lit(None).cast("double"), 1)).first()[0] is None
 
 
+def test_rounding_of_large_values(spark):
+    values = [s * 10.0**e * 1.2345678912345 for e in (11, 12, 15, 16, 19, 30, 100, 300) for s in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 4):
+        got = df.select(rounding.round_scalar(F.col("x"), digits).alias("s"), rounding.round_array(F.col("x"), digits).alias("a")).collect()
+        assert [r["s"] for r in got] == pytest.approx([round(v, digits) for v in values], rel=1e-15)
+        assert [r["a"] for r in got] == pytest.approx(values, rel=1e-12)
+
+
 def test_cyclic_values_join_at_the_ends(spark):
     df = spark.createDataFrame([(0,), (12,), (6,)], "month int").select("month", *temporal.sin_cos("month", 12))
     got = {r["month"]: r for r in rows(df)}
