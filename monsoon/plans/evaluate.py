@@ -18,7 +18,7 @@ from monsoon.plans.features import WEATHER_PERIODS, grid_frame, weather_frame, w
 
 _PARALLEL_FOLDS = 5
 #: Partitions of a training frame; ``monsoon.training.partitions`` in the session sets another number.
-_TRAINING_PARTITIONS = 16
+_TRAINING_PARTITIONS = 8
 
 # How many folds a table of n rows (or a smallest class) gets.
 

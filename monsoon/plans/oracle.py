@@ -452,6 +452,19 @@ FROM (SELECT id, prcp_mm, row_number() OVER (ORDER BY id, prcp_mm) - 1 AS r, cou
         "SELECT CAST(a.fold AS INTEGER) AS fold, round(avg(o.t2m), 6) AS prediction FROM range(5) a(fold) JOIN f o ON o.fold <> a.fold GROUP BY 1",
         f"f AS (SELECT * FROM {contiguous.format(view='obs')})",
     )
+    clean = "(SELECT * FROM obs WHERE coalesce(qc_flag, 'OK') = 'OK' AND t2m IS NOT NULL)"
+    sql["climate_gate_data"] = _with(
+        "obs",
+        """SELECT count(*) AS data_rows, round(avg(abs(t2m - p)), 6) AS baseline_mae,
+ round(sqrt(avg((t2m - p) * (t2m - p))), 6) AS baseline_rmse FROM f JOIN b USING (fold)""",
+        f"""f AS (SELECT * FROM {contiguous.format(view=clean)}),
+ b AS (SELECT a.fold, avg(o.t2m) AS p FROM range(5) a(fold) JOIN f o ON o.fold <> a.fold GROUP BY 1)""",
+    )
+    sql["forest_walk"] = _with(
+        "weather",
+        """SELECT id, round(-pow(2e0, -(CASE WHEN coalesce(suhu_c, 10) <= 10 THEN 1e0 WHEN coalesce(kelembaban_pct, 60) <= 50 THEN 2e0
+ ELSE 2.5e0 END + 1.5e0) / 2 / (2 * (ln(255e0) + 0.5772156649015329e0) - 510e0 / 256)), 9) AS score FROM weather""",
+    )
     sql["baseline_mode"] = _with(
         "weather",
         """SELECT CAST(fold AS INTEGER) AS fold, cuaca AS prediction FROM (SELECT a.fold, w.cuaca,

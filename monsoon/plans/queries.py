@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monsoon.functions import labels, spatial, temporal
-from monsoon.operators import attribution, climatology, contract, folds, metrics, order_stats, risk, weather
+from monsoon.operators import attribution, climatology, contract, folds, isolation, metrics, order_stats, risk, weather
 from monsoon.operators.nearest import nearest_join, nearest_record
 from monsoon.plans import evaluate, score, train
 from monsoon.plans.features import CLIMATE_GROUPS
@@ -585,7 +586,7 @@ def _climate_model(spark, sf_dir):
     cfg = model_config("UC2")
     cfg["hyperparameters"] = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.3}
     return train.train_climate(
-        adapters.obs(spark, sf_dir), cfg, adapters.cover(spark, sf_dir), _model_dir(spark), fold_mode="hashed"
+        adapters.obs(spark, sf_dir), cfg, adapters.cover(spark, sf_dir), _model_dir(spark)
     )
 
 
@@ -684,6 +685,28 @@ def anomaly_check(spark, sf_dir):
     return out.select("id", "is_anomaly", "anomaly_score", "reason", "method")
 
 
+@query
+def climate_gate_data(spark, sf_dir):
+    """What the trainer's gate compares the model with: rows, folds and errors of the means of the other folds."""
+    about = _climate_model(spark, sf_dir).metadata
+    base = about["baseline_metrics"]
+    row = (about["data_rows"], round(base["mae"], 6), round(base["rmse"], 6))
+    return spark.createDataFrame([row], "data_rows bigint, baseline_mae double, baseline_rmse double")
+
+
+@query
+def forest_walk(spark, sf_dir):
+    """Scores of a forest of two stated trees, whose walk SQL can follow."""
+    nodes = pd.DataFrame(
+        [(0, 0, 0, 10.0, 1, 0.0), (0, 1, -1, 0.0, -1, 1.0), (0, 2, 1, 50.0, 3, 0.0), (0, 3, -1, 0.0, -1, 2.0),
+         (0, 4, -1, 0.0, -1, 2.5), (1, 0, -1, 0.0, -1, 1.5)],
+        columns=["tree", "node", "feature", "threshold", "child", "length"],
+    )
+    medians = {"suhu_c": 10.0, "kelembaban_pct": 60.0}
+    forest = isolation.IsolationForest(list(medians), medians, nodes, 256)
+    return adapters.weather(spark, sf_dir).select("id", F.round(forest.score(), 9).alias("score"))
+
+
 # ---------------------------------------------------------------- baselines of the gates
 
 
