@@ -114,7 +114,7 @@ def test_uc2_skill_and_highland_colder(spark, nasa, uc2):
     assert uc2.metadata["skill_score"] > 0 and uc2.metadata["quality_gate_passed"]
     assert uc2.metadata["ci_q90"] > 0
     asked = spark.createDataFrame(
-        [("coast", -5.14, 119.42, 7, 80.0), ("high", -3.05, 119.85, 7, 80.0), ("off", -3.05, 119.85, 13, 80.0)],
+        [("coast", -4.01, 119.63, 7, 80.0), ("high", -5.25, 119.92, 7, 80.0), ("off", -5.25, 119.92, 13, 80.0)],
         "name string, lat double, lon double, month int, rh2m double",
     )
     out = {r["name"]: r for r in rows(score.predict_climate(asked, uc2.model, uc2.metadata))}
