@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text_or_empty(text), SPACE), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once.
+
+    A column that a lambda function of ``body`` names would be evaluated for every element as soon as the optimizer
+    puts its expression in its place, for example when it pushes a filter down.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_key(*cols: Column) -> Column:
     """A never-null number for a row: rows equal in these columns share it."""
     return F.xxhash64(*cols)

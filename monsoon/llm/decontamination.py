@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monsoon.llm.common import SPACE, broadcast_if_small, row_key, text_or_empty, words
+from monsoon.llm.common import SPACE, broadcast_if_small, let, row_key, text_or_empty, words
 from monsoon.session import cut_lineage
 
 WINDOW = 8
@@ -56,7 +56,7 @@ def template(text: Column) -> Column:
 def windows(template_words: Column, size: int) -> Column:
     """Hash of every window of ``size`` words; none if there are fewer words."""
     at = F.sequence(F.lit(1), F.size(template_words) - (size - 1))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(template_words, i, size)))
+    hashes = let(template_words, lambda own: F.transform(at, lambda i: F.xxhash64(F.slice(own, i, size))))
     return F.when(F.size(template_words) >= size, hashes)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monsoon.llm.common import BLANKS, SPACE, broadcast_if_small, row_key, text_or_empty
+from monsoon.llm.common import BLANKS, SPACE, broadcast_if_small, let, row_key, text_or_empty
 from monsoon.session import cut_lineage
 
 MIN_WORDS = 5
@@ -219,7 +219,8 @@ def line_report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     few = broadcast_if_small(lines.withColumnRenamed("lines", "gone"), _held(lines), SMALL)
     own = made.join(few, ["id", "key"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     # The joined list is short; positions are looked up in the row.
-    words = F.aggregate("gone", F.lit(0).cast("long"), lambda acc, i: acc + F.get(F.col("lines"), i)["n"])
+    add = lambda all_: F.aggregate("gone", F.lit(0).cast("long"), lambda acc, i: acc + F.get(all_, i)["n"])
+    words = let(F.col("lines"), add)
     filled = F.size(F.filter("lines", lambda x: x["h"].isNotNull())).cast("long")
     return own.select(
         "doc_id", filled.alias("n_lines"), F.size("gone").cast("long").alias("n_deleted"), words.alias("deleted_words"),
@@ -244,6 +245,6 @@ def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     at = docs.columns.index("text")
     cut = joined.select(*own, "_gone", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")).alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    left = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
+    left = F.array_join(let(F.col("_lines"), lambda own: F.transform(kept, lambda i: F.get(own, i))), "\n")
     new = F.when(F.col("_gone").isNull(), F.col(f"_c{at}")).otherwise(left)
     return cut.select(*[(new if i == at else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)])

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monsoon.llm.common import BLANKS, text_or_empty, words
+from monsoon.llm.common import BLANKS, let, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -58,11 +58,18 @@ def _without(text: Column, characters: str) -> Column:
 
 def repeated_windows(ordered: Column) -> Column:
     """Start positions, ascending, of the windows found twice or more; ``ordered`` has (hash, position), sorted."""
-    same = F.filter(
-        ordered,
-        lambda x, i: F.get(ordered, i - 1)["h"].eqNullSafe(x["h"]) | F.get(ordered, i + 1)["h"].eqNullSafe(x["h"]),
-    )
-    return F.sort_array(F.transform(same, lambda x: x["i"]))
+
+    def same(all_: Column) -> Column:
+        near = lambda x, i: F.get(all_, i)["h"].eqNullSafe(x["h"])
+        return F.filter(all_, lambda x, i: near(x, i - 1) | near(x, i + 1))
+
+    return F.sort_array(F.transform(let(ordered, same), lambda x: x["i"]))
+
+
+def window_hashes(w: Column) -> Column:
+    """Hash of every window of a word array that has at least one."""
+    at = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
+    return let(w, lambda own: F.transform(at, lambda i: F.xxhash64(F.slice(own, i, WINDOW))))
 
 
 def covered_words(starts: Column) -> Column:
@@ -94,10 +101,7 @@ def _facts(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.when(
-            F.size(w) >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW))),
-        ).alias("_hashes"),
+        F.when(F.size(w) >= WINDOW, window_hashes(w)).alias("_hashes"),
     )
     pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     step = step.withColumn(
@@ -153,8 +157,8 @@ def _inline(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(t, "\n"), lambda x: _without(x, BLANKS) > 0)
 
     def repeats(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), _covered)
+        pairs = F.transform(window_hashes(w), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return covered_words(repeated_windows(F.sort_array(pairs)))
 
     return {
         "n_words": F.size(w),
@@ -163,19 +167,10 @@ def _inline(text: Column) -> dict[str, Column]:
         "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": _let(w, lambda x: F.when(F.size(x) >= WINDOW, repeats(x)).otherwise(0)),
+        "n_repeat_words": let(w, lambda x: F.when(F.size(x) >= WINDOW, repeats(x)).otherwise(0)),
     }
 
 
-def _covered(ordered: Column) -> Column:
-    return covered_words(repeated_windows(ordered))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def cascade(docs: DataFrame, order: list[Estimate], column: str = "failed_rule") -> DataFrame:
     """``docs`` with the name of the first rule that rejects a text, null for texts to keep."""
     if column.lower() in {c.lower() for c in docs.columns}:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from monsoon.session import ensure_checkpoint_dir
+from monsoon.session import cut_lineage, ensure_checkpoint_dir
 
 END = 50_304
 ID = np.dtype(">u2")
@@ -151,6 +151,7 @@ def scan_files(spark: SparkSession, path: str, end: int = END, head: int = HEADE
         _scan(end, head), "file string, block bigint, lengths array<bigint>, ids array<bigint>"
     )
     scanned = scanned.withColumn("ends", F.size("lengths") - 1).withColumn("part", F.floor(F.col("block") / GROUP))
+    scanned = cut_lineage(scanned)  # the lengths are read three times below, the files once
     # The prefix scan: inside a group of blocks, and over the groups of a file.
     before = Window.partitionBy("file", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     groups = scanned.groupBy("file", "part").agg(F.sum("ends").alias("ends"))

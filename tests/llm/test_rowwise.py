@@ -85,13 +85,13 @@ NOTICES = [
 
 def test_license_base(odd_docs, small):
     spark = odd_docs.sparkSession
-    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(NOTICES)], "doc_id bigint, text string")
+    more = spark.createDataFrame([(90_100 + i, t) for i, t in enumerate(NOTICES)], "doc_id bigint, text string")
     docs = odd_docs.select("doc_id", "text").unionByName(more).unionByName(small["documents"].select("doc_id", "text"))
     got = license_scan.scan(docs)
     rows = got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     assert Counter(map(tuple, rows)) == Counter((i, *base_places(t)) for i, t in docs.collect())
     assert got.filter("score < 0 or score > 1 or (labels = '' and score > 0)").isEmpty()
-    labels = {r["doc_id"]: r["labels"] for r in got.filter("doc_id >= 100").collect()}
+    labels = {r["doc_id"] - 90_000: r["labels"] for r in got.filter("doc_id >= 90000").collect()}
     assert labels[102] == "cc-by,cc-by-nc-4.0" and labels[103] == "mit" and labels[108] == "apache-2.0"
     assert labels[104] == labels[105] == labels[106] == labels[107] == ""
 
@@ -107,7 +107,7 @@ def test_machine_learns_pairs():
     for _ in range(1200):
         a, b = rng.random(2) < 0.5
         noise = [f"n{'abcdefghij'[i]}" for i in rng.integers(0, 10, 4)]
-        texts.append(" ".join(["red"] * a + ["stone"] * b + noise))
+        texts.append(" ".join(["red"] * int(a) + ["stone"] * int(b) + noise))
         toxic.append(float(a and b))
     rows, toxic = [hasher(t) for t in texts], np.array(toxic)
     machine = toxicity.fit(rows[:900], toxic[:900])
@@ -125,7 +125,8 @@ def test_machine_score_equals_its_definition():
 
 def test_toxicity_query(odd_docs, no_docs, small):
     spark = odd_docs.sparkSession
-    rows = [(1000 + i, f"some words {'idiot' if i % 3 == 0 else 'friend'} more words {i}") for i in range(300)]
+    other = ("river", "stone", "cloud", "table", "green", "seven", "paper")
+    rows = [(1000 + i, f"some words {'idiot' if i % 3 == 0 else other[i % 7]} more words {i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(odd_docs.select("doc_id", "text"))
     labels = spark.createDataFrame(
         [(i, int("idiot" in t), 1) for i, t in rows] + [(None, 1, 1), (1, None, 0), (1000, 1, 0)], "doc_id bigint, toxic int, quality int"
