@@ -2,4 +2,33 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+_OP6 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ places AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
+ windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) AS n FROM places),
+ inside AS (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM windows WHERE n > 1),
+ repeated AS (SELECT doc_id, count(DISTINCT j) AS n FROM inside GROUP BY 1),
+ facts AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+   CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+   CAST(len(regexp_extract_all(t, '\p{Lu}')) AS BIGINT) AS n_upper,
+   [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS filled,
+   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN repeated r USING (doc_id)),
+ lines AS (SELECT * EXCLUDE (filled), CAST(len(filled) AS BIGINT) AS n_lines,
+   CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines FROM facts),
+ base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM lines)
+SELECT *, NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_upper > 4 * word_chars OR 2 * n_dup_lines > n_lines
+  OR word_chars NOT BETWEEN 2 * n_words AND 20 * n_words) AS kept FROM base"""
+
+_OP9 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
+   + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_cascade": _OP6, "op9_chat_events": _OP9}
