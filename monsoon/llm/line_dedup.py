@@ -239,7 +239,8 @@ def drop_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     gone = cut_lineage(gone)
     text, doc_id = F.col("d.text"), F.col("d.doc_id").cast("long")
     match = (F.coalesce(doc_id, F.lit(LAST)) == F.col("_gone_id")) & (row_key(doc_id, text) == F.col("_gone_key"))
-    joined = docs.alias("d").join(broadcast_if_small(gone, _held(lines), SMALL), match, "left")
+    # No hint: the lists grow with the corpus, and one plan at every size is easier to foresee than two.
+    joined = docs.alias("d").join(gone, match, "left")
     joined = joined.filter(~F.coalesce("_empty", F.lit(False)))
     own = [F.col(f"d.`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
     at = docs.columns.index("text")
