@@ -102,9 +102,13 @@ def fit(
     if not toxic.sum():
         return Machine(-10.0, weights, vectors)
     rng = np.random.default_rng(seed)
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    counts = np.bincount(flat, minlength=size)
-    hits = np.bincount(flat, np.repeat(toxic, [len(r) for r in rows]), minlength=size)
+    counts, hits = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for begin in range(0, len(rows), 512):  # some rows at a time: the sample is held once
+        part = rows[begin : begin + 512]
+        counts += np.bincount(np.concatenate(part), minlength=size)
+        own = [r for r, t in zip(part, toxic[begin : begin + 512]) if t]
+        if own:
+            hits += np.bincount(np.concatenate(own), minlength=size)
     kept = np.flatnonzero((counts >= min_docs) & (likelihood_ratio(hits, counts, toxic.mean()) >= least_ratio))
     place = np.full(size, -1)
     place[kept] = np.arange(len(kept))
@@ -158,7 +162,7 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         found = [hasher(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.list_(pa.int64())), b.column("toxic")], names=["buckets", "toxic"]
+            [pa.array(found, pa.list_(pa.int32())), b.column("toxic")], names=["buckets", "toxic"]
         )
 
 
@@ -174,9 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, seed: int
         own = own.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     # The sample has a bounded number of rows, so it may be broadcast; the texts stay where they are.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
-    found = rows.select("text", "toxic").mapInArrow(_bucket_batches, "buckets array<bigint>, toxic int").toArrow()
+    found = rows.select("text", "toxic").mapInArrow(_bucket_batches, "buckets array<int>, toxic int").toArrow()
     buckets = found.column("buckets").combine_chunks()
-    values = buckets.flatten().to_numpy() if len(found) else np.zeros(0, np.int64)
+    values = buckets.flatten().to_numpy() if len(found) else np.zeros(0, np.int32)
     sizes = np.diff(buckets.offsets.to_numpy()) if len(found) else []
     rows = np.split(values, np.cumsum(sizes)[:-1]) if len(found) else []
     toxic = found.column("toxic").to_numpy() if len(found) else np.zeros(0)
