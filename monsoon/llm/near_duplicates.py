@@ -11,6 +11,11 @@ also sorts the texts of one sketch by their further sketches. The number of pair
 size of a group. Links are closed to classes by rounds of smallest labels. A first, small set of pairs joins the
 large groups; the other pairs are only verified where their two texts aren't yet in one class.
 
+Neighbours cover a sketch of up to three texts. The texts of a larger one that aren't yet one class are compared in full:
+first all with the text of most links (one row a text, which joins stars), then what is still apart, block by block
+inside tasks: every text with every text outside the largest class. Counts of words by hash rule out pairs that can't be
+similar, the others are verified. So every two similar texts with an equal sketch come into one class.
+
 Defined results: a null text or one without words is a class of its own; texts of fewer than five words are one
 shingle; equal texts are one class; a null doc_id is a document like any other and comes last in the choice of the
 document that stands for its class; an empty table gives an empty result; extra columns are ignored, or kept by
@@ -35,6 +40,8 @@ SHINGLE, PICKS, SKETCHES = 5, 2, 24
 SIMILARITY = 0.8
 #: Sketches whose neighbours are verified first.
 FIRST = 4
+#: Rows on each side of a block of comparisons, and counters of a text's words.
+BLOCK, BINS = 256, 128
 #: Node lists of up to so many rows (16 bytes each) are sent to the tasks; above, both sides are shuffled.
 SMALL = 500_000
 
@@ -235,12 +242,12 @@ def _neighbours(reach: int, least: float):
 NEIGHBOURS = ["a", "b", "band", "lag", "key", "place", "at", "seam"]
 
 
-def candidates(made: DataFrame, reach: int = 2, least: float = SIMILARITY) -> DataFrame:
-    """Different pairs (a, b) of nodes near each other under one sketch, and ``first``: to be verified first.
+#: Next rows that a row is paired with.
+REACH = 2
 
-    The sequence is sorted by sketch number, sketch, and the next two sketches, so that among many texts with one sketch
-    those that agree further are neighbours.
-    """
+
+def _laid(made: DataFrame) -> DataFrame:
+    """A row per node and sketch: band, key, next, after, node, n."""
     turn = [
         F.struct(
             F.lit(i).cast("long").alias("band"), F.col(_NAMES[i]).alias("key"),
@@ -248,9 +255,17 @@ def candidates(made: DataFrame, reach: int = 2, least: float = SIMILARITY) -> Da
         )
         for i in range(SKETCHES)
     ]
+    return made.select("node", "n", F.explode(F.array(*turn)).alias("s")).select("s.*", "node", "n")
+
+
+def candidates(made: DataFrame, reach: int = REACH, least: float = SIMILARITY) -> DataFrame:
+    """Different pairs (a, b) of nodes near each other under one sketch, and ``first``: to be verified first.
+
+    The sequence is sorted by sketch number, sketch, and the next two sketches, so that among many texts with one sketch
+    those that agree further are neighbours.
+    """
     order = ["band", "key", "next", "after", "node"]
-    laid = made.select("node", "n", F.explode(F.array(*turn)).alias("s")).select("s.*", "node", "n")
-    dealt = laid.repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "node", "n")
+    dealt = _laid(made).repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "node", "n")
     found = cut_lineage(
         dealt.mapInArrow(_neighbours(reach, least), ", ".join(f"{c} bigint" for c in NEIGHBOURS))
         # Equal pairs of different sketches meet here; seam rows are few and all different.
@@ -318,6 +333,118 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _crowds(made: DataFrame, reach: int = REACH) -> DataFrame:
+    """The rows (band, key, node, n) of sketches with more texts than neighbours cover."""
+    laid = _laid(made).select("band", "key", "node", "n")
+    many = cut_lineage(laid.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > reach + 1).drop("size"))
+    return cut_lineage(laid.join(broadcast_if_small(many, many.count(), SMALL), ["band", "key"]))
+
+
+def _apart(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of sketches whose texts are of several classes, with root, size, major (the largest class) and minors."""
+    own = crowd.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = own.groupBy("band", "key", "root").agg(F.count("*").alias("rows")).groupBy("band", "key").agg(
+        F.sum("rows").alias("size"), F.max(F.struct("rows", "root")).alias("top"), F.count("*").alias("roots")
+    )
+    per = per.filter("roots > 1").select(
+        "band", "key", "size", F.col("top.root").alias("major"), (F.col("size") - F.col("top.rows")).alias("minors")
+    )
+    per = cut_lineage(per)
+    return cut_lineage(own.join(broadcast_if_small(per, per.count(), SMALL), ["band", "key"]))
+
+
+def _with_pivots(live: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of each text with the text of its sketch that has most links, if they are of two classes."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = live.join(degree, "node", "left")
+    best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "n", "root")).alias("p")
+    best = cut_lineage(ranked.groupBy("band", "key").agg(best))
+    met = live.join(broadcast_if_small(best, best.count(), SMALL), ["band", "key"])
+    met = met.filter((F.col("root") != F.col("p.root")) & (F.least("n", "p.n") >= F.greatest("n", "p.n") * least - 1e-9))
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bags = []
+        for text in b.column("text").to_pylist():
+            counts = np.bincount((word_hashes(text) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            bags.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bags, pa.binary())], names=["node", "bag"])
+
+
+def _blocks(least: float):
+    """Pairs of a block (rows with one gid) that may be similar: those of side 1 with those of side 0."""
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, n, root, minor, side = (t.column(c).to_numpy() for c in ("node", "n", "root", "minor", "side"))
+        bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        for x in left:
+            # Two texts outside the largest class meet twice.
+            y = right[(root[right] != root[x]) & ((minor[right] == 0) | (node[right] > node[x]))]
+            y = y[np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]) - 1e-9]
+            # An edit moves the sum of differences and the lengths by two at most.
+            most = ((1.0 - least) * np.maximum(n[y], n[x]) + 1e-9).astype(np.int64)
+            far = np.abs(bag[y] - bag[x]).sum(axis=1) + np.abs(n[y] - n[x])
+            y = y[far <= 2 * most]
+            if len(y):
+                a, b = np.minimum(node[y], node[x]), np.maximum(node[y], node[x])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        gid = t.column("gid").to_numpy()
+        edges = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True]) if len(gid) else np.zeros(0, int)
+        for begin, end in zip(edges[:-1], edges[1:]):
+            yield from compare(t.slice(begin, end - begin))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            gid = t.column("gid").to_numpy()
+            cut = int(np.searchsorted(gid, gid[-1]))
+            yield from groups(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield from groups(held)
+
+    return run
+
+
+def _across(live: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of all texts with an equal sketch and of two classes whose words allow similarity."""
+    bags = cut_lineage(texts.join(live.select("node").distinct(), "node").mapInArrow(_bags, "node bigint, bag binary"))
+    minor = F.col("root") != F.col("major")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("node"), parts(c)).cast("int")
+    other = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    base = ("band", "key", "node", "n", "root")
+    every = live.select(*base, minor.alias("minor"), F.lit(0).alias("side"), place("size").alias("j"), other("minors").alias("i"))
+    few = live.filter(minor).select(*base, F.lit(True).alias("minor"), F.lit(1).alias("side"), place("minors").alias("i"), other("size").alias("j"))
+    dealt = every.unionByName(few).select(
+        F.xxhash64("band", "key", "i", "j").alias("gid"), "node", "n", "root", F.col("minor").cast("int").alias("minor"), "side"
+    )
+    dealt = dealt.join(bags, "node").repartition("gid").sortWithinPartitions("gid")
+    return dealt.mapInArrow(_blocks(least), "a bigint, b bigint").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after further links (a, b) of nodes; nodes without a label are their own root."""
+    between = links.select("a", "b")
+    for c in ("a", "b"):
+        own = labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        between = between.join(own, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    between = between.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct()
+    tops = components(between)
+    moved = labels.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    moved = moved.select("node", F.coalesce("top", "root").alias("root"))
+    return cut_lineage(moved.unionByName(tops.join(labels.select("node"), "node", "left_anti").select("node", "root")))
+
+
 def _text_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and node; the node is null for texts without a word."""
     text = text_or_empty(F.col("text"))
@@ -335,7 +462,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = cut_lineage(rows.select("doc_id", "node"))
     made = cut_lineage(sketches(rows.filter(F.col("node").isNotNull()).select("node", "text")))
     pairs = cut_lineage(candidates(made, least=least))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowd = _crowds(made)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     # One document stands for each text, so that copies of a text aren't sent.
     needed = cut_lineage(members.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("own_id")))
     few = broadcast_if_small(needed.withColumnRenamed("node", "own_node"), needed.count(), SMALL)
@@ -348,12 +476,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         own = labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         rest = rest.join(own, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
     rest = cut_lineage(rest.filter("a_root <> b_root"))
-    more = verified(rest, texts).join(rest, ["a", "b"])
-    more = cut_lineage(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
-    roots = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    found = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = found.join(roots, "root", "left")
-    return found.select("doc_id", "node", F.coalesce("top", "root").alias("root"))
+    more = cut_lineage(verified(rest, texts))
+    labels = _merged(labels, more)
+    live = _apart(crowd, labels)
+    if not live.isEmpty():
+        pivots = cut_lineage(_with_pivots(live, first.unionByName(more), least))
+        labels = _merged(labels, cut_lineage(verified(pivots, texts)))
+        live = _apart(live.select("band", "key", "node", "n"), labels)
+    if not live.isEmpty():
+        pairs = cut_lineage(_across(live, texts, least))
+        labels = _merged(labels, cut_lineage(verified(pairs, texts)))
+    found = members.join(labels, "node", "left")
+    return found.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -115,6 +115,44 @@ def test_keep_one_leaves_one_of_each_class(spark, copies):
     assert sorted(r["doc_id"] for r in near_duplicates.keep_one(docs).collect()) == sorted(set(classes.values()))
 
 
+def test_a_text_with_many_copies(spark):
+    """Copies are like the base alone, and far more of them share a sketch with it than are its neighbours."""
+    rng = random.Random(21)
+    base, texts = prose(rng, 200), []
+    for _ in range(500):
+        words = list(base)
+        for i in rng.sample(range(200), 24):
+            words[i] = prose(rng, 1)[0]
+        texts.append(" ".join(words))
+    texts = [" ".join(base), *texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    sketch = [near_duplicates.order_minhash(word_hashes(t)) for t in texts]
+    met = [i for i, s in enumerate(sketch) if (s == sketch[0]).any()]
+    assert len(met) > 400 and all(got[i] == 0 for i in met)
+
+
+def test_every_pair_of_a_large_bucket(spark):
+    """Texts around one passage: each similar pair with an equal sketch is found, wherever others sort."""
+    rng = random.Random(22)
+    passage, texts = prose(rng, 150), []
+    for _ in range(150):
+        own = prose(rng, 60)
+        texts += [" ".join(passage + own), " ".join(edited(rng, passage[:130], 0.12) + passage[130:] + own)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    hashes = [word_hashes(t) for t in texts]
+    sketch = np.array([near_duplicates.order_minhash(h) for h in hashes])
+    links = []
+    for i in range(len(texts)):
+        for j in np.flatnonzero((sketch[i + 1 :] == sketch[i]).any(axis=1)) + i + 1:
+            if similar(hashes[i], hashes[j]):
+                links.append((i, int(j)))
+    assert len(links) > 50
+    assert got == closed(range(len(texts)), links)
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.sql("select 100L, 101L"))
     got = {r["node"]: r["root"] for r in near_duplicates.components(edges).collect()}
