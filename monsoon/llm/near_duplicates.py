@@ -1,9 +1,13 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles, each labelled with its occurrence number. A sketch takes the two
-labelled shingles with the smallest hashes and keeps them in the order of the text, so that a match speaks for a small
-edit distance and not only for common content. Texts that share a sketch are candidates. Two texts are near duplicates
-if the edit distance of their words is at most a fifth of the longer one (similarity 0.8 or more).
+A text is the sequence of its shingles, each labelled with its occurrence number: of five words for the first sketches, of
+three for the others, which still meet where every fifth word differs. A sketch takes the two labelled shingles with the
+smallest hashes and keeps them in the order of the text, so that a match speaks for a small edit distance and not only for
+common content. Texts that share a sketch are candidates. Two texts are near duplicates if the edit distance of their words
+is at most a fifth of the longer one (similarity 0.8 or more).
+
+Texts of up to ``SHORT`` words also meet under each of their three-word windows (two-word ones for texts of four or five
+words): of n words with n / 5 edits at least one such window is left unchanged, so short texts leave nothing to chance.
 
 Scale: equal texts are one node from the start. Sketches are laid out in one sorted sequence, dealt out by range, so a
 sketch that most texts share spreads over tasks; each node is compared with its next neighbours in the sequence, which
@@ -36,7 +40,9 @@ from pyspark.sql import functions as F
 from monsoon.llm.common import WORD, broadcast_if_small, text_or_empty
 from monsoon.session import cut_lineage
 
-SHINGLE, PICKS, SKETCHES = 5, 2, 24
+SHINGLE, PICKS, SKETCHES = 5, 2, 48
+#: Shorter shingles for all sketches but the first LONGER ones; texts of up to SHORT words meet under all their windows.
+SHORTER, LONGER, SHORT = 3, 8, 40
 SIMILARITY = 0.8
 #: Sketches whose neighbours are verified first.
 FIRST = 4
@@ -73,18 +79,25 @@ def occurrences(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(hashes: np.ndarray) -> np.ndarray:
-    """The sketches of a text with at least one word."""
-    k = min(SHINGLE, len(hashes))
+def shingled(hashes: np.ndarray, size: int) -> np.ndarray:
+    k = min(size, len(hashes))
     shingles = np.zeros(len(hashes) - k + 1, np.uint64)
     for i in range(k):
         shingles = shingles * _M1 + hashes[i : i + len(shingles)]
-    shingles = _mix(shingles)
+    return _mix(shingles)
+
+
+def order_minhash(hashes: np.ndarray) -> np.ndarray:
+    """The sketches of a text with at least one word."""
+    return np.concatenate([_picked(shingled(hashes, SHINGLE), _SEEDS[:LONGER]), _picked(shingled(hashes, SHORTER), _SEEDS[LONGER:])])
+
+
+def _picked(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     labelled = shingles + occurrences(shingles) * _M3
-    out = np.empty(SKETCHES, np.uint64)
-    rows = max(1, min(SKETCHES, 2_000_000 // len(labelled)))  # bounds the memory of very long texts
-    for begin in range(0, SKETCHES, rows):
-        x = _mix((labelled[None, :] ^ _SEEDS[begin : begin + rows, None]) * _M1)
+    out = np.empty(len(seeds), np.uint64)
+    rows = max(1, min(len(seeds), 2_000_000 // len(labelled)))  # bounds the memory of very long texts
+    for begin in range(0, len(seeds), rows):
+        x = _mix((labelled[None, :] ^ seeds[begin : begin + rows, None]) * _M1)
         every, first = np.arange(len(x)), x.argmin(axis=1)
         second = first
         if len(labelled) >= PICKS:
@@ -95,6 +108,16 @@ def order_minhash(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_windows(hashes: np.ndarray) -> np.ndarray:
+    """All keys of a short text, none of a longer one."""
+    if len(hashes) > SHORT:
+        return np.zeros(0, np.uint64)
+    parts = [shingled(hashes, SHORTER)]
+    if len(hashes) in (4, 5):
+        parts.append(shingled(hashes, 2))
+    return np.unique(np.concatenate(parts))
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences, or ``most + 1`` if it is larger, from the diagonals up to ``most`` off."""
     n, m, width = len(a), len(b), 2 * most + 1
@@ -177,22 +200,26 @@ _NAMES = [f"k{i}" for i in range(SKETCHES)]
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, short = [], [], [], []
         for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
             hashes = word_hashes(text)
             if len(hashes):
                 nodes.append(node)
                 sizes.append(len(hashes))
                 keys.append(order_minhash(hashes).view(np.int64))
+                short.append(short_windows(hashes).view(np.int64))
         table = np.array(keys, np.int64).reshape(len(nodes), SKETCHES)
         columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, np.ascontiguousarray(table.T))]
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *_NAMES])
+        columns.append(pa.array(short, pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *_NAMES, "short"])
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """One row per different text: node, number of words, and the sketches."""
-    made = texts.mapInArrow(_sketch, f"node bigint, n bigint, {', '.join(f'{k} bigint' for k in _NAMES)}")
-    return made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *_NAMES)])
+def sketches(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per different text: node, number of words, and the sketches; and node, n, key of the windows of short texts."""
+    keys = ", ".join(f"{k} bigint" for k in _NAMES)
+    made = cut_lineage(texts.mapInArrow(_sketch, f"node bigint, n bigint, {keys}, short array<bigint>"))
+    short = made.filter(F.size("short") > 0).select("node", "n", F.explode("short").alias("key")).distinct()
+    return made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *_NAMES)]), short
 
 
 def _neighbours(reach: int, least: float):
@@ -246,8 +273,8 @@ NEIGHBOURS = ["a", "b", "band", "lag", "key", "place", "at", "seam"]
 REACH = 2
 
 
-def _laid(made: DataFrame) -> DataFrame:
-    """A row per node and sketch: band, key, next, after, node, n."""
+def _laid(made: DataFrame, short: DataFrame) -> DataFrame:
+    """A row per node and sketch, or window of a short text: band, key, next, after, node, n."""
     turn = [
         F.struct(
             F.lit(i).cast("long").alias("band"), F.col(_NAMES[i]).alias("key"),
@@ -255,17 +282,22 @@ def _laid(made: DataFrame) -> DataFrame:
         )
         for i in range(SKETCHES)
     ]
-    return made.select("node", "n", F.explode(F.array(*turn)).alias("s")).select("s.*", "node", "n")
+    laid = made.select("node", "n", F.explode(F.array(*turn)).alias("s")).select("s.*", "node", "n")
+    # Windows of one key are sorted by the number of words.
+    windows = short.select(
+        F.lit(SKETCHES).cast("long").alias("band"), "key", F.col("n").alias("next"), F.lit(0).cast("long").alias("after"), "node", "n"
+    )
+    return laid.unionByName(windows)
 
 
-def candidates(made: DataFrame, reach: int = REACH, least: float = SIMILARITY) -> DataFrame:
+def candidates(made: DataFrame, short: DataFrame, reach: int = REACH, least: float = SIMILARITY) -> DataFrame:
     """Different pairs (a, b) of nodes near each other under one sketch, and ``first``: to be verified first.
 
     The sequence is sorted by sketch number, sketch, and the next two sketches, so that among many texts with one sketch
     those that agree further are neighbours.
     """
     order = ["band", "key", "next", "after", "node"]
-    dealt = _laid(made).repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "node", "n")
+    dealt = _laid(made, short).repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "node", "n")
     found = cut_lineage(
         dealt.mapInArrow(_neighbours(reach, least), ", ".join(f"{c} bigint" for c in NEIGHBOURS))
         # Equal pairs of different sketches meet here; seam rows are few and all different.
@@ -333,9 +365,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _crowds(made: DataFrame, reach: int = REACH) -> DataFrame:
+def _crowds(made: DataFrame, short: DataFrame, reach: int = REACH) -> DataFrame:
     """The rows (band, key, node, n) of sketches with more texts than neighbours cover."""
-    laid = _laid(made).select("band", "key", "node", "n")
+    laid = _laid(made, short).select("band", "key", "node", "n")
     many = cut_lineage(laid.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > reach + 1).drop("size"))
     return cut_lineage(laid.join(broadcast_if_small(many, many.count(), SMALL), ["band", "key"]))
 
@@ -460,9 +492,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node and root of every row of ``docs``: rows with equal roots are near duplicates of each other."""
     rows = _text_rows(docs)
     members = cut_lineage(rows.select("doc_id", "node"))
-    made = cut_lineage(sketches(rows.filter(F.col("node").isNotNull()).select("node", "text")))
-    pairs = cut_lineage(candidates(made, least=least))
-    crowd = _crowds(made)
+    made, short = map(cut_lineage, sketches(rows.filter(F.col("node").isNotNull()).select("node", "text")))
+    pairs = cut_lineage(candidates(made, short, least=least))
+    crowd = _crowds(made, short)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
     # One document stands for each text, so that copies of a text aren't sent.
     needed = cut_lineage(members.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("own_id")))

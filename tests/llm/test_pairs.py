@@ -132,6 +132,32 @@ def test_a_text_with_many_copies(spark):
     assert len(met) > 400 and all(got[i] == 0 for i in met)
 
 
+@pytest.mark.parametrize("edits, size, least", [(0.1, 200, 1.0), (0.15, 200, 0.99), (0.2, 200, 0.97), (0.2, 60, 0.95)])
+def test_share_of_pairs_that_meet(edits, size, least):
+    rng, met = random.Random(23), 0
+    for _ in range(300):
+        base = prose(rng, size)
+        other = list(base)
+        for i in rng.sample(range(size), int(edits * size)):
+            other[i] = prose(rng, 1)[0]
+        a, b = (near_duplicates.order_minhash(word_hashes(" ".join(x))) for x in (base, other))
+        met += bool((a == b).any())
+    print(f"met: edits {edits}, {size} words: {met} of 300")
+    assert met >= least * 300
+
+
+def test_short_texts_always_meet(spark):
+    rng, texts = random.Random(24), []
+    for size in (5, 6, 9, 10, 14, 15, 20, 40):
+        base = prose(rng, size)
+        most = size // 5
+        other = [prose(rng, 1)[0] if i % 5 == min(4, size // 2) and i // 5 < most else w for i, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_every_pair_of_a_large_bucket(spark):
     """Texts around one passage: each similar pair with an equal sketch is found, wherever others sort."""
     rng = random.Random(22)
