@@ -44,7 +44,9 @@ UNITS = (
 def template(text: Column) -> Column:
     """The words of a text as template words, one for each of ``words(text)``."""
     t = F.regexp_replace(text_or_empty(text), f"[{NUMBER}-{NAME}]", "?")
-    # Replacements keep every blank, so words stay aligned with those of the text.
+    # Names and units are told by what stands before their blank, so a text may be wrapped anywhere. The replacements below
+    # keep every blank, so words stay aligned with those of the text.
+    t = F.regexp_replace(t, SPACE, " ")
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}[\p{Ll}'’-]+", NAME)
     t = F.regexp_replace(t, r"(?<![\p{L}\d])[+-]?\d+(?:[.,:/]\d+)*", NUMBER)
     units = "|".join(sorted((u.replace("$", r"\$") for u in UNITS), key=len, reverse=True))

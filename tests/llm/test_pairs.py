@@ -286,6 +286,14 @@ def test_templates_and_slots(leaks, items):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5] and kept.columns == leaks.columns
 
 
+def test_wrapped_items(spark, items):
+    """An item that is wrapped before each of its names and units, in every way a text can be."""
+    docs = [(i, in_doc(re.sub(r" (Maria|Peter|km|minutes)", blank + r"\1", ITEM))) for i, blank in enumerate(["\n", "\t", "  ", "\r\n"])]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["coverage"] for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {i: 1.0 for i in range(4)}
+
+
 def test_leaks_equal_brute_force(small):
     docs, bench = small["documents"].select("doc_id", "text"), small["benchmark"]
     got = {r["doc_id"]: r["item_id"] for r in decontamination.contaminated(docs, bench).collect()}
