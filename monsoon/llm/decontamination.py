@@ -3,8 +3,9 @@
 Texts become templates word by word: numbers, units after numbers, and names (capitalised words inside a sentence) turn
 into typed placeholders; other words are lower-cased without closing punctuation. Windows of ``WINDOW`` template words
 of the items are joined by hash with those of the documents. Where a window matched, the values behind the placeholders are
-compared: along one alignment an item's value must always stand for the same value of the document, as in a
-question with exchanged parameters. What remains is measured as the share of the item's words under matched windows;
+compared, without closing punctuation: along one alignment an item's value must always stand for the same value of the
+document, as in a question with exchanged parameters. Windows over places that differ from most places of their value
+(over all of them if none prevails) don't count. What remains is measured as the share of the item's words under matched windows;
 from ``least`` on the document is contaminated by the item.
 
 Scale: the windows of a document are hashed in its row and exploded with its key alone. The items' windows are counted
@@ -93,8 +94,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
+def _value(word: Column) -> Column:
+    """A word without closing punctuation, which ``template`` takes off too (there, signs of units are placeholders)."""
+    return F.regexp_replace(word, r"(?<=[\p{L}\p{N}%$€£])[.,;:!?]+$", "")
+
+
 def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The alignments (key, doc_id, item, diagonal) with their matched places, whose placeholders agree."""
+    """The alignments (key, doc_id, item, diagonal) with those of their matched places whose placeholders agree."""
     aligned = cut_lineage(
         hits.groupBy("key", "doc_id", "item", "diagonal").agg(F.sort_array(F.collect_set("at")).alias("at"))
     )
@@ -126,21 +132,44 @@ def _consistent(hits: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
             F.transform(
                 "slots",
                 lambda s: F.struct(
-                    s["kind"].alias("kind"), s["value"].alias("value"), F.get("w", s["i"] + F.col("diagonal")).alias("own")
+                    s["i"].alias("i"), s["kind"].alias("kind"), _value(s["value"]).alias("value"),
+                    _value(F.get("w", s["i"] + F.col("diagonal"))).alias("own"),
                 ),
             )
         ).alias("s"),
     )
-    per_value = pairs.groupBy("key", "item", "diagonal", "s.kind", "s.value").agg(
-        F.count_distinct("s.own").alias("different"), F.max((F.col("s.own") != F.col("s.value")).cast("int")).alias("exchanged")
+    # Everything collected here is bounded by the item.
+    per_own = pairs.groupBy("key", "item", "diagonal", "s.kind", "s.value", "s.own").agg(
+        F.count("*").alias("n"), F.collect_list("s.i").alias("places")
+    )
+    per_value = per_own.groupBy("key", "item", "diagonal", "kind", "value").agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct("n", "places", (F.col("own") != F.col("value")).alias("exchanged"))).alias("own")
     )
+    prevails = lambda g: g["n"] * 2 > F.col("total")
+    per_value = per_value.select(
+        "key", "item", "diagonal", F.get(F.filter("own", prevails), F.lit(0)).alias("good"),
+        F.flatten(F.transform(F.filter("own", lambda g: ~prevails(g)), lambda g: g["places"])).alias("bad"),
+    )
     judged = per_value.groupBy("key", "item", "diagonal").agg(
-        F.max("different").alias("different"), F.sum("exchanged").alias("exchanged"), F.count("*").alias("n_slots")
+        F.collect_list("good").alias("good"), F.flatten(F.collect_list("bad")).alias("bad")
     )
-    held = held.join(judged, ["key", "item", "diagonal"], "left").filter(F.coalesce("different", F.lit(1)) <= 1)
+    over = lambda a, i: (a <= i) & (i < a + F.col("size"))
+    held = held.join(judged, ["key", "item", "diagonal"], "left")
+    held = held.withColumn("at", F.when(
+        F.size("bad") > 0, F.filter("at", lambda a: ~F.exists("bad", lambda i: over(a, i)))
+    ).otherwise(F.col("at")))
+    held = cut_lineage(held.filter(F.size("at") > 0))
+    # Values that only stand under windows that have gone don't count.
+    held = held.withColumn("good", F.when(
+        F.size("bad") > 0,
+        F.filter("good", lambda g: F.exists(g["places"], lambda i: F.exists("at", lambda a: over(a, i)))),
+    ).otherwise(F.col("good")))
+    held = cut_lineage(held)
+    exchanged = F.size(F.filter("good", lambda g: g["exchanged"]))
     return held.select(
         "key", "doc_id", "item", "diagonal", "at", "size",
-        F.coalesce("exchanged", F.lit(0)).alias("exchanged"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+        F.when(F.col("good").isNull(), 0).otherwise(exchanged).alias("exchanged"),
+        F.when(F.col("good").isNull(), 0).otherwise(F.size("good")).alias("n_slots"),
     )
 
 

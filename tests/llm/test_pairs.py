@@ -294,6 +294,21 @@ def test_wrapped_items(spark, items):
     assert got == {i: 1.0 for i in range(4)}
 
 
+def test_closing_punctuation_and_one_changed_value(spark):
+    tail = "while the small grey cat sleeps on a warm stone wall near the quiet garden gate all day long"
+    item = f"we met Maria in the old town and then 40 people saw Maria with 40 red flowers {tail}"
+    rows = [
+        (1, in_doc(item.replace("saw Maria", "saw Maria,").replace("40 red", "40, red"))),
+        (2, in_doc(item.replace("40 red", "55 red"))),  # the windows of the tail are verbatim
+        (3, in_doc(item.replace("Maria in", "Maria; in").replace("long", "long."))),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontamination.contaminated(docs, items).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["coverage"] == got[3]["coverage"] == 1.0
+    assert got[1]["exchanged"] == got[3]["exchanged"] == 0 and 0.5 <= got[2]["coverage"] < 1.0
+
+
 def test_leaks_equal_brute_force(small):
     docs, bench = small["documents"].select("doc_id", "text"), small["benchmark"]
     got = {r["doc_id"]: r["item_id"] for r in decontamination.contaminated(docs, bench).collect()}
