@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from monsoon.llm import (
     chat,
+    conversation_trie,
     decontamination,
     license_scan,
     line_dedup,
@@ -14,8 +15,10 @@ from monsoon.llm import (
     near_duplicates,
     quality_cascade,
     secret_scan,
+    spelling_index,
     token_files,
     toxicity,
+    url_reputation,
 )
 from monsoon.llm.common import table
 from monsoon.llm.oracle import ORACLE_SQL  # noqa: F401 - part of what this module offers
@@ -94,3 +97,25 @@ def op9_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "first_word")
+
+
+@query
+def op11_sequence_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = conversation_trie.rebuild(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(turns, conversations)
+
+
+@query
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # A page's path names its document, whose labels are the page's outcome.
+    number = F.regexp_extract(url_reputation.path_of(F.col("url")), r"^/[^/]*/([0-9]{1,18})", 1)
+    named = pages.select("page_id", number.try_cast("long").alias("doc_id")).distinct()
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.expr("toxic = 1 OR quality = 0").cast("int").alias("bad"))
+    found = url_reputation.judge(pages, named.join(labels, "doc_id").select("page_id", "bad"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "host_labels", "host_bad", F.round("bound", 6).alias("bound"))
+
+
+@query
+def op13_spelling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_index.variants(spelling_index.vocabulary(table(spark, sf_dir, "documents")))
