@@ -9,32 +9,34 @@ is at most a fifth of the longer one (similarity 0.8 or more).
 Texts of up to ``SHORT`` words also meet under each of their three-word windows (two-word ones for texts of four or five
 words): of n words with n / 5 edits at least one such window is left unchanged, so short texts leave nothing to chance.
 
-Scale: equal texts are one node from the start. Sketches are laid out in one sorted sequence, dealt out by range, so a
-sketch that most texts share spreads over tasks; each node is compared with its next neighbours in the sequence, which
-also sorts the texts of one sketch by their further sketches. The number of pairs is linear in the texts whatever the
-size of a group. Links are closed to classes by rounds of smallest labels. A first, small set of pairs joins the
-large groups; the other pairs are only verified where their two texts aren't yet in one class.
-
-Neighbours cover a sketch of up to three texts. The texts of a larger one that aren't yet one class are compared in full:
-first all with the text of most links (one row a text, which joins stars), then what is still apart, block by block
-inside tasks: every text with every text outside the largest class. Counts of words by hash rule out pairs that can't be
-similar, the others are verified. So every two similar texts with an equal sketch come into one class.
+Scale: equal texts are one node from the start, and only texts that share a sketch with another go on; sketches with the
+same texts count once. The texts of a sketch are dealt out in blocks of at most about ``BLOCK``, each with its words, and
+compared inside a task: a union-find knows which of them are one class already, from earlier rounds or from this block, so
+texts of one class are never compared again and a block gives back the links of a spanning forest, at most one a text.
+Counts of words by hash, then the number of shared words, rule out nearly all pairs before an alignment.
+
+Rounds: first the sketches of the ``FIRST`` bands, whose links join most groups; then the sketches of the other bands that
+still hold several classes. A sketch of up to ``BLOCK`` texts is complete with that. Of larger ones that are still apart,
+all texts are compared with the one of most links, which joins stars, and then block by block every text outside the
+largest class with every text, two texts only under the first key that they share. So every two similar texts with an equal sketch come into one class, and rows stay in
+proportion to the texts of the sketches; only comparisons inside blocks grow with the texts of a sketch times those
+outside its largest class. Links are closed to classes by rounds of smallest labels.
 
 Defined results: a null text or one without words is a class of its own; texts of fewer than five words are one
 shingle; equal texts are one class; a null doc_id is a document like any other and comes last in the choice of the
 document that stands for its class; an empty table gives an empty result; extra columns are ignored, or kept by
-``keep_one``. Texts are told apart by a 64-bit hash.
+``keep_one``. Texts are told apart by a 64-bit hash, the words of compared texts by 32 bits.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monsoon.llm.common import WORD, broadcast_if_small, text_or_empty
@@ -44,10 +46,14 @@ SHINGLE, PICKS, SKETCHES = 5, 2, 48
 #: Shorter shingles for all sketches but the first LONGER ones; texts of up to SHORT words meet under all their windows.
 SHORTER, LONGER, SHORT = 3, 8, 40
 SIMILARITY = 0.8
-#: Sketches whose neighbours are verified first.
+#: Sketches that are compared first.
 FIRST = 4
-#: Rows on each side of a block of comparisons, and counters of a text's words.
+#: Texts of a block of comparisons, and counters of a text's words.
 BLOCK, BINS = 256, 128
+#: Words from which a cheap upper bound of the distance is tried before the band.
+LONG = 20_000
+#: Bits of a sketch's number and band in the key that its texts meet under; windows of short texts are a band of their own.
+KEY_BITS = 57
 #: Node lists of up to so many rows (16 bytes each) are sent to the tasks; above, both sides are shuffled.
 SMALL = 500_000
 
@@ -118,33 +124,48 @@ def short_windows(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences, or ``most + 1`` if it is larger, from the diagonals up to ``most`` off."""
-    n, m, width = len(a), len(b), 2 * most + 1
-    far = most + 1
-    if abs(n - m) > most:
+def word_places(a: list[int]) -> dict[int, int]:
+    """For each word a number whose bits are its places."""
+    places: dict[int, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    return places
+
+
+def banded_distance(a, b, most: int, places: dict[int, int] | None = None) -> int:
+    """Edit distance of two sequences, or ``most + 1`` if it is larger, from the diagonals up to ``most`` off.
+
+    A column of the band is held as the bits of one number, a bit for each row whose distance is one more or one less than
+    that of the row above, so a step to the next column is a handful of operations on whole numbers. The band moves down by
+    a row with each column; what is followed is its lowest row until that is the last one, then the last row.
+    """
+    a, b = (x.tolist() if isinstance(x, np.ndarray) else x for x in (a, b))
+    rows, columns, far = len(a), len(b), most + 1
+    if abs(rows - columns) > most:
         return far
-    # row[d] is the distance of the first i of a and the first i + d - most of b
-    steps = np.arange(width)
-    row = np.where(steps >= most, steps - most, far)
-    row = np.where(steps - most > m, far, row)
-    padded = np.concatenate([np.zeros(most + 1, b.dtype), b, np.zeros(2 * most + 1, b.dtype)])
-    for i in range(1, n + 1):
-        same = padded[i : i + width] == a[i - 1]  # b[j - 1] for j = i - most .. i + most
-        j = steps + (i - most)
-        new = row + ~same
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new[j < 1] = far
-        at = most - i
-        if 0 <= at < width:
-            new[at] = i
-        new[(j < 0) | (j > m)] = far
-        new = np.minimum.accumulate(new - steps) + steps
-        new[(j < 0) | (j > m)] = far
-        row = np.minimum(new, far)
-        if row.min() > most:
+    places = word_places(a) if places is None else places
+    width = 2 * most + 1
+    every = (1 << width) - 1
+    lowest = 1 << (width - 1)
+    more, less = every ^ ((1 << most) - 1), 0  # in the first column each row has one more than the one above
+    score = min(rows, most)
+    for j, word in enumerate(b, 1):
+        same, off = places.get(word, 0), j - most - 1
+        same = (same >> off if off >= 0 else same << -off) & every
+        level = (((same & more) + more) ^ more) | same | less  # equal to the cell up left
+        right_more = (less | ~(level | more)) & every
+        right_less = level & more
+        if j + most <= rows:
+            score += not level & lowest
+        else:
+            row = rows - j + most
+            score += (right_more >> row & 1) - (right_less >> row & 1)
+        # Each column that is left can take off one at most, once the last row is reached.
+        if score > most + columns - max(j, rows - most):
             return far
-    return int(min(far, row[m - n + most]))
+        down = (level & every) >> 1
+        more, less = (right_less | ~(down | right_more)) & every, down & right_more
+    return min(far, score)
 
 
 def _anchored(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -185,163 +206,228 @@ def _increasing(values: np.ndarray) -> np.ndarray:
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether 1 - distance / length of the longer one is at least ``least``."""
-    longest = max(len(a), len(b))
-    most = int((1.0 - least) * longest + 1e-9)
+    most = allowed(max(len(a), len(b)), least)
     if abs(len(a) - len(b)) > most:
         return False
     shared = len(np.intersect1d(a + occurrences(a) * _M3, b + occurrences(b) * _M3, assume_unique=True))
-    if longest - shared > most:
-        return False
-    return _anchored(a, b, most) <= most or banded_distance(a, b, most) <= most
+    return bool(max(len(a), len(b)) - shared <= most and aligned(a.tolist(), b.tolist(), int(most)))
+
+
+def allowed(longest, least: float):
+    """Edits of similar texts, as whole numbers."""
+    return np.int64((1.0 - least) * longest + 1e-9)
+
 
+def aligned(a: list[int], b: list[int], most: int, places: dict[int, int] | None = None) -> bool:
+    if max(len(a), len(b)) > LONG and _anchored(np.array(a, np.uint64), np.array(b, np.uint64), most) <= most:
+        return True
+    return banded_distance(a, b, most, places) <= most
 
-_NAMES = [f"k{i}" for i in range(SKETCHES)]
+
+def meeting_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys a text with words meets others under: one a sketch, and all windows of a short text."""
+    sketches, windows = order_minhash(hashes), short_windows(hashes)
+    bands = np.r_[np.arange(SKETCHES, dtype=np.uint64), np.full(len(windows), SKETCHES, np.uint64)]
+    keys = (bands << np.uint64(KEY_BITS)) | (np.r_[sketches, windows] >> np.uint64(64 - KEY_BITS))
+    return keys.view(np.int64)
+
+
+MADE = "doc_id bigint, node bigint, n bigint, keys array<bigint>, words binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, sizes, keys, short = [], [], [], []
-        for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
+        sizes, keys, words = [], [], []
+        for text in b.column("text").to_pylist():
             hashes = word_hashes(text)
-            if len(hashes):
-                nodes.append(node)
-                sizes.append(len(hashes))
-                keys.append(order_minhash(hashes).view(np.int64))
-                short.append(short_windows(hashes).view(np.int64))
-        table = np.array(keys, np.int64).reshape(len(nodes), SKETCHES)
-        columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, np.ascontiguousarray(table.T))]
-        columns.append(pa.array(short, pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *_NAMES, "short"])
-
-
-def sketches(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per different text: node, number of words, and the sketches; and node, n, key of the windows of short texts."""
-    keys = ", ".join(f"{k} bigint" for k in _NAMES)
-    made = cut_lineage(texts.mapInArrow(_sketch, f"node bigint, n bigint, {keys}, short array<bigint>"))
-    short = made.filter(F.size("short") > 0).select("node", "n", F.explode("short").alias("key")).distinct()
-    return made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *_NAMES)]), short
-
-
-def _neighbours(reach: int, least: float):
-    columns = ("band", "key", "node", "n")
-
-    def pair(x: dict[str, np.ndarray], lag: int, new: int) -> list[np.ndarray]:
-        """Pairs whose second row is among the last ``new`` rows."""
-        size = len(x["node"])
-        at = np.arange(max(lag, size - new), size)
-        low, high = at - lag, at
-        small, large = np.minimum(x["n"][low], x["n"][high]), np.maximum(x["n"][low], x["n"][high])
-        good = (x["band"][low] == x["band"][high]) & (x["key"][low] == x["key"][high]) & (small >= least * large - 1e-9)
-        low, high = low[good], high[good]
-        a, b = x["node"][low], x["node"][high]
-        return [np.minimum(a, b), np.maximum(a, b), x["band"][high], np.full(len(low), lag)]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbouring pairs, and the first and last rows of the partition with their place, for the seams."""
-        place = TaskContext.get().partitionId()
-        last = {c: np.zeros(0, np.int64) for c in columns}
-        seen = 0
-        for b in batches:
-            own = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}
-            x = {c: np.concatenate([last[c], own[c]]) for c in columns}
-            parts = [pair(x, lag, len(own["node"])) for lag in range(1, reach + 1)]
-            a, c, band, lag = (np.concatenate(p) for p in zip(*parts))
-            yield rows(a, c, band, lag, np.zeros_like(a), np.zeros_like(a), np.full(len(a), -1), np.zeros_like(a))
-            head = {c: own[c][: max(0, reach - seen)] for c in columns}
-            yield edge(head, place, seen, False)
-            seen += len(own["node"])
-            last = {c: v[-reach:] for c, v in x.items()}
-        yield edge(last, place, max(0, seen - reach), True)
-
-    def edge(x: dict[str, np.ndarray], place: int, begin: int, ending: bool) -> pa.RecordBatch:
-        size = len(x["node"])
-        at = np.arange(size) + begin
-        kind = np.full(size, 1 if ending else 0)
-        return rows(x["node"], x["n"], x["band"], kind, x["key"], np.full(size, place), at, np.ones(size, np.int64))
-
-    def rows(a, b, band, lag, key, place, at, seam) -> pa.RecordBatch:
-        values = (a, b, band, lag, key, place, at, seam)
-        return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in values], names=NEIGHBOURS)
-
-    return find
-
-
-NEIGHBOURS = ["a", "b", "band", "lag", "key", "place", "at", "seam"]
-
-
-#: Next rows that a row is paired with.
-REACH = 2
-
-
-def _laid(made: DataFrame, short: DataFrame) -> DataFrame:
-    """A row per node and sketch, or window of a short text: band, key, next, after, node, n."""
-    turn = [
-        F.struct(
-            F.lit(i).cast("long").alias("band"), F.col(_NAMES[i]).alias("key"),
-            F.col(_NAMES[(i + 1) % SKETCHES]).alias("next"), F.col(_NAMES[(i + 2) % SKETCHES]).alias("after"),
-        )
-        for i in range(SKETCHES)
-    ]
-    laid = made.select("node", "n", F.explode(F.array(*turn)).alias("s")).select("s.*", "node", "n")
-    # Windows of one key are sorted by the number of words.
-    windows = short.select(
-        F.lit(SKETCHES).cast("long").alias("band"), "key", F.col("n").alias("next"), F.lit(0).cast("long").alias("after"), "node", "n"
-    )
-    return laid.unionByName(windows)
+            sizes.append(len(hashes))
+            keys.append(meeting_keys(hashes) if len(hashes) else [])
+            words.append((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+        columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *columns], names=["doc_id", "node", "n", "keys", "words"])
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, node, n (words), keys and words (their hashes) of every row, numbered by ``row``: a written table."""
+    made = _text_rows(docs).select("doc_id", "node", "text").mapInArrow(_sketch, MADE)
+    return cut_lineage(made.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _one_a_text(made: DataFrame) -> DataFrame:
+    """The rows with words, one of each text."""
+    copied = made.filter("n > 0").groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("rows"))
+    copied = cut_lineage(copied.filter("rows > 1").select("node", "first"))
+    marked = made.filter("n > 0").join(broadcast_if_small(copied, copied.count(), SMALL), "node", "left")
+    return marked.filter("first IS NULL OR row = first").drop("first")
 
 
-def candidates(made: DataFrame, short: DataFrame, reach: int = REACH, least: float = SIMILARITY) -> DataFrame:
-    """Different pairs (a, b) of nodes near each other under one sketch, and ``first``: to be verified first.
+def _crowds(texts: DataFrame) -> DataFrame:
+    """key, node and size of the keys that several texts have; of keys with the same texts the first band's."""
+    laid = texts.select("node", F.explode("keys").alias("key"))
+    many = laid.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("node").alias("all"), F.min("node").alias("low"))
+    many = many.filter("size > 1").groupBy("size", "all", "low").agg(F.min("key").alias("key")).select("key", "size")
+    many = cut_lineage(many)
+    return cut_lineage(laid.join(broadcast_if_small(many, many.count(), SMALL), "key"))
 
-    The sequence is sorted by sketch number, sketch, and the next two sketches, so that among many texts with one sketch
-    those that agree further are neighbours.
+
+class _Classes:
+    """Union-find over the rows of a block: ``of`` has each row's class."""
+
+    def __init__(self, roots: np.ndarray):
+        self.of = np.unique(roots, return_inverse=True)[1]
+
+    def join(self, x: int, y: int) -> None:
+        self.of[self.of == self.of[y]] = self.of[x]
+
+
+def block_links(
+    node: np.ndarray, root: np.ndarray, side: np.ndarray, words: list[bytes], least: float, key: int = 0, keys: list | None = None
+) -> list[tuple[int, int]]:
+    """Links of similar rows of a block that join two classes: rows of side 2 among each other, of side 1 with side 0.
+
+    With ``keys``, those of each row, two rows are compared under the first key alone that they share.
     """
-    order = ["band", "key", "next", "after", "node"]
-    dealt = _laid(made, short).repartitionByRange(*order).sortWithinPartitions(*order).select("band", "key", "node", "n")
-    found = cut_lineage(
-        dealt.mapInArrow(_neighbours(reach, least), ", ".join(f"{c} bigint" for c in NEIGHBOURS))
-        # Equal pairs of different sketches meet here; seam rows are few and all different.
-        .groupBy("a", "b", "key", "place", "at", "seam")
-        .agg(F.min(F.col("band") * 4 + F.col("lag")).alias("rank"))
-    )
-    inner = found.filter("seam = 0").select("a", "b", "rank")
-    # Rows on both sides of each seam between partitions: a few per partition.
-    seams = found.filter("seam = 1").select(
-        F.col("a").alias("node"), F.col("b").alias("n"), "key", "place", "at", F.floor(F.col("rank") / 4).alias("band")
-    )
-    across = Window.orderBy("place", "at")
-    pieces = [inner]
-    for lag in range(1, reach + 1):
-        back = seams.select(
-            "node", "n", "key", "band", "place",
-            *[F.lag(c, lag).over(across).alias(f"l_{c}") for c in ("node", "n", "key", "band", "place")],
-        )
-        met = back.filter("place <> l_place and key = l_key and band = l_band and least(n, l_n) >= greatest(n, l_n) * %r" % least)
-        pieces.append(
-            met.select(
-                F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"),
-                (F.col("band") * 4 + lag).alias("rank"),
-            )
-        )
-    pairs = pieces[0]
-    for p in pieces[1:]:
-        pairs = pairs.unionByName(p)
-    pairs = pairs.filter("a <> b").groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    return pairs.select("a", "b", ((F.col("rank") < FIRST * 4) & (F.col("rank") % 4 == 1)).alias("first"))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        left, right = b.column("left").to_pylist(), b.column("right").to_pylist()
-        good = [similar(word_hashes(x), word_hashes(y)) for x, y in zip(left, right)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    texts = [np.frombuffer(w, np.uint32) for w in words]
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    # Capped counts differ less than the real ones, so nothing similar is ruled out.
+    bags = np.array([np.minimum(np.bincount(t % BINS, minlength=BINS), 255) for t in texts], np.int16).reshape(-1, BINS)
+
+    @functools.cache
+    def marks(i: int) -> np.ndarray:
+        own = texts[i].astype(np.uint64)
+        return (own << _SHIFT) | occurrences(own)
+
+    def similar_rows(x: int, i: int, size: int, edits: int) -> bool:
+        shared = len(np.intersect1d(marks(x), marks(i), assume_unique=True))
+        if size - shared > edits:
+            return False
+        if x not in places:
+            places.clear()
+            places[x] = word_places(texts[x].tolist())
+        return aligned(texts[x].tolist(), texts[i].tolist(), edits, places[x])
+
+    places: dict[int, dict[int, int]] = {}
+    def met_before(x: int, i: int) -> bool:
+        shared = np.intersect1d(keys[x][SKETCHES:], keys[i][SKETCHES:])
+        return len(shared) > 0 and shared[0] < key
+
+    table = np.array([k[:SKETCHES] for k in keys]) if keys else None
+    band = min(key >> KEY_BITS, SKETCHES)
+    classes, links = _Classes(root), []
+    others = np.flatnonzero(side == 0)
+    for x in np.flatnonzero(side > 0).tolist():
+        y = others if side[x] == 1 else np.arange(x)
+        y = y[classes.of[y] != classes.of[x]]
+        if keys:
+            y = y[~(table[y, :band] == table[x, :band]).any(axis=1)]
+        longest = np.maximum(n[y], n[x])
+        most = allowed(longest, least)
+        # An edit moves the sum of differences and the lengths by two at most.
+        far = np.abs(bags[y] - bags[x]).sum(axis=1) + np.abs(n[y] - n[x])
+        near = far <= 2 * most
+        y, longest, most = (v[near][np.argsort(far[near], kind="stable")].tolist() for v in (y, longest, most))
+        for i, size, edits in zip(y, longest, most):
+            if classes.of[i] == classes.of[x] or (keys and band == SKETCHES and met_before(x, i)):
+                continue
+            if similar_rows(x, i, size, edits):
+                links.append((int(node[x]), int(node[i])))
+                classes.join(x, i)
+    return links
+
+
+def _blocks(least: float):
+    """Runs ``block_links`` over the sorted rows of each gid."""
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        node, root, side = (rows.column(c).to_numpy() for c in ("node", "root", "side"))
+        keyed = {}
+        if "keys" in rows.column_names:
+            keys = rows.column("keys").combine_chunks()
+            keyed = {"key": rows.column("key")[0].as_py(), "keys": np.split(keys.flatten().to_numpy(), keys.offsets.to_numpy()[1:-1])}
+        links = block_links(node, root, side, rows.column("words").to_pylist(), least, **keyed)
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+        for b in batches:
+            gid = b.column("gid").to_numpy()
+            edges = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True]) if len(gid) else np.zeros(0, int)
+            for begin, end in zip(edges[:-1], edges[1:]):
+                if held and gid[begin] != current:
+                    yield compare(pa.Table.from_batches(held))
+                    held = []
+                current = gid[begin]
+                held.append(b.slice(begin, end - begin))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
 
+def _linked(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of the blocks of ``dealt`` (gid, node, root, side, and key where keys are looked at)."""
+    keyed = ["key", "keys"] if "key" in dealt.columns else []
+    rows = dealt.join(texts, "node").select("gid", "node", "root", "side", "words", *keyed)
+    rows = rows.repartition("gid").sortWithinPartitions("gid")
+    return cut_lineage(rows.mapInArrow(_blocks(least), "a bigint, b bigint"))
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar; ``texts`` has one row (node, text) per node."""
-    x, y = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
-    joined = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(_verify, "a bigint, b bigint")
+
+def _parts(size: Column) -> Column:
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def _place(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), parts).cast("int")
+
+
+def _inside(rows: DataFrame) -> DataFrame:
+    """Blocks of the texts of each key (key, node, size, root)."""
+    gid = F.xxhash64("key", _place(_parts(F.col("size"))))
+    return rows.select(gid.alias("gid"), "node", "root", F.lit(2).alias("side"))
+
+
+def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _apart(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node, size, root) of keys whose texts are of several classes."""
+    own = cut_lineage(_rooted(crowd, labels))
+    live = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    live = cut_lineage(live)
+    return cut_lineage(own.join(broadcast_if_small(live, live.count(), SMALL), "key"))
+
+
+def _with_pivots(live: DataFrame, links: DataFrame) -> DataFrame:
+    """Blocks of each text of a key with the text of the key that has most links, where they are of two classes."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    ranked = live.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left")
+    best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "root")).alias("p")
+    best = cut_lineage(ranked.groupBy("key", "size").agg(best).select("key", "size", F.col("p.node").alias("pivot"), F.col("p.root").alias("top")))
+    met = live.join(broadcast_if_small(best, best.count(), SMALL).drop("size"), "key").filter("root <> top")
+    # As one row a text has no classes to tell apart but the pivot's, the pivot is the left side of each block.
+    gid = F.xxhash64("key", _place(_parts(F.col("size"))))
+    met = met.select(gid.alias("gid"), "node", "root", F.lit(0).alias("side"))
+    each = best.select("key", "pivot", "top", F.explode(F.sequence(F.lit(0), _parts(F.col("size")) - 1)).alias("i"))
+    each = each.select(F.xxhash64("key", "i").alias("gid"), F.col("pivot").alias("node"), F.col("top").alias("root"), F.lit(1).alias("side"))
+    return met.unionByName(each)
+
+
+def _across(live: DataFrame) -> DataFrame:
+    """Blocks of each text outside the largest class of a key with all texts of the key."""
+    per = live.groupBy("key", "root").agg(F.count("*").alias("rows")).groupBy("key").agg(
+        F.max(F.struct("rows", "root")).alias("top"), F.sum("rows").alias("rows")
+    )
+    per = cut_lineage(per.select("key", F.col("top.root").alias("major"), (F.col("rows") - F.col("top.rows")).alias("minors")))
+    rows = live.join(broadcast_if_small(per, per.count(), SMALL), "key")
+    parts, few = _parts(F.col("size")), _parts(F.col("minors"))
+    every = rows.select("key", "node", "root", F.lit(0).alias("side"), _place(parts).alias("j"), F.explode(F.sequence(F.lit(0), few - 1)).alias("i"))
+    minor = rows.filter("root <> major").select(
+        "key", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), _place(few).alias("i")
+    )
+    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("gid"), "key", "node", "root", "side")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -365,105 +451,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _crowds(made: DataFrame, short: DataFrame, reach: int = REACH) -> DataFrame:
-    """The rows (band, key, node, n) of sketches with more texts than neighbours cover."""
-    laid = _laid(made, short).select("band", "key", "node", "n")
-    many = cut_lineage(laid.groupBy("band", "key").agg(F.count("*").alias("size")).filter(F.col("size") > reach + 1).drop("size"))
-    return cut_lineage(laid.join(broadcast_if_small(many, many.count(), SMALL), ["band", "key"]))
-
-
-def _apart(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of sketches whose texts are of several classes, with root, size, major (the largest class) and minors."""
-    own = crowd.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = own.groupBy("band", "key", "root").agg(F.count("*").alias("rows")).groupBy("band", "key").agg(
-        F.sum("rows").alias("size"), F.max(F.struct("rows", "root")).alias("top"), F.count("*").alias("roots")
-    )
-    per = per.filter("roots > 1").select(
-        "band", "key", "size", F.col("top.root").alias("major"), (F.col("size") - F.col("top.rows")).alias("minors")
-    )
-    per = cut_lineage(per)
-    return cut_lineage(own.join(broadcast_if_small(per, per.count(), SMALL), ["band", "key"]))
-
-
-def _with_pivots(live: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each text with the text of its sketch that has most links, if they are of two classes."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = live.join(degree, "node", "left")
-    best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "n", "root")).alias("p")
-    best = cut_lineage(ranked.groupBy("band", "key").agg(best))
-    met = live.join(broadcast_if_small(best, best.count(), SMALL), ["band", "key"])
-    met = met.filter((F.col("root") != F.col("p.root")) & (F.least("n", "p.n") >= F.greatest("n", "p.n") * least - 1e-9))
-    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        bags = []
-        for text in b.column("text").to_pylist():
-            counts = np.bincount((word_hashes(text) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-            bags.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bags, pa.binary())], names=["node", "bag"])
-
-
-def _blocks(least: float):
-    """Pairs of a block (rows with one gid) that may be similar: those of side 1 with those of side 0."""
-
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, n, root, minor, side = (t.column(c).to_numpy() for c in ("node", "n", "root", "minor", "side"))
-        bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        for x in left:
-            # Two texts outside the largest class meet twice.
-            y = right[(root[right] != root[x]) & ((minor[right] == 0) | (node[right] > node[x]))]
-            y = y[np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]) - 1e-9]
-            # An edit moves the sum of differences and the lengths by two at most.
-            most = ((1.0 - least) * np.maximum(n[y], n[x]) + 1e-9).astype(np.int64)
-            far = np.abs(bag[y] - bag[x]).sum(axis=1) + np.abs(n[y] - n[x])
-            y = y[far <= 2 * most]
-            if len(y):
-                a, b = np.minimum(node[y], node[x]), np.maximum(node[y], node[x])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        gid = t.column("gid").to_numpy()
-        edges = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True]) if len(gid) else np.zeros(0, int)
-        for begin, end in zip(edges[:-1], edges[1:]):
-            yield from compare(t.slice(begin, end - begin))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            gid = t.column("gid").to_numpy()
-            cut = int(np.searchsorted(gid, gid[-1]))
-            yield from groups(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None:
-            yield from groups(held)
-
-    return run
-
-
-def _across(live: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of all texts with an equal sketch and of two classes whose words allow similarity."""
-    bags = cut_lineage(texts.join(live.select("node").distinct(), "node").mapInArrow(_bags, "node bigint, bag binary"))
-    minor = F.col("root") != F.col("major")
-    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    place = lambda c: F.pmod(F.xxhash64("node"), parts(c)).cast("int")
-    other = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
-    base = ("band", "key", "node", "n", "root")
-    every = live.select(*base, minor.alias("minor"), F.lit(0).alias("side"), place("size").alias("j"), other("minors").alias("i"))
-    few = live.filter(minor).select(*base, F.lit(True).alias("minor"), F.lit(1).alias("side"), place("minors").alias("i"), other("size").alias("j"))
-    dealt = every.unionByName(few).select(
-        F.xxhash64("band", "key", "i", "j").alias("gid"), "node", "n", "root", F.col("minor").cast("int").alias("minor"), "side"
-    )
-    dealt = dealt.join(bags, "node").repartition("gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(_blocks(least), "a bigint, b bigint").distinct()
-
-
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, root) after further links (a, b) of nodes; nodes without a label are their own root."""
     between = links.select("a", "b")
@@ -490,35 +477,24 @@ def text_node(text: Column) -> Column:
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node and root of every row of ``docs``: rows with equal roots are near duplicates of each other."""
-    rows = _text_rows(docs)
-    members = cut_lineage(rows.select("doc_id", "node"))
-    made, short = map(cut_lineage, sketches(rows.filter(F.col("node").isNotNull()).select("node", "text")))
-    pairs = cut_lineage(candidates(made, short, least=least))
-    crowd = _crowds(made, short)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
-    # One document stands for each text, so that copies of a text aren't sent.
-    needed = cut_lineage(members.join(needed, "node").groupBy("node").agg(F.min("doc_id").alias("own_id")))
-    few = broadcast_if_small(needed.withColumnRenamed("node", "own_node"), needed.count(), SMALL)
-    own = rows.join(few, (F.col("node") == F.col("own_node")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
-    texts = cut_lineage(own.groupBy("node").agg(F.first("text").alias("text")))
-    first = cut_lineage(verified(pairs.filter("first"), texts))
-    labels = components(first)
-    rest = pairs.filter("not first")
-    for c in ("a", "b"):
-        own = labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        rest = rest.join(own, c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-    rest = cut_lineage(rest.filter("a_root <> b_root"))
-    more = cut_lineage(verified(rest, texts))
-    labels = _merged(labels, more)
-    live = _apart(crowd, labels)
+    made = sketched(docs)
+    one = _one_a_text(made)
+    crowd = _crowds(one.select("node", "keys"))
+    nodes = cut_lineage(crowd.select("node").distinct())
+    texts = cut_lineage(one.select("node", "words", "keys").join(broadcast_if_small(nodes, nodes.count(), SMALL), "node"))
+    first = F.col("key") < (FIRST << KEY_BITS)
+    links = _linked(_inside(crowd.filter(first).withColumn("root", F.col("node"))), texts, least)
+    labels = components(links)
+    more = _linked(_inside(_apart(crowd.filter(~first), labels)), texts, least)
+    labels, links = _merged(labels, more), links.unionByName(more)
+    large = crowd.filter(F.col("size") > BLOCK)
+    live = _apart(large, labels)
     if not live.isEmpty():
-        pivots = cut_lineage(_with_pivots(live, first.unionByName(more), least))
-        labels = _merged(labels, cut_lineage(verified(pivots, texts)))
-        live = _apart(live.select("band", "key", "node", "n"), labels)
+        labels = _merged(labels, _linked(_with_pivots(live, links), texts, least))
+        live = _apart(large, labels)
     if not live.isEmpty():
-        pairs = cut_lineage(_across(live, texts, least))
-        labels = _merged(labels, cut_lineage(verified(pairs, texts)))
-    found = members.join(labels, "node", "left")
+        labels = _merged(labels, _linked(_across(live), texts, least))
+    found = made.select("doc_id", "node").join(labels, "node", "left")
     return found.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
