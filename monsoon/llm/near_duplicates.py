@@ -9,18 +9,19 @@ is at most a fifth of the longer one (similarity 0.8 or more).
 Texts of up to ``SHORT`` words also meet under each of their three-word windows (two-word ones for texts of four or five
 words): of n words with n / 5 edits at least one such window is left unchanged, so short texts leave nothing to chance.
 
-Scale: equal texts are one node from the start, and only texts that share a sketch with another go on; sketches with the
-same texts count once. The texts of a sketch are dealt out in blocks of at most about ``BLOCK``, each with its words, and
-compared inside a task: a union-find knows which of them are one class already, from earlier rounds or from this block, so
-texts of one class are never compared again and a block gives back the links of a spanning forest, at most one a text.
-Counts of words by hash, then the number of shared words, rule out nearly all pairs before an alignment.
+Scale: equal texts are one node from the start, and only texts that share a sketch with another go on. All sketches whose
+smallest text is the same make one group, so texts that meet under many sketches are sent and compared once and not for
+each. Groups are dealt out in blocks of at most about ``BLOCK`` texts, each with its words, and compared inside a task: a
+union-find knows which of them are one class already, from earlier rounds or from this block, so texts of one class are
+never compared again and a block gives back the links of a spanning forest, at most one a text. Counts of words by hash, then
+the number of shared words, rule out nearly all pairs before an alignment.
 
 Rounds: first the sketches of the ``FIRST`` bands, whose links join most groups; then the sketches of the other bands that
-still hold several classes. A sketch of up to ``BLOCK`` texts is complete with that. Of larger ones that are still apart,
+still hold several classes. A group of up to ``BLOCK`` texts is complete with that. Of larger ones that are still apart,
 all texts are compared with the one of most links, which joins stars, and then block by block every text outside the
-largest class with every text, two texts only under the first key that they share. So every two similar texts with an equal sketch come into one class, and rows stay in
-proportion to the texts of the sketches; only comparisons inside blocks grow with the texts of a sketch times those
-outside its largest class. Links are closed to classes by rounds of smallest labels.
+largest class with every text. So every two similar texts with an equal sketch come into one class, and rows stay in
+proportion to the texts of the groups; only comparisons inside blocks grow with the texts of a group times those outside
+its largest class. Links are closed to classes by rounds of smallest labels.
 
 Defined results: a null text or one without words is a class of its own; texts of fewer than five words are one
 shingle; equal texts are one class; a null doc_id is a document like any other and comes last in the choice of the
@@ -261,13 +262,24 @@ def _one_a_text(made: DataFrame) -> DataFrame:
     return marked.filter("first IS NULL OR row = first").drop("first")
 
 
-def _crowds(texts: DataFrame) -> DataFrame:
-    """key, node and size of the keys that several texts have; of keys with the same texts the first band's."""
-    laid = texts.select("node", F.explode("keys").alias("key"))
-    many = laid.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("node").alias("all"), F.min("node").alias("low"))
-    many = many.filter("size > 1").groupBy("size", "all", "low").agg(F.min("key").alias("key")).select("key", "size")
-    many = cut_lineage(many)
-    return cut_lineage(laid.join(broadcast_if_small(many, many.count(), SMALL), "key"))
+def _crowds(texts: DataFrame, bands: Column, turn: int) -> DataFrame:
+    """Groups of texts with a common key of ``bands`` and of several classes: key (of this turn), node, root and size.
+
+    Texts (node, root, keys) that meet under many keys shall not be sent once for each: all keys with the same smallest node
+    become one group under that node, so every two texts of one key are in one group.
+    """
+    laid = texts.select("node", "root", F.explode("keys").alias("key")).filter(bands)
+    many = laid.groupBy("key").agg(
+        F.count("*").alias("size"), F.bit_xor("node").alias("all"), F.min("node").alias("low"),
+        F.min("root").alias("least"), F.max("root").alias("most"),
+    )
+    # Of keys with the same texts one is enough.
+    many = many.filter("size > 1 AND least <> most").groupBy("size", "all", "low").agg(F.min("key").alias("key"))
+    many = cut_lineage(many.select("key", "low"))
+    rows = laid.join(broadcast_if_small(many, many.count(), SMALL), "key")
+    rows = cut_lineage(rows.groupBy(F.xxhash64("low", F.lit(turn)).alias("key"), "node").agg(F.min("root").alias("root")))
+    sizes = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("size")))
+    return cut_lineage(rows.join(broadcast_if_small(sizes, sizes.count(), SMALL), "key"))
 
 
 class _Classes:
@@ -280,12 +292,10 @@ class _Classes:
         self.of[self.of == self.of[y]] = self.of[x]
 
 
-def block_links(
-    node: np.ndarray, root: np.ndarray, side: np.ndarray, words: list[bytes], least: float, key: int = 0, keys: list | None = None
-) -> list[tuple[int, int]]:
+def block_links(node: np.ndarray, root: np.ndarray, side: np.ndarray, words: list[bytes], least: float) -> list[tuple[int, int, int]]:
     """Links of similar rows of a block that join two classes: rows of side 2 among each other, of side 1 with side 0.
 
-    With ``keys``, those of each row, two rows are compared under the first key alone that they share.
+    With each link goes the smallest node of its class in this block.
     """
     texts = [np.frombuffer(w, np.uint32) for w in words]
     n = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -307,19 +317,11 @@ def block_links(
         return aligned(texts[x].tolist(), texts[i].tolist(), edits, places[x])
 
     places: dict[int, dict[int, int]] = {}
-    def met_before(x: int, i: int) -> bool:
-        shared = np.intersect1d(keys[x][SKETCHES:], keys[i][SKETCHES:])
-        return len(shared) > 0 and shared[0] < key
-
-    table = np.array([k[:SKETCHES] for k in keys]) if keys else None
-    band = min(key >> KEY_BITS, SKETCHES)
     classes, links = _Classes(root), []
     others = np.flatnonzero(side == 0)
     for x in np.flatnonzero(side > 0).tolist():
         y = others if side[x] == 1 else np.arange(x)
         y = y[classes.of[y] != classes.of[x]]
-        if keys:
-            y = y[~(table[y, :band] == table[x, :band]).any(axis=1)]
         longest = np.maximum(n[y], n[x])
         most = allowed(longest, least)
         # An edit moves the sum of differences and the lengths by two at most.
@@ -327,12 +329,11 @@ def block_links(
         near = far <= 2 * most
         y, longest, most = (v[near][np.argsort(far[near], kind="stable")].tolist() for v in (y, longest, most))
         for i, size, edits in zip(y, longest, most):
-            if classes.of[i] == classes.of[x] or (keys and band == SKETCHES and met_before(x, i)):
-                continue
-            if similar_rows(x, i, size, edits):
-                links.append((int(node[x]), int(node[i])))
+            if classes.of[i] != classes.of[x] and similar_rows(x, i, size, edits):
+                links.append((x, i))
                 classes.join(x, i)
-    return links
+    smallest = {c: int(node[classes.of == c].min()) for c in {int(classes.of[x]) for x, _ in links}}
+    return [(int(node[x]), int(node[i]), smallest[int(classes.of[x])]) for x, i in links]
 
 
 def _blocks(least: float):
@@ -340,13 +341,9 @@ def _blocks(least: float):
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         node, root, side = (rows.column(c).to_numpy() for c in ("node", "root", "side"))
-        keyed = {}
-        if "keys" in rows.column_names:
-            keys = rows.column("keys").combine_chunks()
-            keyed = {"key": rows.column("key")[0].as_py(), "keys": np.split(keys.flatten().to_numpy(), keys.offsets.to_numpy()[1:-1])}
-        links = block_links(node, root, side, rows.column("words").to_pylist(), least, **keyed)
-        pairs = np.array(links, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+        links = block_links(node, root, side, rows.column("words").to_pylist(), least)
+        columns = np.array(links, np.int64).reshape(-1, 3).T
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -367,11 +364,14 @@ def _blocks(least: float):
 
 
 def _linked(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of the blocks of ``dealt`` (gid, node, root, side, and key where keys are looked at)."""
-    keyed = ["key", "keys"] if "key" in dealt.columns else []
-    rows = dealt.join(texts, "node").select("gid", "node", "root", "side", "words", *keyed)
+    """Links (a, b, low) of the blocks of ``dealt`` (gid, node, root, side)."""
+    nodes = cut_lineage(dealt.select("node").distinct())
+    if nodes.count() <= SMALL:
+        # The other texts need not be shuffled for the join.
+        texts = texts.join(F.broadcast(nodes), "node", "left_semi")
+    rows = dealt.join(texts, "node").select("gid", "node", "root", "side", "words")
     rows = rows.repartition("gid").sortWithinPartitions("gid")
-    return cut_lineage(rows.mapInArrow(_blocks(least), "a bigint, b bigint"))
+    return cut_lineage(rows.mapInArrow(_blocks(least), "a bigint, b bigint, low bigint"))
 
 
 def _parts(size: Column) -> Column:
@@ -392,9 +392,9 @@ def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _apart(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, node, size, root) of keys whose texts are of several classes."""
-    own = cut_lineage(_rooted(crowd, labels))
+def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node, size, root) of keys whose texts are still of several classes."""
+    own = cut_lineage(_rooted(rows.drop("root"), labels))
     live = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
     live = cut_lineage(live)
     return cut_lineage(own.join(broadcast_if_small(live, live.count(), SMALL), "key"))
@@ -427,7 +427,7 @@ def _across(live: DataFrame) -> DataFrame:
     minor = rows.filter("root <> major").select(
         "key", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), _place(few).alias("i")
     )
-    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("gid"), "key", "node", "root", "side")
+    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("gid"), "node", "root", "side")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -479,21 +479,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node and root of every row of ``docs``: rows with equal roots are near duplicates of each other."""
     made = sketched(docs)
     one = _one_a_text(made)
-    crowd = _crowds(one.select("node", "keys"))
-    nodes = cut_lineage(crowd.select("node").distinct())
-    texts = cut_lineage(one.select("node", "words", "keys").join(broadcast_if_small(nodes, nodes.count(), SMALL), "node"))
-    first = F.col("key") < (FIRST << KEY_BITS)
-    links = _linked(_inside(crowd.filter(first).withColumn("root", F.col("node"))), texts, least)
-    labels = components(links)
-    more = _linked(_inside(_apart(crowd.filter(~first), labels)), texts, least)
+    early = F.col("key") < (FIRST << KEY_BITS)
+    crowd = _crowds(one.select("node", F.col("node").alias("root"), "keys"), early, 1)
+    links = _linked(_inside(crowd), one.select("node", "words"), least)
+    # Both ends hang on the smallest node of their block, which makes short ways.
+    stars = links.select("a", F.col("low").alias("b")).union(links.select("b", "low")).filter("a <> b")
+    labels = components(stars)
+    late = _crowds(_rooted(one.select("node", "keys"), labels), ~early, 2)
+    more = _linked(_inside(late), one.select("node", "words"), least)
     labels, links = _merged(labels, more), links.unionByName(more)
-    large = crowd.filter(F.col("size") > BLOCK)
-    live = _apart(large, labels)
+    live = _apart(crowd.unionByName(late).filter(F.col("size") > BLOCK), labels)
     if not live.isEmpty():
-        labels = _merged(labels, _linked(_with_pivots(live, links), texts, least))
-        live = _apart(large, labels)
+        joined = _linked(_with_pivots(live, links), one.select("node", "words"), least)
+        if not joined.isEmpty():
+            labels = _merged(labels, joined)
+            live = _apart(live, labels)
     if not live.isEmpty():
-        labels = _merged(labels, _linked(_across(live), texts, least))
+        labels = _merged(labels, _linked(_across(live), one.select("node", "words"), least))
     found = made.select("doc_id", "node").join(labels, "node", "left")
     return found.select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
