@@ -15,16 +15,17 @@ Ties go to the point that is first by ``tie_cols``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from monsoon.functions.spatial import squared_distance
-from monsoon.session import cut_lineage
+from monsoon.session import cut_lineage, ensure_checkpoint_dir
 
 MAX_BROADCAST_POINTS = 4096
 _MAX_BROADCAST_ROWS = 100_000
@@ -155,10 +156,12 @@ def _reach(at: Column, low: Column, high: Column) -> Column:
     return F.greatest(at - low, high - at)
 
 
-def _nodes(finest: DataFrame, depth: int) -> DataFrame:
-    """The tree's nodes at a depth, with their parents (px, py), rolled up from the finest cells."""
-    shift = _LEVEL_BITS * (_DEEPEST - depth)
-    rolled = finest.groupBy(F.shiftright("cx", shift).alias("cx"), F.shiftright("cy", shift).alias("cy")).agg(
+def _roll_up(finest: DataFrame) -> DataFrame:
+    """The tree's nodes at all depths with their parents (px, py): one pass over the finest cells."""
+    by_depth = finest.withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(_DEEPEST))))
+    shift = (F.lit(_DEEPEST) - F.col("depth")) * _LEVEL_BITS
+    cell = [F.call_function("shiftright", F.col(c), shift).alias(c) for c in ("cx", "cy")]
+    rolled = by_depth.groupBy("depth", *cell).agg(
         F.sum("n").alias("n"),
         F.min("lat0").alias("lat0"),
         F.max("lat1").alias("lat1"),
@@ -166,29 +169,75 @@ def _nodes(finest: DataFrame, depth: int) -> DataFrame:
         F.max("lon1").alias("lon1"),
     )
     parent = [F.shiftright(c, _LEVEL_BITS).alias(p) for c, p in (("cx", "px"), ("cy", "py"))]
-    return cut_lineage(rolled.select(*parent, "*"))
+    return rolled.select(*parent, "*")
+
+
+class Pyramid:
+    """The search tree over the right points: a table that is built once and joined with any number of left frames.
+
+    A folder holds ``points`` (coordinates, finest cell, tie and payload), ``nodes`` by depth, and ``about``: one row with
+    the corner and size of the cells. A new version goes to a folder of its own, so readers of the old one aren't disturbed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.points = spark.read.parquet(f"{path}/points")
+        about = spark.read.parquet(f"{path}/about").first()
+        self.empty = about["size"] is None
+        self.nodes = None if self.empty else spark.read.parquet(f"{path}/nodes")
+        self.node_rows = dict(about["node_rows"] or {})
+
+    @staticmethod
+    def build(right: DataFrame, payload: Mapping[str, str], tie_cols: Sequence[str], path: str, right_xy=("lat", "lon")) -> Pyramid:
+        return Pyramid._write(_unique_points(right, payload, tie_cols, right_xy), path)
+
+    @staticmethod
+    def _write(unique: DataFrame, path: str) -> Pyramid:
+        spark = unique.sparkSession
+        unique = cut_lineage(unique)
+        ext = unique.agg(
+            F.min("plat").alias("lat0"), F.max("plat").alias("lat1"), F.min("plon").alias("lon0"), F.max("plon").alias("lon1")
+        ).first()
+        size, counts = None, {}
+        if ext["lat0"] is None:
+            unique.withColumns({c: F.lit(None).cast("long") for c in ("cx", "cy")}).write.parquet(f"{path}/points")
+        else:
+            extent = max(ext["lat1"] - ext["lat0"], ext["lon1"] - ext["lon0"]) or 1.0
+            size = extent / float(1 << (_LEVEL_BITS * _DEEPEST))
+            cells = {"cx": _cell(F.col("plat"), ext["lat0"], size), "cy": _cell(F.col("plon"), ext["lon0"], size)}
+            unique.withColumns(cells).write.parquet(f"{path}/points")
+            finest = spark.read.parquet(f"{path}/points").groupBy("cx", "cy").agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min("plat").alias("lat0"),
+                F.max("plat").alias("lat1"),
+                F.min("plon").alias("lon0"),
+                F.max("plon").alias("lon1"),
+            )
+            _roll_up(finest).write.partitionBy("depth").parquet(f"{path}/nodes")
+            rows = spark.read.parquet(f"{path}/nodes").groupBy("depth").count().collect()  # one row a depth
+            counts = {int(r["depth"]): int(r["count"]) for r in rows}
+        # Written last: a folder without it isn't finished.
+        about = [(ext["lat0"], ext["lon0"], size, counts)]
+        kind = "lat0 double, lon0 double, size double, node_rows map<int, bigint>"
+        spark.createDataFrame(about, kind).coalesce(1).write.parquet(f"{path}/about")
+        return Pyramid(spark, path)
+
+    def join(self, left: DataFrame, left_xy: tuple[str, str] = ("lat", "lon"), distance_col: str | None = None) -> DataFrame:
+        """Every left row with the payload of its nearest point, as ``nearest_join`` gives it."""
+        if self.empty:
+            return _match_small(left, [], self.points.schema, {}, left_xy, distance_col)
+        return _walk(left, self, left_xy, distance_col)
 
 
 def _match_large(left, points, payload, left_xy, distance_col) -> DataFrame:
-    points = cut_lineage(points)
-    ext = points.agg(
-        F.min("plat").alias("lat0"), F.max("plat").alias("lat1"), F.min("plon").alias("lon0"), F.max("plon").alias("lon1")
-    ).first()
-    extent = max(ext["lat1"] - ext["lat0"], ext["lon1"] - ext["lon0"]) or 1.0
-    size = extent / float(1 << (_LEVEL_BITS * _DEEPEST))
-    cells = points.withColumns(
-        {"cx": _cell(F.col("plat"), ext["lat0"], size), "cy": _cell(F.col("plon"), ext["lon0"], size)}
-    )
-    finest = cut_lineage(
-        cells.groupBy("cx", "cy").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("plat").alias("lat0"),
-            F.max("plat").alias("lat1"),
-            F.min("plon").alias("lon0"),
-            F.max("plon").alias("lon1"),
-        )
-    )
+    spark = left.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pyramids/{uuid.uuid4().hex}"
+    return Pyramid._write(points, path).join(left, left_xy, distance_col)
+
 
+def _walk(left: DataFrame, tree: Pyramid, left_xy: tuple[str, str], distance_col: str | None) -> DataFrame:
+    """The distinct left coordinates walk down the tree."""
+    cells = tree.points
     qlat, qlon = (F.col(c).cast("double") + 0.0 for c in left_xy)
     spots = (
         left.select(qlat.alias("qlat"), qlon.alias("qlon"))
@@ -200,8 +249,8 @@ def _match_large(left, points, payload, left_xy, distance_col) -> DataFrame:
     front = spots.withColumns({"cx": zero, "cy": zero, "n": F.lit(_LEAF_POINTS + 1).cast("long")})
     best: DataFrame | None = None
     for depth in range(1, _DEEPEST + 1):
-        children = _nodes(finest, depth)
-        front = _descend(front, children, children.count())
+        children = tree.nodes.filter(F.col("depth") == depth).drop("depth")
+        front = _descend(front, children, tree.node_rows.get(depth, 0))
         leaves = front.filter((F.col("n") <= _LEAF_POINTS) | F.lit(depth == _DEEPEST))
         found = _scan_leaves(leaves, cells, depth)
         best = found if best is None else best.unionByName(found)
@@ -219,7 +268,7 @@ def _match_large(left, points, payload, left_xy, distance_col) -> DataFrame:
     )
     keyed = left.withColumns({"__qlat": qlat, "__qlon": qlon})
     joined = _salted_join(keyed, mapping, ["__qlat", "__qlon"], mapping.count(), "left")
-    extra = {name: F.col("__out")[name] for name in payload}
+    extra = {name: F.col("__out")[name] for name in cells.schema["m"].dataType["out"].dataType.names}
     if distance_col:
         extra[distance_col] = F.col("__d2")
     return joined.withColumns(extra).drop("__qlat", "__qlon", "__out", "__d2")

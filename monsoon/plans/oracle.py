@@ -541,6 +541,8 @@ GROUP BY 1, 2""",
  'POINT (' || CAST(lon AS VARCHAR) || ' ' || CAST(lat AS VARCHAR) || ')' AS geom FROM weather, (VALUES {versions}) AS t(v)"""
     sql["append_predictions"] = _with("weather", stored.format(versions="('1.10'), ('1.10')"))
     sql["idempotent_append"] = _with("weather", stored.format(versions="('1.1'), ('1.10')"))
+    sql["stream_append_once"] = _with("weather", stored.format(versions="('1.10')"))
+    sql["stream_nearest"] = sql["nearest_tree"]
     sql["append_anomalies"] = f"""SELECT 'bmkg_forecast' AS source_table, id AS source_id, rule_flag AS is_anomaly,
  rule_reason AS reason FROM ({sql["rule_flags"]})"""
     sql["catalog_parquet"] = sql["catalog_json"] = sql["load_bmkg"]

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from monsoon.functions import labels, spatial, temporal
 from monsoon.operators import attribution, climatology, contract, folds, isolation, metrics, order_stats, risk, weather
-from monsoon.operators.nearest import nearest_join, nearest_record
+from monsoon.operators.nearest import Pyramid, nearest_join, nearest_record
 from monsoon.plans import evaluate, score, train
 from monsoon.plans.features import CLIMATE_GROUPS
-from monsoon.session import ensure_checkpoint_dir
+from monsoon.session import cut_lineage, ensure_checkpoint_dir
 from monsoon.sources import adapters, sinks
 from monsoon.sources.config import model_config
 from monsoon.sources.tables import Catalog
-from monsoon.streaming import rowwise
+from monsoon.streaming import once, rowwise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -529,6 +529,44 @@ def idempotent_append(spark, sf_dir):
     return _read_back(spark, path)
 
 
+def _streamed(spark, rows, files, name):
+    """The rows as a stream of so many files, one a batch, and folders for its checkpoint and its table."""
+    root = _fresh_folder(spark, name)
+    rows.repartition(files, "id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return stream, f"{root}/checkpoint", f"{root}/out"
+
+
+@query
+def stream_append_once(spark, sf_dir):
+    """A stream of batches, started again, and its first batch played once more: every row is stored once."""
+    scored = _classified(spark, sf_dir, "1.10")
+    stream, checkpoint, path = _streamed(spark, scored, 3, "streams")
+    for _ in range(2):
+        once.write_once(stream, path, checkpoint, "weather", ["id"], available_now=True).awaitTermination()
+    first = once.stored_batches(spark, path).filter("batch = 0").select("source_id")
+    replayed = cut_lineage(scored.join(first, scored["id"] == first["source_id"], "left_semi"))
+    once.prediction_batch(replayed, path, "weather", 0, ["id"])
+    return once.stored_batches(spark, path).select("source_id", "model_version", "predicted", "ref_month", "geom")
+
+
+@query
+def stream_nearest(spark, sf_dir):
+    """Weather rows of a stream with their nearest rain-grid point, from a search tree that is built once."""
+    points = Catalog(spark).chirps(adapters.rain(spark, sf_dir))
+    rows = adapters.weather(spark, sf_dir).select("id", "lat", "lon")
+    stream, checkpoint, path = _streamed(spark, rows, 2, "streams")
+    Pyramid.build(points, {"rain_id": "id"}, ["id"], f"{path}-tree/version=1")
+
+    def batch(part, number):
+        tree = Pyramid(spark, f"{path}-tree/version=1")
+        once.write_batch(tree.join(part, distance_col="d2"), path, "nearest", number)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("id", "rain_id", "d2")
+
+
 @query
 def append_anomalies(spark, sf_dir):
     path = _fresh_folder(spark, "anomalies")

@@ -6,10 +6,11 @@ import functools
 import operator
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monsoon.functions.spatial import point_wkt
+from monsoon.session import cut_lineage
 
 # Columns and types of the result tables, and the unique key of a prediction. The number of the source
 # row is part of the key: two rows of one place and month are two predictions.
@@ -63,10 +64,14 @@ def anomaly_rows(df: DataFrame, source_table: str, id_col: str = "id") -> DataFr
 
 
 def _append(df: DataFrame, path: str, partitions: Sequence[str]) -> int:
-    """Append and count in the same job."""
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*partitions).parquet(path)
-    return seen.get["n"]
+    """Append and count.
+
+    The rows are written to the shared scratch folder first: their number is in the footers of those files, and a retry of
+    the append copies rows instead of scoring them again.
+    """
+    rows = cut_lineage(df)
+    rows.write.mode("append").partitionBy(*partitions).parquet(path)
+    return rows.count()
 
 
 def rows_to_append(
@@ -85,14 +90,18 @@ def rows_to_append(
     return unique.join(known, same, "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored_predictions(spark: SparkSession, path: str) -> DataFrame | None:
     """The table as it was written, or None if there is none yet.
 
     The schema is given: types inferred from folder names would take version 1.10 for 1.1. A table that is there but
     can't be read raises.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         return None
     return spark.read.schema(", ".join(f"{c} {t}" for c, t in PREDICTION_COLUMNS.items())).parquet(path)
 
