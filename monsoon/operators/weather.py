@@ -77,10 +77,25 @@ def location_tree(df: DataFrame) -> DataFrame:
     )
 
 
-def location_paths(tree: DataFrame) -> DataFrame:
-    """The tree as flat rows; empty lists give a null."""
-    return (
-        tree.select("provinsi", F.explode_outer("regencies").alias("kotkab", "districts"))
-        .select("provinsi", "kotkab", F.explode_outer("districts").alias("d"))
-        .select("provinsi", "kotkab", "d.kecamatan", F.explode_outer("d.desa").alias("desa"))
-    )
+def location_nodes(df: DataFrame) -> DataFrame:
+    """One row per place of the hierarchy: its path (null below it), ``level`` from 1, and what lies under it.
+
+    One rollup over the distinct paths counts all levels at once; no row or task holds the places of a whole province.
+    A null level is no place, and neither is what lies under it; its parent stays.
+    """
+    under = {"n_regencies": "kotkab", "n_districts": "kecamatan", "n_villages": "desa"}
+    paths = df.filter(F.col("provinsi").isNotNull()).select(*LEVELS).distinct()
+    # Only what hangs on places counts.
+    whole = paths.withColumns({n: F.expr(" AND ".join(f"{c} IS NOT NULL" for c in LEVELS[: LEVELS.index(c) + 1])) for n, c in under.items()})
+    counted = [F.count_if(n).alias(n) for n in under]
+    rolled = whole.rollup(*LEVELS).agg(F.grouping_id().alias("rolled"), *counted)
+    level = F.lit(len(LEVELS)) - F.bit_count("rolled")
+    place = F.array_position(F.transform(F.array(*LEVELS), lambda c: c.isNull()), F.lit(True))
+    nodes = rolled.withColumn("level", level.cast("int"))
+    return nodes.filter((F.col("level") > 0) & ((place == 0) | (place > F.col("level")))).drop("rolled")
+
+
+def location_paths(nodes: DataFrame) -> DataFrame:
+    """The places of ``location_nodes`` that have nothing under them, as paths."""
+    leaf = "level = 4 OR level = 3 AND n_villages = 0 OR level = 2 AND n_districts = 0 OR level = 1 AND n_regencies = 0"
+    return nodes.filter(leaf).select(*LEVELS)

@@ -380,6 +380,22 @@ UNION ALL SELECT provinsi, kotkab, kecamatan, NULL FROM t GROUP BY 1, 2, 3 HAVIN
         "t AS (SELECT DISTINCT provinsi, kotkab, kecamatan, nullif(desa, 'D7') AS desa FROM weather)",
     )
 
+    place = "kotkab IS NOT NULL"
+    sql["location_levels"] = _with(
+        "weather",
+        f"""SELECT provinsi, NULL AS kotkab, NULL AS kecamatan, NULL AS desa, 1 AS level, {{counts}} FROM t GROUP BY provinsi
+UNION ALL SELECT provinsi, kotkab, NULL, NULL, 2, {{counts}} FROM t WHERE {place} GROUP BY ALL
+UNION ALL SELECT provinsi, kotkab, kecamatan, NULL, 3, {{counts}} FROM t WHERE {place} AND kecamatan IS NOT NULL GROUP BY ALL
+UNION ALL SELECT provinsi, kotkab, kecamatan, desa, 4, {{counts}} FROM t WHERE {place} AND kecamatan IS NOT NULL AND desa IS NOT NULL
+GROUP BY ALL""".replace(
+            "{counts}",
+            f"count(*) FILTER ({place}) AS n_regencies, count(*) FILTER ({place} AND kecamatan IS NOT NULL) AS n_districts, "
+            f"count(*) FILTER ({place} AND kecamatan IS NOT NULL AND desa IS NOT NULL) AS n_villages",
+        ),
+        """t AS (SELECT DISTINCT provinsi, CASE WHEN id % 5 <> 0 THEN kotkab END AS kotkab, kecamatan, nullif(desa, 'D7') AS desa
+ FROM weather WHERE provinsi IS NOT NULL)""",
+    )
+
     # ------------------------------------------------------------ risk
     weights = [("avg_tmax", "0.5e0"), ("avg_precip", "0.3e0"), ("avg_humidity", "0.2e0")]
     score = " + ".join(f"{w} * ({_scaled(c)})" for c, w in weights)

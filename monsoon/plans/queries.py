@@ -315,7 +315,15 @@ def sample_weather_random(spark, sf_dir):
 def location_hierarchy(spark, sf_dir):
     w = adapters.weather(spark, sf_dir)
     holes = w.withColumn("desa", F.when(F.col("desa") != "D7", F.col("desa")))
-    return weather.location_paths(weather.location_tree(holes))
+    return weather.location_paths(weather.location_nodes(holes))
+
+
+@query
+def location_levels(spark, sf_dir):
+    """Every place of the hierarchy with the number of places under it."""
+    w = adapters.weather(spark, sf_dir)
+    holes = w.withColumns({"desa": F.when(F.col("desa") != "D7", F.col("desa")), "kotkab": F.when(F.col("id") % 5 != 0, F.col("kotkab"))})
+    return weather.location_nodes(holes)
 
 
 # ---------------------------------------------------------------- risk

@@ -314,3 +314,20 @@ def test_stream_gives_the_batch_verdicts(spark, bmkg, tmp_path):
     got = {r["source_id"]: (r["is_anomaly"], r["reason"]) for r in rows(spark.read.parquet(str(tmp_path / "anomalies")))}
     batch = isolation.detect_anomalies(planted, forest=forest)
     assert got == {r["id"]: (r["is_anomaly"], r["reason"]) for r in rows(batch)}
+
+
+def test_location_nodes_count_what_lies_under_them(spark):
+    paths = [
+        ("A", "r1", "d1", "v1"), ("A", "r1", "d1", "v2"), ("A", "r1", "d2", None), ("A", "r2", None, "v9"), ("A", None, "d9", "v9"),
+        ("B", None, None, None), ("B", None, None, None), (None, "r", "d", "v"),
+    ]
+    nodes = weather.location_nodes(spark.createDataFrame(paths, ", ".join(f"{c} string" for c in weather.LEVELS)))
+    got = {tuple(r[c] for c in weather.LEVELS[: r["level"]]): (r["n_regencies"], r["n_districts"], r["n_villages"]) for r in nodes.collect()}
+    assert got == {
+        ("A",): (4, 3, 2), ("A", "r1"): (3, 3, 2), ("A", "r1", "d1"): (2, 2, 2), ("A", "r1", "d1", "v1"): (1, 1, 1),
+        ("A", "r1", "d1", "v2"): (1, 1, 1), ("A", "r1", "d2"): (1, 1, 0), ("A", "r2"): (1, 0, 0), ("B",): (0, 0, 0),
+    }
+    leaves = {tuple(r) for r in weather.location_paths(nodes).collect()}
+    assert leaves == {
+        ("A", "r1", "d1", "v1"), ("A", "r1", "d1", "v2"), ("A", "r1", "d2", None), ("A", "r2", None, None), ("B", None, None, None),
+    }
