@@ -51,6 +51,8 @@ SIMILARITY = 0.8
 FIRST = 4
 #: Texts of a block of comparisons, and counters of a text's words.
 BLOCK, BINS = 256, 128
+#: Texts on each side of a block where large groups are compared in full: larger, as each text is sent once a block.
+WIDE = 1024
 #: Words from which a cheap upper bound of the distance is tried before the band.
 LONG = 20_000
 #: Bits of a sketch's number and band in the key that its texts meet under; windows of short texts are a band of their own.
@@ -369,13 +371,14 @@ def _linked(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     if nodes.count() <= SMALL:
         # The other texts need not be shuffled for the join.
         texts = texts.join(F.broadcast(nodes), "node", "left_semi")
-    rows = dealt.join(texts, "node").select("gid", "node", "root", "side", "words")
+    # Joined by shuffling at every size, so that a small input tells what a large one needs.
+    rows = dealt.join(texts.hint("merge"), "node").select("gid", "node", "root", "side", "words")
     rows = rows.repartition("gid").sortWithinPartitions("gid")
     return cut_lineage(rows.mapInArrow(_blocks(least), "a bigint, b bigint, low bigint"))
 
 
-def _parts(size: Column) -> Column:
-    return F.ceil(size / BLOCK).cast("int")
+def _parts(size: Column, block: int = BLOCK) -> Column:
+    return F.ceil(size / block).cast("int")
 
 
 def _place(parts: Column) -> Column:
@@ -422,7 +425,7 @@ def _across(live: DataFrame) -> DataFrame:
     )
     per = cut_lineage(per.select("key", F.col("top.root").alias("major"), (F.col("rows") - F.col("top.rows")).alias("minors")))
     rows = live.join(broadcast_if_small(per, per.count(), SMALL), "key")
-    parts, few = _parts(F.col("size")), _parts(F.col("minors"))
+    parts, few = _parts(F.col("size"), WIDE), _parts(F.col("minors"), WIDE)
     every = rows.select("key", "node", "root", F.lit(0).alias("side"), _place(parts).alias("j"), F.explode(F.sequence(F.lit(0), few - 1)).alias("i"))
     minor = rows.filter("root <> major").select(
         "key", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), _place(few).alias("i")
@@ -440,9 +443,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     labels = cut_lineage(labels)
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
-        near = labels.join(seen.agg(F.min("root").alias("near")), "node")
-        near = near.select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
+        around = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
+        own = labels.select("node", "root", F.col("root").alias("old"))
+        near = own.unionByName(around, allowMissingColumns=True).groupBy("node").agg(F.min("root").alias("via"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
         # The label's own label; a label is a node of the same class, so it is always found.
         new = cut_lineage(near.join(jump, "via").select("node", F.least("via", "far").alias("root"), "old"))
