@@ -57,7 +57,7 @@ WIDE = 1024
 LONG = 20_000
 #: Bits of a sketch's number and band in the key that its texts meet under; windows of short texts are a band of their own.
 KEY_BITS = 57
-#: Node lists of up to so many rows (16 bytes each) are sent to the tasks; above, both sides are shuffled.
+#: Node lists of up to so many rows (16 to 28 bytes each) are sent to the tasks; above, both sides are shuffled.
 SMALL = 500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
@@ -367,12 +367,9 @@ def _blocks(least: float):
 
 def _linked(dealt: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a, b, low) of the blocks of ``dealt`` (gid, node, root, side)."""
-    nodes = cut_lineage(dealt.select("node").distinct())
-    if nodes.count() <= SMALL:
-        # The other texts need not be shuffled for the join.
-        texts = texts.join(F.broadcast(nodes), "node", "left_semi")
-    # Joined by shuffling at every size, so that a small input tells what a large one needs.
-    rows = dealt.join(texts.hint("merge"), "node").select("gid", "node", "root", "side", "words")
+    dealt = cut_lineage(dealt)
+    # Rows of four numbers; where they are few, words are only shuffled to their blocks.
+    rows = texts.join(broadcast_if_small(dealt, dealt.count(), SMALL), "node").select("gid", "node", "root", "side", "words")
     rows = rows.repartition("gid").sortWithinPartitions("gid")
     return cut_lineage(rows.mapInArrow(_blocks(least), "a bigint, b bigint, low bigint"))
 
@@ -392,7 +389,8 @@ def _inside(rows: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    few = broadcast_if_small(labels, labels.count(), SMALL)
+    return rows.join(few, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
