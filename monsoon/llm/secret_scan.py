@@ -1,13 +1,14 @@
 """Secret scans: candidates by shape, false positives removed by a random forest. Built-in functions and MLlib only.
 
-A candidate is a word, or the part of it behind an assignment, of 12 characters or more from the alphabet of keys, that has a
-digit or 20 characters. The forest sees its length, its transitions between lower case, upper case, digits and other
+Candidates are the runs of the alphabet of keys anywhere in a word (JSON, URLs, connection strings, backticks), each with the
+name that it is assigned to: of 12 characters or more with a digit, of 20 or more, or of 6 or more if assigned to a word
+for credentials. The forest sees its length, its transitions between lower case, upper case, digits and other
 characters, the share of different characters, how much of it words of the corpus cover, the path (source) it comes
 from, and how much the words around it speak for a secret. It is trained on labelled findings.
 
 No table of findings is given, so ``labelled`` labels those whose case is plain: published key formats and long mixed values
 assigned to a word for credentials are secrets; mail addresses, network addresses, plain numbers and plain words are not.
-All others are left to the forest. Training takes at most about ``max_rows`` labelled findings (a parameter); the
+All others are left to the forest. A value in a published format is a secret whatever its score (column ``published``). Training takes at most about ``max_rows`` labelled findings (a parameter); the
 dictionary and the scan cover every text.
 
 Scale: words are filtered in their row, only candidates are exploded. The dictionary is a count with partial sums; a
@@ -15,7 +16,7 @@ candidate's substrings meet it in an equi-join, and what is grouped by candidate
 
 Defined results: null and empty texts have no candidates; a null doc_id or source is a value like any other; each row
 counts, equal rows too; without labelled findings of both kinds there is no forest, and every candidate scores 0.5
-and stays a secret. An empty table gives an empty result; extra columns are ignored.
+and stays a secret; several candidates of one word are told apart by ``part``. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from monsoon.llm.common import row_key, words
+from monsoon.llm.common import let, row_key, words
 from monsoon.session import cut_lineage
 
-VALUE = r"(?:^|[=:\"'(\[{<])([A-Za-z0-9+/_.@-]{12,}={0,2})[\"')\]}>,;.!?]*$"
+#: A run of the alphabet of keys, after the name that it is assigned to, if any. Runs can't be given back, so a word costs one pass.
+KEY = r"[A-Za-z0-9+/_.@-]"
+RUN = rf"(?:({KEY}++)[\\\"'\])]*+[=:]++[\\\"'`(\[{{<]*+)?({KEY}{{6,}}+(?:={{1,2}}+(?!{KEY}))?)"
+#: Characters of a candidate: with a digit, without one, and assigned to a word for credentials.
+MIXED, PLAIN, ASSIGNED = 12, 20, 6
 #: Words for credentials, and published key formats. Fixed values.
 CREDENTIAL = r"(?i)(?:token|password|passwd|pwd|secret|api_?key|access_?key|private_?key|credential)s?$"
 FORMAT = r"^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
@@ -43,36 +48,39 @@ FEATURES = ["length", *[f"t_{a}{b}" for a in CLASSES for b in CLASSES], "t_other
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Candidates of every text: doc_id, key (of the row), path, at (word number), value, before, before2, after."""
+    """Every candidate: doc_id, key (of the row), path, at (word number), part (in it), value, before, assigned, after."""
+    named = CREDENTIAL.replace("$", r"\W*[=:]+\W*$")
+
+    def near(own: Column) -> Column:
+        """Words that can hold a candidate, with what stands beside them."""
+        found = F.filter(
+            F.transform(own, lambda x, i: F.struct(i.alias("at"), x.alias("word"), F.get(own, i - 1).alias("b1"))),
+            lambda s: (F.length(s["word"]) >= MIXED)
+            | ((F.length(s["word"]) > ASSIGNED) & s["word"].rlike("[=:]"))
+            | ((F.length(s["word"]) >= ASSIGNED) & s["b1"].rlike(f"^[=:]+$|{named}")),
+        )
+        sides = lambda s: (F.get(own, s["at"] - 2).alias("b2"), F.get(own, s["at"] + 1).alias("a1"))
+        return F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["word"].alias("word"), s["b1"].alias("b1"), *sides(s)))
+
     made = docs.select(
         F.col("doc_id"), row_key(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id()).alias("key"),
-        F.pmod(F.xxhash64(F.col("source")), F.lit(64)).alias("path"), words(F.col("text")).alias("w"),
+        F.pmod(F.xxhash64(F.col("source")), F.lit(64)).alias("path"), let(words(F.col("text")), near).alias("c"),
     )
-    long_ones = F.filter(
-        F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda s: F.length(s["word"]) >= 12
-    )
-    made = made.withColumn("c", long_ones).withColumn(
-        "c",
-        F.transform(
-            "c",
-            lambda s: F.struct(
-                s["at"].alias("at"), s["word"].alias("word"), F.regexp_extract(s["word"], VALUE, 1).alias("value"),
-                F.get("w", s["at"] - 1).alias("b1"), F.get("w", s["at"] - 2).alias("b2"), F.get("w", s["at"] + 1).alias("a1"),
-            ),
-        ),
-    )
-    made = made.withColumn(
-        "c", F.filter("c", lambda s: (F.length(s["value"]) >= 12) & (s["value"].rlike("[0-9]") | (F.length(s["value"]) >= 20)))
-    )
     made = made.select("doc_id", "key", "path", F.explode_outer("c").alias("c")).filter("c is not null")
-    # What stands before an assignment inside the word, or else the words before without the sign of the assignment.
-    own = F.regexp_extract("c.word", r"([A-Za-z_]+)[=:][\"'(\[{<]?", 1)
-    sign = F.col("c.b1").rlike("^[=:]+$")
-    before = F.when(own != "", own).when(sign, F.col("c.b2")).otherwise(F.col("c.b1"))
-    return made.select(
-        "doc_id", "key", "path", F.col("c.at").alias("at"), F.col("c.value").alias("value"), _word(before).alias("before"),
-        _word(F.col("c.a1")).alias("after"),
+    names, values = (F.regexp_extract_all(F.col("c.word"), F.lit(RUN), F.lit(i)) for i in (1, 2))
+    made = made.select(
+        "doc_id", "key", "path", "c", F.size(values).alias("parts"), F.posexplode_outer(F.arrays_zip(names.alias("name"), values.alias("value")))
+    ).filter("col is not null")
+    # What the value is assigned to inside the word, or else the words before without the sign of the assignment.
+    own, first, sign = F.col("col.name"), F.col("pos") == 0, F.coalesce(F.col("c.b1").rlike("^[=:]+$"), F.lit(False))
+    before = F.when(own != "", own).when(first & sign, F.col("c.b2")).when(first, F.col("c.b1"))
+    made = made.select(
+        "doc_id", "key", "path", F.col("c.at").alias("at"), F.col("pos").alias("part"), F.col("col.value").alias("value"),
+        _word(before).alias("before"), ((own != "") | first & (sign | F.coalesce(F.col("c.b1").rlike(r"[=:]\W*$"), F.lit(False)))).alias("assigned"),
+        _word(F.when(F.col("pos") == F.col("parts") - 1, F.col("c.a1"))).alias("after"),
     )
+    size, credential = F.length("value"), F.col("assigned") & F.col("before").rlike(CREDENTIAL)
+    return made.filter((size >= PLAIN) | (size >= MIXED) & F.col("value").rlike("[0-9]") | credential)
 
 
 def _word(w: Column) -> Column:
@@ -115,7 +123,7 @@ def _coverage(found: DataFrame, known: DataFrame) -> DataFrame:
 def labelled(found: DataFrame) -> DataFrame:
     """Adds ``label``: 1 for plain secrets, 0 for plain harmless findings, else null."""
     value = F.col("value")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("[@.]") & (F.length(value) >= 16)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("[@.]") & (F.col("assigned") | (F.length(value) >= 16))
     return found.withColumn(
         "label",
         F.when(value.rlike(FORMAT), 1.0).when(mixed & F.col("before").rlike(CREDENTIAL), 1.0).when(value.rlike(HARMLESS), 0.0),
@@ -140,13 +148,13 @@ def _evidence(sample: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, max_rows: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 5) -> DataFrame:
-    """Every candidate: doc_id, at, n_chars, value_sha256, before, score and secret."""
+    """Every candidate: doc_id, at, part, n_chars, value_sha256, before, score, published and secret."""
     found = cut_lineage(candidates(docs))
     marked = cut_lineage(labelled(_features(found, docs)))
     sample = marked.filter("label is not null")
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = min(1.0, max_rows / max(1, sum(counts.values())))
-    sample = sample.filter(F.pmod(F.xxhash64("key", "at", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * share))
+    sample = sample.filter(F.pmod(F.xxhash64("key", "at", "part", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * share))
     odds = cut_lineage(_evidence(sample))
 
     def around(rows: DataFrame) -> DataFrame:
@@ -162,12 +170,13 @@ def scan(docs: DataFrame, max_rows: int = 20_000, trees: int = 30, depth: int =
         scored = marked.withColumn("score", F.lit(0.5))
     else:
         # One ordered partition: the rows are bounded, and the forest then doesn't depend on the cluster.
-        training = cut_lineage(around(sample).select("key", "at", "label", *FEATURES).coalesce(1).sortWithinPartitions("key", "at"))
+        training = cut_lineage(around(sample).select("key", "at", "part", "label", *FEATURES).coalesce(1).sortWithinPartitions("key", "at", "part"))
         forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
         model = forest.fit(assembler.transform(training))
         scored = model.transform(assembler.transform(around(marked)))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     return scored.select(
-        "doc_id", F.col("at").cast("long").alias("at"), F.length("value").cast("long").alias("n_chars"),
-        F.sha2("value", 256).alias("value_sha256"), "before", "score", (F.col("score") >= 0.5).alias("secret"),
+        "doc_id", F.col("at").cast("long").alias("at"), "part", F.length("value").cast("long").alias("n_chars"),
+        F.sha2("value", 256).alias("value_sha256"), "before", "score", F.col("value").rlike(FORMAT).alias("published"),
+        ((F.col("score") >= 0.5) | F.col("value").rlike(FORMAT)).alias("secret"),
     )

@@ -157,6 +157,58 @@ def test_secrets(spark, no_docs, odd_docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+#: Text, and the candidates in it: (part of its word, value, before, assigned).
+PLACES = [
+    ('{"key":"AKIA%s","region":"eu-west-1"}', [(0, "AKIA%s", "key", True)]),
+    ("https://h/?key=AKIA%s&lang=en", [(0, "AKIA%s", "key", True)]),
+    ("use `AKIA%s` here", [(0, "AKIA%s", "use", False)]),
+    ("host=h;secret=%s;user=u", [(0, "%s", "secret", True)]),
+    ("(%s),[AKIA%s]", [(0, "%s", "", False), (1, "AKIA%s", "", False)]),
+    ("password=hunter2", [(0, "hunter2", "password", True)]),
+    ("password: hunter2", [(0, "hunter2", "password", True)]),
+    ("db_password := hunter2", [(0, "hunter2", "db_password", True)]),
+    ("my/token=QUJDREVG==", [(0, "QUJDREVG==", "mytoken", True)]),
+    ('\\"api-key\\":\\"a1b2c3\\"', [(0, "a1b2c3", "apikey", True)]),
+    ("the hunter2 colour=yellow1 secret=x passwords stationwalking", []),
+    ("%s" * 40, [(0, "%s" * 40, "", False)]),
+    ("漢%s字", [(0, "%s", "", False)]),
+]
+
+
+def test_secret_candidates(spark, odd_docs):
+    """All runs of the alphabet of keys, wherever they stand in a word."""
+    body = "Q7ZK2M4NX5RTW6PB"
+    fill = lambda t: t.replace("%s", body)
+    docs = spark.createDataFrame([(i, fill(t), "s") for i, (t, _) in enumerate(PLACES)], "doc_id bigint, text string, source string")
+    got = defaultdict(list)
+    for r in secret_scan.candidates(docs).orderBy("doc_id", "at", "part").collect():
+        got[r["doc_id"]].append((r["part"], r["value"], r["before"], r["assigned"]))
+    for i, (_, want) in enumerate(PLACES):
+        assert got[i] == [(p, fill(v), b, a) for p, v, b, a in want], PLACES[i]
+    assert {r["doc_id"] for r in secret_scan.candidates(odd_docs).collect()} == {9}
+
+
+def test_planted_secrets(spark):
+    """Keys planted in JSON, URLs, backticks and assignments among look-alikes, part of them in forms that are never labelled."""
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hexes, upper = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ234567"
+    words = lambda n: " ".join(rng.choice(["the", "river", "station", "before", "walking"]) for _ in range(n))
+    rows = []
+    for i in range(600):
+        what, is_secret = [
+            ('{"key":"AKIA%s","region":"eu-west-1"}' % pick(upper, 16), True), ("https://h/?key=AKIA%s&lang=en" % pick(upper, 16), True),
+            ("`AKIA%s`" % pick(upper, 16), True), (f"host=h;password=x{pick(hexes, 7)}9;user=u", True), (f"token = {pick(hexes, 32)}", True),
+            (pick(hexes, 40), True), (pick("0123456789", 16), False), (f"river.{i}@mail.example.com", False), ("secret=stationriver", False),
+            (f"10.20.30.{i:03d}.5", False), ("stationwalkingbeforeriver", False), ("password:walking", False),
+        ][i % 12]
+        rows.append((i, f"{words(6)} {what} {words(6)}", "s", is_secret))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, truth boolean")
+    found = {r["doc_id"] for r in secret_scan.scan(docs).filter("secret").collect()}
+    truth = {r[0] for r in rows if r[3]}
+    assert len(found & truth) == len(truth) and len(found - truth) == 0
+
+
 # ---------------------------------------------------------------- mixes
 
 
