@@ -8,7 +8,9 @@ together. The pairwise sum costs one pass: half of (the square of the sum of fac
 The model is fitted on a bounded sample of labelled rows (``max_rows``, a parameter) gathered on the driver as bucket
 numbers; scoring is Arrow-batched over whole texts with the fitted weights broadcast: 2^18 buckets and 4 factors are
 about 5 MB whatever the corpus. Only terms whose share of toxic texts differs clearly from that of all texts (a likelihood
-ratio test, ``least_ratio``) get a weight and factors, so that the words of long texts don't add up to noise.
+ratio test, ``least_ratio``) get a weight and factors, so that the words of long texts don't add up to noise; and so do both
+terms of a pair that is toxic more or less often than a machine of the former expects (``telling_pairs``), each of which
+may be as frequent in clean as in toxic texts. Pairs are looked for among the ``pair_terms`` most frequent terms of the sample.
 
 Defined results: null and empty texts get the score of the bias alone; a null doc_id is scored and never learnt from;
 several labels of one document count as toxic if one of them does; equal rows get equal scores; without a toxic label
@@ -81,27 +83,46 @@ def likelihood_ratio(hits: np.ndarray, counts: np.ndarray, share: float) -> np.n
     return out
 
 
+def telling_pairs(
+    rows: list[np.ndarray], toxic: np.ndarray, expected: np.ndarray, terms: np.ndarray, size: int, least_ratio: float
+) -> np.ndarray:
+    """The terms of all pairs that stand in toxic texts more or less often than ``expected`` says, by a score test.
+
+    The threshold grows with the number of pairs as their best chance finding does. Texts are taken some at a time, so what is
+    held are two squares of the terms.
+    """
+    place = np.full(size, -1)
+    place[terms] = np.arange(len(terms))
+    excess, variance = (np.zeros((len(terms), len(terms)), np.float32) for _ in range(2))
+    spread = np.clip(expected, 0.05, 0.95)
+    for begin in range(0, len(rows), 512):
+        part = slice(begin, begin + 512)
+        has = np.zeros((len(rows[part]), len(terms)), np.float32)
+        for i, r in enumerate(rows[part]):
+            own = place[r]
+            has[i, own[own >= 0]] = 1
+        excess += has.T @ (has * (toxic[part] - expected[part]).astype(np.float32)[:, None])
+        variance += has.T @ (has * (spread[part] * (1 - spread[part])).astype(np.float32)[:, None])
+    least = least_ratio + 2 * np.log(max(1, len(terms) * (len(terms) - 1) // 2))
+    telling = excess**2 > least * np.maximum(variance, 0.25)
+    np.fill_diagonal(telling, False)
+    return terms[telling.any(axis=0)]
+
+
 def fit(
     rows: list[np.ndarray],
     toxic: np.ndarray,
-    factors: int = 4,
-    epochs: int = 30,
-    batch: int = 64,
-    rate: float = 0.2,
     min_docs: int = 3,
     least_ratio: float = 15.0,
-    l1: float = 1e-4,
-    l2: float = 1e-3,
-    seed: int = 3,
+    pair_terms: int = 2_000,
     bits: int = BITS,
+    **settings,
 ) -> Machine:
-    """Mini-batch Adagrad on the logistic loss, weights with an L1 penalty, factors with an L2 penalty."""
+    """A machine of the terms that tell alone and of those that tell in pairs; ``settings`` are those of the descent."""
     size = 1 << bits
-    weights, vectors = np.zeros(size, np.float32), np.zeros((size, factors), np.float32)
     toxic = np.asarray(toxic, float)
     if not toxic.sum():
-        return Machine(-10.0, weights, vectors)
-    rng = np.random.default_rng(seed)
+        return Machine(-10.0, np.zeros(size, np.float32), np.zeros((size, settings.get("factors", 4)), np.float32))
     counts, hits = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for begin in range(0, len(rows), 512):  # some rows at a time: the sample is held once
         part = rows[begin : begin + 512]
@@ -109,7 +130,34 @@ def fit(
         own = [r for r, t in zip(part, toxic[begin : begin + 512]) if t]
         if own:
             hits += np.bincount(np.concatenate(own), minlength=size)
-    kept = np.flatnonzero((counts >= min_docs) & (likelihood_ratio(hits, counts, toxic.mean()) >= least_ratio))
+    alone = (counts >= min_docs) & (likelihood_ratio(hits, counts, toxic.mean()) >= least_ratio)
+    machine = _descend(rows, toxic, np.flatnonzero(alone), size, **settings)
+    frequent = np.argsort(-counts, kind="stable")[:pair_terms]
+    frequent = np.sort(frequent[counts[frequent] >= min_docs])
+    expected = np.concatenate([machine.score(rows[i : i + 64]) for i in range(0, len(rows), 64)])
+    paired = telling_pairs(rows, toxic, expected, frequent, size, least_ratio)
+    if alone[paired].all():
+        return machine
+    alone[paired] = True
+    return _descend(rows, toxic, np.flatnonzero(alone), size, **settings)
+
+
+def _descend(
+    rows: list[np.ndarray],
+    toxic: np.ndarray,
+    kept: np.ndarray,
+    size: int,
+    factors: int = 4,
+    epochs: int = 30,
+    batch: int = 64,
+    rate: float = 0.2,
+    l1: float = 1e-4,
+    l2: float = 1e-3,
+    seed: int = 3,
+) -> Machine:
+    """Mini-batch Adagrad on the logistic loss, weights with an L1 penalty, factors with an L2 penalty."""
+    weights, vectors = np.zeros(size, np.float32), np.zeros((size, factors), np.float32)
+    rng = np.random.default_rng(seed)
     place = np.full(size, -1)
     place[kept] = np.arange(len(kept))
     rows = [(p := place[r])[p >= 0] for r in rows]

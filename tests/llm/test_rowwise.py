@@ -114,6 +114,52 @@ def test_machine_learns_pairs():
     assert ((machine.score(rows[900:]) >= 0.5) == (toxic[900:] == 1)).mean() > 0.98
 
 
+def _told_in_pairs(rule, noise=4, n=4000, seed=4, dull=0):
+    """Share of rows right that weren't learnt: two terms in half of the texts, among others."""
+    rng = np.random.default_rng(seed)
+    hasher = toxicity.Hasher()
+    rows, toxic = [], []
+    for _ in range(n):
+        a, b = rng.random(2) < 0.5
+        others = [f"n{chr(97 + i)}{chr(97 + j)}" for i, j in rng.integers(0, 26, (noise, 2))] + ["dull"] * dull
+        rows.append(hasher(" ".join(["red"] * int(a) + ["stone"] * int(b) + others)))
+        toxic.append(float(rule(a, b)))
+    learnt, toxic = n * 4 // 5, np.array(toxic)
+    machine = toxicity.fit(rows[:learnt], toxic[:learnt])
+    return ((machine.score(rows[learnt:]) >= 0.5) == (toxic[learnt:] == 1)).mean()
+
+
+@pytest.mark.parametrize("noise", [0, 4, 60])
+@pytest.mark.parametrize("rule", [lambda a, b: a == b, lambda a, b: a != b, lambda a, b: a and not b])
+def test_machine_learns_pairs_of_even_terms(rule, noise):
+    """Each of both terms is as frequent in clean as in toxic texts (in the first two rules), so only the pair tells."""
+    assert _told_in_pairs(rule, noise) > 0.97
+
+
+def test_pairs_by_chance_are_left():
+    """Labels that nothing tells: no term gets a weight."""
+    rng = np.random.default_rng(9)
+    rows = [np.sort(rng.choice(600, 60, replace=False)) for _ in range(3000)]
+    toxic = (rng.random(3000) < 0.2).astype(float)
+    assert len(toxicity.telling_pairs(rows, toxic, np.full(3000, toxic.mean()), np.arange(600), 1 << 18, 15.0)) == 0
+
+
+def test_pairs_equal_their_definition():
+    rng = np.random.default_rng(11)
+    rows = [np.flatnonzero(rng.random(12) < 0.5) for _ in range(700)]
+    toxic = np.array([float(3 in r and 7 in r) if rng.random() < 0.9 else 0.0 for r in rows])
+    expected = np.clip(rng.normal(toxic.mean(), 0.05, 700), 0.01, 0.99)
+    terms = np.array([1, 3, 5, 7, 9])
+    least, want = 15 + 2 * np.log(10), set()
+    spread = np.clip(expected, 0.05, 0.95)
+    for i in terms:
+        for j in terms:
+            own = [k for k, r in enumerate(rows) if i in r and j in r]
+            if i < j and (toxic - expected)[own].sum() ** 2 > least * (spread * (1 - spread))[own].sum():
+                want |= {int(i), int(j)}
+    assert {3, 7} <= want == set(toxicity.telling_pairs(rows, toxic, expected, terms, 16, 15.0).tolist())
+
+
 def test_machine_score_equals_its_definition():
     rng = np.random.default_rng(2)
     m = toxicity.Machine(0.3, rng.normal(size=64), rng.normal(size=(64, 3)))
