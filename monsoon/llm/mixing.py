@@ -13,6 +13,7 @@ columns are ignored. Reruns on the same rows give the same result whatever the p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ from monsoon.session import cut_lineage
 
 #: A prime above any number of blocks in a shard, so that multiples of it visit every block once.
 STEP = 2_147_483_647
+#: Levels compared in one pass over the sources, and passes before what is left counts as a tie.
+LEVELS, PASSES = 32, 12
 
 
 def _seed(seed: int, *cols: Column) -> Column:
@@ -57,17 +60,48 @@ def targets(
     return weighed.withColumn("target", F.least(full, F.col("weight") * F.lit(level)))
 
 
+def seats(sources: DataFrame, block: int, most: float) -> DataFrame:
+    """Adds ``seats``: the blocks of all targets together, given to the sources of the highest quotients target / (2 seats + 1).
+
+    A source has as many seats as it has quotients above a level. The level at which they add up is narrowed by passes over
+    the table of sources, some levels a pass; equal quotients at the level go by the sources' order.
+    """
+    cap = F.ceil(F.col("source_size") / F.lit(block)) * int(most)
+    above = lambda level: F.least(cap, F.floor(F.col("target") / F.lit(float(level)) + 0.5))
+    row = sources.agg(
+        F.sum("target").alias("all"), F.max("target").alias("top"), F.count_if(F.col("target") > 0).alias("n")
+    ).first()
+    wanted = math.floor((row["all"] or 0.0) / block + 0.5)
+    if not wanted:
+        return sources.withColumn("seats", F.lit(0).cast("long"))
+    # Rounding adds or takes half a seat a source at most, which bounds the level.
+    low = block / (1 + (row["n"] + 2) / wanted)
+    high = row["all"] / (wanted - row["n"] / 2) if wanted > row["n"] / 2 else 2 * row["top"] + 1
+    for _ in range(PASSES):
+        levels = [low + (high - low) * i / LEVELS for i in range(1, LEVELS)] + [high]
+        sums = sources.agg(*[F.sum(above(x)).alias(f"s{i}") for i, x in enumerate(levels)]).first()
+        k = next((i for i, n in enumerate(sums) if n <= wanted), LEVELS - 1)
+        low, high = levels[k - 1] if k else low, levels[k]
+        if sums[k] == wanted:
+            break
+    made = sources.withColumn("seats", above(high).cast("long"))
+    next_one = F.when(F.col("seats") < cap, F.col("target") / (2 * F.col("seats") + 1))
+    order = Window.orderBy(next_one.desc_nulls_last(), F.col("source").isNull(), "source")
+    more = F.row_number().over(order) <= wanted - sums[k]
+    return made.withColumn("seats", F.col("seats") + F.when(more & (F.col("seats") < cap), 1).otherwise(0))
+
+
 def _quotas(shards: DataFrame, block: int, most: float) -> DataFrame:
     """Adds ``blocks`` and the integer ``quota`` of every shard; the quotas of a source add up to its seats."""
-    own = F.col("target") * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1))
+    # The shard's part of its source's seats: quotients of it are in the order of those of the target.
+    own = F.col("seats") * F.lit(block) * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1))
     rounded = F.floor(own / block + 0.5)
     every = Window.partitionBy("source")
     made = (
         shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(block)).cast("long"))
         .withColumn("_own", own)
-        .withColumn("_seats", F.floor(F.col("target") / block + 0.5))
         .withColumn("_first", F.least(rounded, F.col("blocks") * int(most)))
-        .withColumn("_left", F.col("_seats") - F.sum("_first").over(every))
+        .withColumn("_left", F.col("seats") - F.sum("_first").over(every))
     )
     gives = F.when(F.col("_first") < F.col("blocks") * int(most), F.col("_own") / (2 * F.col("_first") + 1))
     takes = F.when(F.col("_first") > 0, F.col("_own") / (2 * F.col("_first") - 1))
@@ -79,7 +113,7 @@ def _quotas(shards: DataFrame, block: int, most: float) -> DataFrame:
         (-F.col("_left") >= F.col("_down")) & F.col("_takes").isNotNull(), -1
     )
     made = made.withColumn("quota", (F.col("_first") + F.coalesce(change, F.lit(0))).cast("long"))
-    return made.drop("_own", "_seats", "_first", "_left", "_gives", "_takes", "_up", "_down")
+    return made.drop("_own", "_first", "_left", "_gives", "_takes", "_up", "_down")
 
 
 def mix(
@@ -105,14 +139,15 @@ def mix(
         # Empty documents count too, or a source of them would make one endless shard.
         F.ceil((F.sum("size") + F.count("*")) / F.lit(shard_words)).cast("long").alias("shards"),
     )
-    sources = targets(sources, weights, share, most).drop("weight")
+    sources = seats(targets(sources, weights, share, most).drop("weight"), block, most)
     placed = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     placed = placed.select(
-        "doc_id", "size", F.col("d.source").alias("source"), "source_size", "target",
+        "doc_id", "size", F.col("d.source").alias("source"), "source_size", "target", "seats",
         F.pmod(_seed(seed, F.col("doc_id"), F.col("size")), F.col("shards")).alias("shard"),
     )
     shards = placed.groupBy("source", "shard").agg(
-        F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+        F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.first("seats").alias("seats"),
     )
     quotas = _quotas(shards, block, most).select("source", "shard", "blocks", "quota")
     order = Window.partitionBy("source", "shard").orderBy(_seed(seed + 1, F.col("doc_id")), "doc_id", "size")

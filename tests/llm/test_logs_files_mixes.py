@@ -254,15 +254,34 @@ def test_mix(small, odd_docs, shard_words):
 def test_quotas_are_sainte_lague(spark):
     """The quotas of a source's shards are those of the highest quotients."""
     sizes = [1000, 777, 500, 333, 120, 64, 33]
-    rows = [("s", i, n, sum(sizes), 0.9 * sum(sizes)) for i, n in enumerate(sizes)]
-    shards = spark.createDataFrame(rows, "source string, shard bigint, shard_size bigint, source_size bigint, target double")
+    seats = int(0.9 * sum(sizes) / 32 + 0.5)
+    rows = [("s", i, n, sum(sizes), 0.9 * sum(sizes), seats) for i, n in enumerate(sizes)]
+    shards = spark.createDataFrame(rows, "source string, shard bigint, shard_size bigint, source_size bigint, target double, seats bigint")
     got = {r["shard"]: r["quota"] for r in mixing._quotas(shards, 32, 2.0).collect()}
-    seats = sum(got.values())
-    assert seats == int(0.9 * sum(sizes) / 32 + 0.5)
+    assert seats == sum(got.values())
     quotients = sorted(((n / (2 * k + 1), i) for i, n in enumerate(sizes) for k in range(100)), reverse=True)[:seats]
     assert got == Counter(i for _, i in quotients) | {i: 0 for i in got if i not in {j for _, j in quotients}}
 
 
+@pytest.mark.parametrize(
+    "targets",
+    [
+        [1000.4 * 32, 0.4 * 32, 0.4 * 32, 0.4 * 32], [40.0, 41.0, 42.0, 43.0, 44.0], [16.0] * 9, [1.0] * 40, [0.0, 0.0], [0.0, 100.0],
+        [31.9 + 7.3 * (i * i % 83) for i in range(300)], [2.0 * n for n in (33, 64, 5, 1, 700, 10_001)],
+    ],
+)
+def test_seats_are_sainte_lague(spark, targets):
+    """The blocks of a source are those of the highest quotients, sources of a few blocks and equal ones included."""
+    rows = [(f"{i:03d}", int(t / 2) + 1, t) for i, t in enumerate(targets)]
+    made = mixing.seats(spark.createDataFrame(rows, "source string, source_size bigint, target double"), 32, 2.0)
+    got = {r["source"]: r["seats"] for r in made.collect()}
+    want, open_ = dict.fromkeys(got, 0), {s: 2 * -(-n // 32) for s, n, _ in rows}
+    for _ in range(int(sum(targets) / 32 + 0.5)):
+        best = min((s for s, _, _ in rows if want[s] < open_[s]), key=lambda s: (-targets[int(s)] / (2 * want[s] + 1), s))
+        want[best] += 1
+    assert got == want
+
+
 def test_mix_of_nothing(no_docs, odd_docs):
     assert mixing.mix(no_docs).isEmpty()
     blank = mixing.mix(odd_docs.filter("doc_id in (2, 3, 4)")).collect()
