@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from monsoon.functions.spatial import point_wkt
 from monsoon.session import cut_lineage
+from monsoon.sources.key_filter import KeyFilter, exists
 
 # Columns and types of the result tables, and the unique key of a prediction. The number of the source
 # row is part of the key: two rows of one place and month are two predictions.
@@ -90,11 +91,6 @@ def rows_to_append(
     return unique.join(known, same, "left_anti")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def stored_predictions(spark: SparkSession, path: str) -> DataFrame | None:
     """The table as it was written, or None if there is none yet.
 
@@ -109,19 +105,19 @@ def stored_predictions(spark: SparkSession, path: str) -> DataFrame | None:
 def write_predictions(df: DataFrame, path: str, idempotent: bool = False, order: Sequence[str] = ()) -> int:
     """Append predictions and return how many rows were written.
 
-    ``idempotent`` keeps one row per key and skips keys the table already holds, so a repeated run adds nothing;
+    ``idempotent`` keeps one row per key and skips keys the table already holds, so a repeated run adds nothing (only files
+    whose key filter lets one of the keys through are read, see ``key_filter``);
     ``order`` then has to name the columns of ``df`` that decide which row of a key counts. Rows that neither a source
     row nor a month tells apart aren't taken for repeats of each other: they are all written.
     """
     rows = prediction_rows(df, order if idempotent else ())
     if idempotent:
+        # Written once, as the rows are read for the filters and for the append: they are not scored again.
+        rows = cut_lineage(rows)
+        known = F.col("source_id").isNotNull() | (F.col("ref_year").isNotNull() & F.col("ref_month").isNotNull())
         stored = stored_predictions(df.sparkSession, path)
         if stored is not None:
-            # Only the folders that this run writes to can hold its keys: few pairs, one per model.
-            own = rows.select(*PARTITIONS).distinct().collect()
-            same = [(F.col("use_case").eqNullSafe(r[0])) & (F.col("model_version").eqNullSafe(r[1])) for r in own]
-            stored = stored.filter(functools.reduce(operator.or_, same, F.lit(False)))
-        known = F.col("source_id").isNotNull() | (F.col("ref_year").isNotNull() & F.col("ref_month").isNotNull())
+            stored = KeyFilter(stored, path, PREDICTION_KEY, PARTITIONS).may_hold(rows.filter(known))
         fresh = rows_to_append(rows.filter(known), stored, PREDICTION_KEY, order).select(*PREDICTION_COLUMNS)
         rows = fresh.unionByName(rows.filter(~known).select(*PREDICTION_COLUMNS))
     return _append(rows, path, PARTITIONS)

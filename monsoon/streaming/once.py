@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from monsoon.sources.sinks import PREDICTION_COLUMNS, PREDICTION_KEY, exists, prediction_rows, rows_to_append
+from monsoon.session import cut_lineage
+from monsoon.sources.key_filter import KeyFilter, exists
+from monsoon.sources.sinks import PREDICTION_COLUMNS, PREDICTION_KEY, prediction_rows, rows_to_append
 
 BATCH = ["stream", "batch"]
 
@@ -44,10 +46,13 @@ def prediction_batch(
     """Write the predictions of a batch; ``unique`` leaves out keys of this stream's earlier batches and other streams."""
     rows = prediction_rows(scored, order)
     if unique:
+        known = F.col("source_id").isNotNull() | (F.col("ref_year").isNotNull() & F.col("ref_month").isNotNull())
         stored = stored_batches(scored.sparkSession, path)
         if stored is not None:
-            stored = stored.filter((F.col("stream") != stream) | (F.col("batch") < batch)).select(*PREDICTION_KEY)
-        known = F.col("source_id").isNotNull() | (F.col("ref_year").isNotNull() & F.col("ref_month").isNotNull())
+            # Scored once, for the filters and for the write.
+            rows = cut_lineage(rows)
+            earlier = stored.filter((F.col("stream") != stream) | (F.col("batch") < batch))
+            stored = KeyFilter(earlier, path, PREDICTION_KEY).may_hold(rows.filter(known))
         fresh = rows_to_append(rows.filter(known), stored, PREDICTION_KEY, order).select(*PREDICTION_COLUMNS)
         rows = fresh.unionByName(rows.filter(~known).select(*PREDICTION_COLUMNS))
     write_batch(rows.select(*PREDICTION_COLUMNS), path, stream, batch)
