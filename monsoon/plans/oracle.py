@@ -561,7 +561,8 @@ GROUP BY 1, 2""",
     sql["stream_nearest"] = sql["nearest_tree"]
     sql["append_anomalies"] = f"""SELECT 'bmkg_forecast' AS source_table, id AS source_id, rule_flag AS is_anomaly,
  rule_reason AS reason FROM ({sql["rule_flags"]})"""
-    sql["catalog_parquet"] = sql["catalog_json"] = sql["load_bmkg"]
+    sql["catalog_parquet"] = sql["catalog_json"] = sql["load_bmkg_wkb"] = sql["load_bmkg"]
+    sql["load_rdtr_wkb"] = sql["load_rdtr"]
     # ------------------------------------------------------------ result shaping
     picked = ", ".join(f"{exact_round(f'CAST(id % {m} + 1 AS DOUBLE) / t', 4)} AS p{m}" for m in (7, 5, 3))
     sql["best_class"] = _with(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monsoon.functions import labels, spatial, temporal
+from monsoon.functions import labels, spatial, temporal, wkb
 from monsoon.operators import attribution, climatology, contract, folds, isolation, metrics, order_stats, risk, weather
 from monsoon.operators.nearest import Pyramid, nearest_join, nearest_record
 from monsoon.plans import evaluate, score, train
@@ -61,10 +61,7 @@ def load_chirps(spark, sf_dir):
     return Catalog(spark, sentinel=350.0).chirps(adapters.rain(spark, sf_dir))
 
 
-@query
-def load_rdtr(spark, sf_dir):
-    """Polygon centroids, next to the true centres of the squares."""
-    raw = adapters.zones(spark, sf_dir)
+def _zones_loaded(spark, raw):
     loaded = Catalog(spark).rdtr(raw).select(
         "id", "nama_zona", "kecamatan", "kode_zona", "kategori_zona", "luas_ha", "centroid_lat", "centroid_lon"
     )
@@ -73,6 +70,32 @@ def load_rdtr(spark, sf_dir):
     )
 
 
+@query
+def load_rdtr(spark, sf_dir):
+    """Polygon centroids, next to the true centres of the squares."""
+    return _zones_loaded(spark, adapters.zones(spark, sf_dir))
+
+
+@query
+def load_rdtr_wkb(spark, sf_dir):
+    """The same zones in binary form: a square with a square hole in its middle, in a multipolygon."""
+    raw = adapters.zones(spark, sf_dir)
+
+    def ring(half):
+        corners = ((-half, -half), (half, -half), (half, half), (-half, half), (-half, -half))
+        return [(F.col("true_lon") + dx, F.col("true_lat") + dy) for dx, dy in corners]
+
+    return _zones_loaded(spark, raw.withColumn("geom", wkb.multipolygon_wkb([[ring(1.0), ring(0.25)]])))
+
+
+@query
+def load_bmkg_wkb(spark, sf_dir):
+    """Weather rows whose position is a binary point."""
+    raw = adapters.weather(spark, sf_dir)
+    geom = raw.withColumn("geom", wkb.point_wkb(F.col("lat"), F.col("lon"))).drop("lat", "lon")
+    return Catalog(spark).bmkg(geom).drop("kode_adm4", "datetime_utc", "cuaca_en", "qc_flag")
+
+
 @query
 def load_era5(spark, sf_dir):
     """The coarse grid is empty here, so the land grid steps in."""

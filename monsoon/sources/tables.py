@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from monsoon.functions import spatial, wkb
 from monsoon.functions.spatial import point_lat, point_lon, polygon_centroid
 from monsoon.functions.temporal import date_year
 from monsoon.operators.contract import qc_clean
@@ -88,19 +89,20 @@ MISSING_SENTINEL = -999.0
 def conform(df: DataFrame, table: Table, sentinel: float | None = None) -> DataFrame:
     """Project any frame to a table's columns and types.
 
-    Positions come from ``geom`` (WKT) when the frame has no coordinate columns; NaN (and the
+    Positions come from ``geom`` (WKT, or WKB if it is binary) when the frame has no coordinate columns; NaN (and the
     sentinel, when given) becomes null here and nowhere else; an absent column is null.
     """
     lat_name, lon_name = table.position
     derived: dict[str, Column] = {}
     geom = next((c for c in ("geom", "geom_wkt") if c in df.columns), None)
     if geom and lat_name not in df.columns:
+        form = wkb if df.schema[geom].dataType == T.BinaryType() else spatial
         if table.geometry == "polygon":
             # Its own projection: the outline is read once for both coordinates.
-            df = df.withColumn("__centre", polygon_centroid(F.col(geom)))
+            df = df.withColumn("__centre", form.polygon_centroid(F.col(geom)))
             derived = {lat_name: F.col("__centre.lat"), lon_name: F.col("__centre.lon")}
         else:
-            derived = {lat_name: point_lat(F.col(geom)), lon_name: point_lon(F.col(geom))}
+            derived = {lat_name: form.point_lat(F.col(geom)), lon_name: form.point_lon(F.col(geom))}
 
     def column(f: T.StructField) -> Column:
         if f.name in derived:
