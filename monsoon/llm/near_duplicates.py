@@ -393,39 +393,43 @@ def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(few, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, node, size, root) of keys whose texts are still of several classes."""
+def _apart(rows: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (key, node, size, root) of keys whose texts are still of several classes.
+
+    With each row goes what the blocks below need to know of its key, so the rows are joined by key once: pivot, the text of
+    most links, and top, its class; major, the largest class, and minors, the number of texts outside of it.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
     own = cut_lineage(_rooted(rows.drop("root"), labels))
-    live = own.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    live = cut_lineage(live)
+    ranked = own.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left")
+    per = ranked.groupBy("key", "root").agg(
+        F.count("*").alias("rows"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node")).alias("best")
+    )
+    live = per.groupBy("key").agg(
+        F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "root")).alias("first"),
+        F.max(F.struct("best.degree", "best.node", "root")).alias("p"),
+    ).filter("classes > 1")
+    live = cut_lineage(live.select(
+        "key", F.col("p.node").alias("pivot"), F.col("p.root").alias("top"), F.col("first.root").alias("major"),
+        (F.col("rows") - F.col("first.rows")).alias("minors"),
+    ))
     return cut_lineage(own.join(broadcast_if_small(live, live.count(), SMALL), "key"))
 
 
-def _with_pivots(live: DataFrame, links: DataFrame) -> DataFrame:
+def _with_pivots(live: DataFrame) -> DataFrame:
     """Blocks of each text of a key with the text of the key that has most links, where they are of two classes."""
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    ranked = live.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left")
-    best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "root")).alias("p")
-    best = cut_lineage(ranked.groupBy("key", "size").agg(best).select("key", "size", F.col("p.node").alias("pivot"), F.col("p.root").alias("top")))
-    met = live.join(broadcast_if_small(best, best.count(), SMALL).drop("size"), "key").filter("root <> top")
     # As one row a text has no classes to tell apart but the pivot's, the pivot is the left side of each block.
     gid = F.xxhash64("key", _place(_parts(F.col("size"))))
-    met = met.select(gid.alias("gid"), "node", "root", F.lit(0).alias("side"))
-    each = best.select("key", "pivot", "top", F.explode(F.sequence(F.lit(0), _parts(F.col("size")) - 1)).alias("i"))
-    each = each.select(F.xxhash64("key", "i").alias("gid"), F.col("pivot").alias("node"), F.col("top").alias("root"), F.lit(1).alias("side"))
-    return met.unionByName(each)
+    met = live.filter("root <> top").select(gid.alias("gid"), "node", "root", F.lit(0).alias("side"))
+    each = live.filter("node = pivot").select("key", "node", "root", F.explode(F.sequence(F.lit(0), _parts(F.col("size")) - 1)).alias("i"))
+    return met.unionByName(each.select(F.xxhash64("key", "i").alias("gid"), "node", "root", F.lit(1).alias("side")))
 
 
 def _across(live: DataFrame) -> DataFrame:
     """Blocks of each text outside the largest class of a key with all texts of the key."""
-    per = live.groupBy("key", "root").agg(F.count("*").alias("rows")).groupBy("key").agg(
-        F.max(F.struct("rows", "root")).alias("top"), F.sum("rows").alias("rows")
-    )
-    per = cut_lineage(per.select("key", F.col("top.root").alias("major"), (F.col("rows") - F.col("top.rows")).alias("minors")))
-    rows = live.join(broadcast_if_small(per, per.count(), SMALL), "key")
     parts, few = _parts(F.col("size"), WIDE), _parts(F.col("minors"), WIDE)
-    every = rows.select("key", "node", "root", F.lit(0).alias("side"), _place(parts).alias("j"), F.explode(F.sequence(F.lit(0), few - 1)).alias("i"))
-    minor = rows.filter("root <> major").select(
+    every = live.select("key", "node", "root", F.lit(0).alias("side"), _place(parts).alias("j"), F.explode(F.sequence(F.lit(0), few - 1)).alias("i"))
+    minor = live.filter("root <> major").select(
         "key", "node", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), _place(few).alias("i")
     )
     return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("gid"), "node", "root", "side")
@@ -489,12 +493,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     late = _crowds(_rooted(one.select("node", "keys"), labels), ~early, 2)
     more = _linked(_inside(late), one.select("node", "words"), least)
     labels, links = _merged(labels, more), links.unionByName(more)
-    live = _apart(crowd.unionByName(late).filter(F.col("size") > BLOCK), labels)
+    live = _apart(crowd.unionByName(late).filter(F.col("size") > BLOCK), labels, links)
     if not live.isEmpty():
-        joined = _linked(_with_pivots(live, links), one.select("node", "words"), least)
+        joined = _linked(_with_pivots(live), one.select("node", "words"), least)
         if not joined.isEmpty():
             labels = _merged(labels, joined)
-            live = _apart(live, labels)
+            live = _apart(live.select("key", "node", "size", "root"), labels, links)
     if not live.isEmpty():
         labels = _merged(labels, _linked(_across(live), one.select("node", "words"), least))
     found = made.select("doc_id", "node").join(labels, "node", "left")

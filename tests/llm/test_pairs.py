@@ -179,6 +179,25 @@ def test_every_pair_of_a_large_bucket(spark):
     assert got == closed(range(len(texts)), links)
 
 
+def test_rows_of_a_large_group_meet_their_key_once(spark):
+    """What pivots and blocks need of a key comes with its rows, so neither joins the rows by key again."""
+    rows = [(k, n, 4) for k, members in ((1, (10, 11, 12, 13)), (2, (20, 21, 22, 23)), (3, (30, 31, 32, 33))) for n in members]
+    rows = spark.createDataFrame([(*r, r[1]) for r in rows], "key bigint, node bigint, size bigint, root bigint")
+    labels = spark.createDataFrame([(10, 10), (11, 10), (12, 10), *((n, 20) for n in range(20, 24)), (32, 31), (31, 31)], "node bigint, root bigint")
+    links = spark.createDataFrame([(10, 11), (11, 12), (31, 32), (33, 99), (33, 98)], "a bigint, b bigint")
+    live = near_duplicates._apart(rows, labels, links)
+    got = {(r["key"], r["node"], r["root"], r["pivot"], r["top"], r["major"], r["minors"]) for r in live.collect()}
+    # Key 2 is one class; in key 3 the text of most links is outside the largest class.
+    first = {(1, n, r, 11, 10, 10, 1) for n, r in ((10, 10), (11, 10), (12, 10), (13, 13))}
+    assert got == first | {(3, n, r, 33, 33, 31, 2) for n, r in ((30, 30), (31, 31), (32, 31), (33, 33))}
+    for made in (near_duplicates._with_pivots(live), near_duplicates._across(live)):
+        assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    met = {(r["node"], r["root"], r["side"]) for r in near_duplicates._with_pivots(live).collect()}
+    assert met == {(13, 13, 0), (11, 10, 1), (30, 30, 0), (31, 31, 0), (32, 31, 0), (33, 33, 1)}
+    across = {(r["node"], r["root"], r["side"]) for r in near_duplicates._across(live).collect()}
+    assert across == {(r[1], r[2], 0) for r in got} | {(13, 13, 1), (30, 30, 1), (33, 33, 1)}
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.sql("select 100L, 101L"))
     got = {r["node"]: r["root"] for r in near_duplicates.components(edges).collect()}
