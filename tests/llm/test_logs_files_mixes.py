@@ -209,6 +209,18 @@ def test_planted_secrets(spark):
     assert len(found & truth) == len(truth) and len(found - truth) == 0
 
 
+def test_parts_of_values_are_not_broadcast(spark, tmp_path):
+    """Few and small values on disk, many parts: their join with the dictionary gathers neither side in the driver."""
+    values = [("stationX9river",), ("StationRiver",), ("0123456789abcdef",), (None,), ("rivers" * 200,)]
+    spark.createDataFrame(values * 2, "value string").write.parquet(f"{tmp_path}/found")
+    spark.createDataFrame([("station",), ("river",)], "word string").write.parquet(f"{tmp_path}/known")
+    covered = secret_scan._coverage(spark.read.parquet(f"{tmp_path}/found"), spark.read.parquet(f"{tmp_path}/known"))
+    ids = {r["id"]: r["value"] for r in spark.createDataFrame(values, "value string").select("value", F.xxhash64("value").alias("id")).collect()}
+    assert {ids[r["id"]][:12]: r["dictionary"] for r in covered.collect()} == {"stationX9riv": 12 / 14, "StationRiver": 1.0, "riversrivers": 5 / 6}
+    plan = covered._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # ---------------------------------------------------------------- mixes
 
 
