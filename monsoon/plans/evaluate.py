@@ -17,8 +17,11 @@ from monsoon.plans import models
 from monsoon.plans.features import WEATHER_PERIODS, grid_frame, weather_frame, weather_inputs
 
 _PARALLEL_FOLDS = 5
-#: Partitions of a training frame; ``monsoon.training.partitions`` in the session sets another number.
+#: Rows that folds fitted side by side hold in all; each fold has its own copy of the rows that it learns from.
+_ROWS_AT_ONCE = 8_000_000
+#: Partitions of a training frame at least, and rows of one at most; ``monsoon.training.partitions`` in the session sets another number.
 _TRAINING_PARTITIONS = 8
+_PARTITION_ROWS = 500_000
 
 # How many folds a table of n rows (or a smallest class) gets.
 
@@ -59,26 +62,32 @@ def kept_for_training(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cache a frame that is read many times, in a layout that the rows alone decide.
 
     Bagged trees draw rows by partition, so a model would else depend on the cores and on how the input was split.
-    The number of partitions is a setting; rows are dealt out by their hash and sorted.
+    The number of partitions goes by the counted rows, or is a setting; rows are dealt out by their hash and sorted.
     """
-    wanted = int(df.sparkSession.conf.get("monsoon.training.partitions", str(_TRAINING_PARTITIONS)))
+    parts = max(_TRAINING_PARTITIONS, -(-(rows or 0) // _PARTITION_ROWS))
+    wanted = int(df.sparkSession.conf.get("monsoon.training.partitions", str(parts)))
     plain = [c for c, t in df.dtypes if not t.startswith(("map", "variant", "vector"))]
     return df.repartition(wanted, *plain).sortWithinPartitions(*plain).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def folds_at_once(k: int, rows: int) -> int:
+    """So many that their copies of the rows stay within a bound: all folds of a small table, one of a large one."""
+    return max(1, min(k, _PARALLEL_FOLDS, _ROWS_AT_ONCE // max(1, rows)))
+
+
 def out_of_fold(
-    folded: DataFrame, k: int, fit: Callable[[DataFrame, int], PipelineModel], keep: list[str]
+    folded: DataFrame, k: int, fit: Callable[[DataFrame, int], PipelineModel], keep: list[str], rows: int = 0
 ) -> DataFrame:
-    """Predictions of k models, each for the rows it has not seen. Folds are fitted side by side."""
+    """Predictions of k models, each for the rows it has not seen. Folds are fitted side by side while ``rows`` are few."""
 
     @inheritable_thread_target(folded.sparkSession)
     def one(i: int) -> DataFrame:
         model = fit(folded.filter(F.col("fold") != i), i)
         return model.transform(folded.filter(F.col("fold") == i)).select(*keep)
 
-    pool = ThreadPool(min(k, _PARALLEL_FOLDS))
+    pool = ThreadPool(folds_at_once(k, rows))
     try:
-        parts = pool.map(one, range(k))
+        parts = pool.map(one, range(k), chunksize=1)
     finally:
         pool.close()
     out = parts[0]
@@ -118,7 +127,7 @@ def evaluate_regression(
     folded = assign_folds(df, k, order, fold_mode)
     if not df.is_cached:
         folded = kept_for_training(folded, rows)
-    oof = out_of_fold(folded, k, lambda rows, _: pipeline.fit(rows), [target, "predicted"])
+    oof = out_of_fold(folded, k, lambda seen, _: models.fit_kept(pipeline, seen), [target, "predicted"], rows)
     oof.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         result = {**_regression_result(folded, oof, target), "splits": k}
@@ -173,9 +182,9 @@ def evaluate_weather(
             if c["fold"] != i:
                 seen[c[target]] = seen.get(c[target], 0) + c["count"]
         weighted = models.with_balanced_weight(rows, seen, target)
-        return models.weather_pipeline(classes, model_name, periods or WEATHER_PERIODS, **hp).fit(weighted)
+        return models.fit_kept(models.weather_pipeline(classes, model_name, periods or WEATHER_PERIODS, **hp), weighted)
 
-    oof = out_of_fold(folded, k, fit, [target, "predicted"])
+    oof = out_of_fold(folded, k, fit, [target, "predicted"], sum(counts.values()))
     try:
         model_m = _one(metrics.classification_metrics(oof, target, "predicted"))
         base = metrics.baseline_mode(folded, target)

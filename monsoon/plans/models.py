@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -119,3 +120,24 @@ def grid_pipeline(target: str, use_soil: bool = False, **params) -> Pipeline:
 def disaster_pipeline(target: str, features: Sequence[str] = DISASTER_FEATURES, **params) -> Pipeline:
     chosen = {"n_estimators": 200, "max_depth": 3, "learning_rate": 0.05, **params}
     return _regression(disaster_stages(features), target, make_estimator("gradient_boosting", **chosen))
+
+
+def fit_kept(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
+    """``pipeline.fit`` with the inputs of its tree ensemble worked out once and kept.
+
+    The ensemble reads them several times before it holds its own copy. The last estimator is the ensemble; the kept
+    rows have the partitions and the order of ``rows``, so the model is the one that ``pipeline.fit`` gives.
+    """
+    stages = pipeline.getStages()
+    at = max(i for i, stage in enumerate(stages) if isinstance(stage, Estimator))
+    ensemble = stages[at]
+    wanted = [ensemble.getFeaturesCol(), ensemble.getLabelCol()]
+    if ensemble.isDefined("weightCol") and ensemble.getWeightCol():
+        wanted.append(ensemble.getWeightCol())
+    before = Pipeline(stages=stages[:at]).fit(rows)
+    inputs = before.transform(rows).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = ensemble.fit(inputs)
+    finally:
+        inputs.unpersist()
+    return PipelineModel([*before.stages, fitted, *stages[at + 1 :]])

@@ -110,7 +110,7 @@ def train_weather(
     rows = weather_frame(clean.filter(F.col(target).isNotNull()).select(*weather_inputs(clean, target, order)))
     labelled = models.with_balanced_weight(evaluate.with_label(rows, target, classes), counts, target)
     labelled = evaluate.kept_for_training(labelled, sum(counts.values()))
-    model = models.weather_pipeline(classes, name, cfg.get("periods") or WEATHER_PERIODS, **hp).fit(labelled)
+    model = models.fit_kept(models.weather_pipeline(classes, name, cfg.get("periods") or WEATHER_PERIODS, **hp), labelled)
     labelled.unpersist()
     about = {**_about("UC1", name, target, sum(counts.values()), result), "classes": [str(c) for c in classes]}
     return _finish(df, model, about, model_dir)
@@ -151,7 +151,7 @@ def train_climate(
             half_width = evaluate.evaluate_regression(
                 kept, pipeline, target, k_interval, rows, interval_share=INTERVAL_SHARE, **how
             )["half_width"]
-        model = pipeline.fit(kept)
+        model = models.fit_kept(pipeline, kept)
     finally:
         kept.unpersist()
     about = {**_about("UC2", name, target, rows, result), "ci_q90": half_width, "use_landcover": use_landcover}

@@ -110,6 +110,33 @@ def test_weather_probabilities_and_rejected_rows(spark, bmkg, uc1):
             assert weights == sorted(weights, reverse=True) and sum(weights) <= 1.0001
 
 
+def test_kept_inputs_give_the_same_model(spark, bmkg, nasa):
+    """The rows of an ensemble are worked out once; the model is that of a plain fit of the pipeline."""
+    counts = evaluate.class_counts(bmkg, "cuaca")
+    labelled = models.with_balanced_weight(evaluate.with_label(weather_frame(bmkg), "cuaca", sorted(counts)), counts, "cuaca")
+    labelled = evaluate.kept_for_training(labelled, N_WEATHER)
+    forest = models.weather_pipeline(sorted(counts), n_estimators=4, max_depth=4, class_weight="balanced")
+    boosting = models.climate_pipeline("t2m", n_estimators=3)
+    for pipeline, frame in ((forest, labelled), (boosting, evaluate.kept_for_training(nasa, 60))):
+        frame.count()
+        stored = set(spark.sparkContext._jsc.getPersistentRDDs())
+        kept = models.fit_kept(pipeline, frame)
+        assert set(spark.sparkContext._jsc.getPersistentRDDs()) == stored
+        plain = pipeline.fit(frame)
+        columns = ["id", "predicted"]
+        assert rows(kept.transform(frame).select(*columns)) == rows(plain.transform(frame).select(*columns))
+        trees = [next(s for s in m.stages if hasattr(s, "toDebugString")).toDebugString.split("\n", 1)[1] for m in (kept, plain)]
+        assert trees[0] == trees[1]
+        frame.unpersist()
+
+
+def test_large_tables_train_in_more_partitions_and_fewer_folds_at_once(bmkg):
+    parts = {n: evaluate.kept_for_training(bmkg.select("id", "suhu_c"), n).rdd.getNumPartitions() for n in (None, N_WEATHER, 4_000_000, 36_000_000)}
+    assert parts == {None: 8, N_WEATHER: 8, 4_000_000: 8, 36_000_000: 72}
+    assert [evaluate.folds_at_once(5, n) for n in (0, N_WEATHER, 1_600_000, 4_000_000, 36_000_000)] == [5, 5, 5, 2, 1]
+    assert evaluate.folds_at_once(2, N_WEATHER) == 2
+
+
 def test_uc2_skill_and_highland_colder(spark, nasa, uc2):
     assert uc2.metadata["skill_score"] > 0 and uc2.metadata["quality_gate_passed"]
     assert uc2.metadata["ci_q90"] > 0
