@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,41 +103,156 @@ def _distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return patterns, slot[code]
 
 
-def shapley(x: np.ndarray, leaves: Sequence[Leaf], outputs: int) -> np.ndarray:
-    """Attributions (rows, features, outputs) of a feature matrix.
+#: Up to so many path features all hit patterns of a leaf are worked out beforehand, for so many numbers in all.
+_TABLE_FEATURES = 10
+_TABLE_NUMBERS = 8_000_000
+#: Leaves whose contributions are added up at once.
+_BLOCK = 64
+#: Rows looked up at once, which bounds the memory.
+_CHUNK = 8192
+
+
+def _weights_of(hit: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Per path feature (rows) and hit pattern (columns of ``hit``) the Shapley value at a leaf of value 1."""
+    t, w = _quadrature((len(shares) + 1) // 2)
+    factors = shares[:, None, None] * (1 - t)[None, :, None] + hit[:, None, :] * t[None, :, None]
+    rest = (w[None, :, None] * factors.prod(axis=0)[None] / factors).sum(axis=1)
+    return (hit - shares[:, None]) * rest
+
+
+def _hits(patterns: np.ndarray, m: int) -> np.ndarray:
+    return (patterns[None, :] >> np.arange(m)[:, None]) & 1
+
+
+class _States:
+    """What the tests of a feature can tell apart: where a value lies among their thresholds and their categories."""
+
+    def __init__(self, tests: Sequence[tuple]):
+        self.thresholds = np.unique([limit[0] for category, limit, _ in tests if not category]).astype("float64")
+        self.categories = np.unique([c for category, limit, _ in tests if category for c in limit]).astype("float64")
+        kinds = len(self.categories) + 1
+        self._above, self._kind = np.divmod(np.arange((len(self.thresholds) + 1) * kinds), kinds)
 
-    At one leaf a row matters only by which path features it hits, so each hit pattern that
-    occurs is worked out once and handed to all its rows.
+    def of(self, x: np.ndarray) -> np.ndarray:
+        above = np.searchsorted(self.thresholds, x, side="left")  # NaN lies above all thresholds
+        if not len(self.categories):
+            return above.astype(np.intp, copy=False)
+        at = np.minimum(np.searchsorted(self.categories, x, side="left"), len(self.categories) - 1)
+        kind = np.where(self.categories[at] == x, at, len(self.categories))
+        return above * (len(self.categories) + 1) + kind
+
+    def passing(self, tests: Sequence[tuple]) -> np.ndarray:
+        """For each state whether a value passes all tests."""
+        ok = np.ones(len(self._above), dtype=bool)
+        for category, limit, is_left in tests:
+            if category:
+                left = np.isin(self._kind, np.searchsorted(self.categories, limit))
+            else:
+                left = self._above <= np.searchsorted(self.thresholds, limit[0])
+            ok &= left if is_left else ~left
+        return ok
+
+
+class Explainer:
+    """Attributions of one ensemble; what doesn't depend on the rows is worked out once.
+
+    At one leaf a row matters only by which path features it hits. A feature's tests tell few states apart, so a row's hits
+    are looked up by its states, and its contributions by its hits.
     """
-    columns = np.ascontiguousarray(x.T)
-    phi = np.zeros((x.shape[1], outputs, len(x)))
-    for leaf in leaves:
-        m = len(leaf.features)
-        if m == 0:
-            continue
-        code = np.zeros(len(x), dtype="int64")
-        for j, (f, tests) in enumerate(zip(leaf.features, leaf.tests, strict=True)):
-            code |= _passes(columns[f], tests).astype("int64") << j
-        patterns, back = _distinct(code, m)
-        hit = (patterns[None, :] >> np.arange(m)[:, None]) & 1
-        t, w = _quadrature((m + 1) // 2)
-        factors = leaf.shares[:, None, None] * (1 - t)[None, :, None] + hit[:, None, :] * t[None, :, None]
-        rest = (w[None, :, None] * factors.prod(axis=0)[None] / factors).sum(axis=1)
-        part = (hit - leaf.shares[:, None]) * rest
-        for row, f in zip(part, leaf.features, strict=True):
-            phi[f] += leaf.value[:, None] * row[back][None, :]
-    return phi.transpose(2, 0, 1)
+
+    def __init__(self, leaves: Sequence[Leaf], outputs: int):
+        self.outputs = outputs
+        leaves = [leaf for leaf in leaves if leaf.features]
+        seen: dict[int, list[tuple]] = defaultdict(list)
+        for leaf in leaves:
+            for f, tests in zip(leaf.features, leaf.tests, strict=True):
+                seen[f].extend(tests)
+        self._states = {f: _States(tests) for f, tests in seen.items()}
+        # Leaves of deep trees are many, but the tests of one feature differ in few ways.
+        known: dict[tuple, np.ndarray] = {}
+
+        def bit(j: int, f: int, tests: Sequence[tuple]) -> np.ndarray:
+            key = (j, f, tuple(tests))
+            if key not in known:
+                known[key] = self._states[f].passing(tests).astype(np.intp) << j
+            return known[key]
+
+        bits = [[bit(j, f, tests) for j, (f, tests) in enumerate(zip(leaf.features, leaf.tests, strict=True))] for leaf in leaves]
+        tables, room = [], _TABLE_NUMBERS
+        for leaf in leaves:
+            m = len(leaf.features)
+            fits = m <= _TABLE_FEATURES and m << m <= room
+            room -= m << m if fits else 0
+            tables.append(_weights_of(_hits(np.arange(1 << m), m), leaf.shares) if fits else None)
+        self._blocks = []
+        for start in range(0, len(leaves), _BLOCK):
+            own = range(start, min(start + _BLOCK, len(leaves)))
+            rows: dict[int, int] = defaultdict(int)
+            steps, values, before = [], defaultdict(list), []
+            for i in own:
+                places = []
+                path = [(f, tuple(tests)) for f, tests in zip(leaves[i].features, leaves[i].tests, strict=True)]
+                # Neighbouring leaves share the start of their paths, whose hits are looked up once.
+                same = next((j for j, (a, b) in enumerate(zip(path, before, strict=False)) if a != b), min(len(path), len(before)))
+                before = path
+                for f in leaves[i].features:
+                    places.append((f, rows[f]))
+                    rows[f] += 1
+                    values[f].append(leaves[i].value)
+                steps.append((leaves[i].shares, places, same, bits[i], tables[i]))
+            self._blocks.append((dict(rows), {f: np.array(v).T for f, v in values.items()}, steps))
+
+    def attributions(self, x: np.ndarray) -> np.ndarray:
+        """Attributions (features, outputs, rows) of a feature matrix."""
+        phi = np.zeros((x.shape[1], self.outputs, len(x)))
+        for at in range(0, len(x), _CHUNK):
+            self._add(x[at : at + _CHUNK], phi[:, :, at : at + _CHUNK])
+        return phi
+
+    def _add(self, x: np.ndarray, phi: np.ndarray) -> None:
+        n = len(x)
+        states = {f: s.of(np.ascontiguousarray(x[:, f])) for f, s in self._states.items()}
+        deepest = max((len(step[1]) for _, _, steps in self._blocks for step in steps), default=0)
+        codes = np.empty((deepest, n), dtype=np.intp)
+        room = np.empty((max((sum(rows.values()) for rows, _, _ in self._blocks), default=0), n))
+        for rows, values, steps in self._blocks:
+            ends = np.cumsum(list(rows.values()))
+            parts = {f: room[end - count : end] for (f, count), end in zip(rows.items(), ends, strict=True)}
+            for shares, places, same, bits, table in steps:
+                for j in range(same, len(places)):
+                    bits[j].take(states[places[j][0]], out=codes[j], mode="clip")
+                    if j:
+                        codes[j] += codes[j - 1]
+                code = codes[len(places) - 1]
+                if table is None:
+                    # Too many patterns to list: those that occur.
+                    patterns, code = _distinct(code, len(shares))
+                    table = _weights_of(_hits(patterns, len(shares)), shares)
+                for (f, at), row in zip(places, table, strict=True):
+                    row.take(code, out=parts[f][at], mode="clip")
+            for f, part in parts.items():
+                phi[f] += values[f] @ part
+
+
+def shapley(x: np.ndarray, leaves: Sequence[Leaf], outputs: int) -> np.ndarray:
+    """Attributions (rows, features, outputs) of a feature matrix."""
+    return Explainer(leaves, outputs).attributions(x).transpose(2, 0, 1)
 
 
 def attribution_column(leaves: Sequence[Leaf], outputs: int, features: str = "features") -> Column:
     """Absolute attribution per feature slot, added up over the outputs (classes)."""
+    held: list[Explainer] = []
 
-    @F.pandas_udf("array<double>")
-    def attribute(vectors: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def attribute(vectors: pa.Array) -> pa.Array:
         if len(vectors) == 0:
-            return pd.Series([], dtype="object")
-        phi = shapley(np.stack(vectors.to_numpy()), leaves, outputs)
-        return pd.Series(list(np.abs(phi).sum(axis=2)))
+            return pa.array([], pa.list_(pa.float64()))
+        if not held:
+            held.append(Explainer(leaves, outputs))
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        sums = np.ascontiguousarray(np.abs(held[0].attributions(x)).sum(axis=1).T)
+        ends = np.arange(0, sums.size + 1, sums.shape[1], dtype="int32")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))
 
     return attribute(vector_to_array(features))
 

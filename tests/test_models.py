@@ -251,6 +251,34 @@ def test_attribution_equals_subset_definition(spark, nasa, uc2):
         assert phi[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_explainer_equals_pattern_sums(monkeypatch):
+    """Random leaves with thresholds, categories and repeated features, rows with NaN: by tables, and where no table has room."""
+    rng = np.random.default_rng(4)
+    leaves = []
+    for i in range(200):
+        features = list(rng.permutation(7)[: i % 8])
+        tests = []
+        for f in features:
+            of = lambda: (f == 6, tuple(sorted(rng.choice(4, 2, replace=False) * 1.0)) if f == 6 else (float(rng.integers(9)),), bool(rng.integers(2)))  # noqa: B023, E731
+            tests.append([of() for _ in range(1 + i % 3)])
+        leaves.append(attribution.Leaf(rng.normal(size=2), features, rng.uniform(0.1, 0.9, len(features)), tests))
+    x = rng.integers(0, 10, (300, 8)).astype("float64")
+    x[::17, 2] = np.nan
+    want = np.zeros((300, 8, 2))
+    for leaf in leaves:
+        m = len(leaf.features)
+        if m:
+            hit = np.array([attribution._passes(x[:, f], tests) for f, tests in zip(leaf.features, leaf.tests)], dtype="float64")
+            for j, row in enumerate(attribution._weights_of(hit, leaf.shares)):
+                want[:, leaf.features[j], :] += row[:, None] * leaf.value[None, :]
+    np.testing.assert_allclose(attribution.shapley(x, leaves, 2), want, atol=1e-12)
+    monkeypatch.setattr(attribution, "_TABLE_NUMBERS", 500)
+    monkeypatch.setattr(attribution, "_CHUNK", 64)
+    explainer = attribution.Explainer(leaves, 2)
+    np.testing.assert_allclose(explainer.attributions(x).transpose(2, 0, 1), want, atol=1e-12)
+    assert explainer.attributions(x[:0]).shape == (8, 2, 0) and attribution.shapley(x, [], 2).shape == (300, 8, 2)
+
+
 def test_climate_attributions(nasa, uc2):
     out = rows(score.predict_climate(nasa, uc2.model, uc2.metadata, model_path=f"{uc2.artifact}/model"))
     assert len(out) == 60
