@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # 2^27 + 1: splits a double into a 26-bit head and an exact tail.
-_SPLIT = 134217729.0
+SPLIT = 134217729.0
 
 
 def _has_digits(c: Column, scale: Column) -> Column:
@@ -29,7 +29,7 @@ def round_array(c: Column, digits: int) -> Column:
 def round_scalar(c: Column, digits: int) -> Column:
     """Exact for up to six digits wherever a double has digits to round, else the value itself."""
     scale = F.lit(float(10**digits))
-    head = c * _SPLIT - (c * _SPLIT - c)
+    head = c * SPLIT - (c * SPLIT - c)
     # floor gives a whole number of 64 bits, which is wide enough below 2^52.
     low = F.floor(c * scale).cast("double")
     # Signed distance of the exact product from the midpoint between low and low + 1.

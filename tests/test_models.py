@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from monsoon.functions.rounding import round_scalar
 from monsoon.operators import attribution, isolation, risk
 from monsoon.plans import evaluate, models, score, train
 from monsoon.plans.features import climate_stages, weather_frame, weather_stages
@@ -279,6 +280,32 @@ def test_explainer_equals_pattern_sums(monkeypatch):
     assert explainer.attributions(x[:0]).shape == (8, 2, 0) and attribution.shapley(x, [], 2).shape == (300, 8, 2)
 
 
+def test_roundings_of_batches_and_columns_agree(spark):
+    rng = np.random.default_rng(2)
+    values = [0.0, -0.0, 0.00005, 0.33335, 1.00005, -0.12345, 2.5e-7, 1.5e-6, 4.6e15, -7.1e17, float("nan"), float("inf")]
+    values += [*rng.normal(size=300), *(rng.integers(-99999, 99999, 300) / 100000 + 5e-6), *(rng.integers(-9999, 9999, 300) / 10000 + 5e-5)]
+    frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id int, v double")
+    for digits in (4, 6):
+        want = [r[0] for r in frame.orderBy("id").select(round_scalar(F.col("v"), digits)).collect()]
+        got = attribution._rounded(np.array(values), digits)
+        assert [repr(float(v)) for v in got] == [repr(v) for v in want]
+
+
+def test_top_groups_have_no_interpreted_steps(spark):
+    data = [(1, [3.0, 1.0, 2.0, 0.0]), (2, [0.0, 0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 1.0, 2.0]), (5, [0.5])]
+    frame = spark.createDataFrame(data, "id int, raw array<double>")
+    for top in (2, 5):
+        out = attribution.add_top_groups(frame, "raw", ["a", "b", "a", "c"], top)
+        got = {r["id"]: [(s["f"], s["w"], s["raw"]) for s in r["shap"]] for r in rows(out)}
+        all_of = {
+            1: [("a", 0.8333, 5.0), ("b", 0.1667, 1.0), ("c", 0.0, 0.0)], 2: [("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 0.0)],
+            4: [("a", 0.5, 2.0), ("c", 0.5, 2.0), ("b", 0.0, 0.0)], 5: [("a", 1.0, 0.5), ("b", 0.0, 0.0), ("c", 0.0, 0.0)],
+        }
+        all_of[3] = all_of[2]
+        assert got == {i: groups[:top] for i, groups in all_of.items()}
+        assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_climate_attributions(nasa, uc2):
     out = rows(score.predict_climate(nasa, uc2.model, uc2.metadata, model_path=f"{uc2.artifact}/model"))
     assert len(out) == 60
